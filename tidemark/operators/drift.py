@@ -98,26 +98,27 @@ class DriftValidator:
         return out
 
 
-def detection_metrics(scores: DataFrame, period: str = "period", score: str = "drift_score") -> DataFrame:
-    """Quality of drift detection over candidate periods, one row each in ``scores``.
-
-    The later half of the candidates counts as drifted. A sweep over fixed thresholds
-    picks the best F1 (lowest threshold on a tie); with one class all metrics are 0. The
-    frame has one row per period, so ordering it is a small job.
-    """
+def _candidates(scores: DataFrame, period: str, score: str) -> DataFrame:
+    """(prob, label): the later half of the candidate periods counts as drifted. One row
+    per period, so ordering them is a small job."""
     everything = Window.partitionBy(F.lit(0))
-    ordered = everything.orderBy(period)
-    candidates = scores.select(
-        F.col(score).alias("prob"),
-        (F.row_number().over(ordered) - 1 >= F.floor(F.count(F.lit(1)).over(everything) / 2)).cast("int").alias("label"),
-    )
+    position = F.row_number().over(everything.orderBy(period)) - 1
+    half = F.floor(F.count(F.lit(1)).over(everything) / 2)
+    return scores.select(F.col(score).alias("prob"), (position >= half).cast("int").alias("label"))
+
+
+def threshold_sweep(scores: DataFrame, period: str = "period", score: str = "drift_score") -> DataFrame:
+    """Confusion counts and rates of the candidates at every threshold of the sweep, and
+    at the fallback threshold (``fallback`` true)."""
     grid = F.array(
         *[F.struct(F.lit(t).alias("threshold"), F.lit(False).alias("fallback")) for t in sweep_thresholds()],
         F.struct(F.lit(SWEEP_FALLBACK).alias("threshold"), F.lit(True).alias("fallback")),
     )
     flagged, drifted = F.col("prob") > F.col("g.threshold"), F.col("label") == 1
-    sweep = (
-        candidates.select("prob", "label", F.explode(grid).alias("g"))
+    precision, recall = F.col("precision"), F.col("recall")
+    return (
+        _candidates(scores, period, score)
+        .select("prob", "label", F.explode(grid).alias("g"))
         .groupBy("g.threshold", "g.fallback")
         .agg(
             F.count_if(drifted & flagged).alias("tp"),
@@ -132,8 +133,17 @@ def detection_metrics(scores: DataFrame, period: str = "period", score: str = "d
                 "specificity": ratio_or_zero("tn", F.col("tn") + F.col("fp")),
             }
         )
-        .withColumn("f1", ratio_or_zero(2.0 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+        .withColumn("f1", ratio_or_zero(2.0 * precision * recall, precision + recall))
     )
+
+
+def detection_metrics(scores: DataFrame, period: str = "period", score: str = "drift_score") -> DataFrame:
+    """Quality of drift detection over candidate periods, one row each in ``scores``.
+
+    The sweep picks the best F1, the lowest threshold on a tie; the fallback holds when
+    no threshold has any. With one class all metrics are 0.
+    """
+    sweep = threshold_sweep(scores, period, score)
     rank = F.struct(
         F.when(F.col("fallback"), 0.0).otherwise(F.col("f1")).alias("f1"), (-F.col("threshold")).alias("low")
     )
@@ -141,7 +151,7 @@ def detection_metrics(scores: DataFrame, period: str = "period", score: str = "d
         F.max_by(F.struct("recall", "precision", "specificity", "f1", "threshold"), rank).alias("b"),
         F.max((F.col("tp") + F.col("fn")) * (F.col("tn") + F.col("fp"))).alias("both"),
     )
-    auc = ranking_metrics(candidates).select("auc").agg(F.max("auc").alias("auc"))
+    auc = ranking_metrics(_candidates(scores, period, score)).select("auc").agg(F.max("auc").alias("auc"))
     both = F.coalesce(F.col("both") > 0, F.lit(False))
 
     def held(c: str) -> Column:

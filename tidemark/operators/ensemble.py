@@ -74,10 +74,19 @@ def auc_weights(auc: dict[str, float], stability: dict[str, float] | None = None
 
 def weights_table(members: DataFrame) -> DataFrame:
     """(member, weight) from (member, auc): the same rule over a table of metrics."""
-    total = members.agg(F.sum("auc").alias("total")).select("total").scalar()
+    total = members.agg(F.sum("auc").alias("total")).scalar()
     return members.select("member", "auc", (F.col("auc") / total).alias("weight"))
 
 
+def stability_weights(periods: DataFrame) -> DataFrame:
+    """Extension: (member, weight) from (member, auc) rows per period. A member's mean AUC
+    is discounted by its spread over the periods, so weight moves to members that hold
+    up under drift."""
+    raw = periods.groupBy("member").agg((F.avg("auc") * (1.0 - F.stddev_pop("auc"))).alias("raw"))
+    total = raw.agg(F.sum("raw").alias("total")).scalar()
+    return raw.select("member", (F.col("raw") / total).alias("weight"))
+
+
 def disagreement(columns: Sequence[str]) -> Column:
     """Extension: population deviation of the member probabilities of one row."""
     n = float(len(columns))

@@ -27,11 +27,18 @@ from tidemark.session import cut_lineage
 CANDIDATES = 200_000
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 4_096
-_GRID = 1_000
+_GRID = 500
 _MAX_PASSES = 16
 _LOCAL_BITS = 33
 
 
+def _grid(column: str, steps: int) -> Column:
+    """Quantile sketch of a column at 0, 1/steps, ..., 1: one SQL literal array, as
+    building the fractions one by one from Python costs more than the scan."""
+    fractions = ",".join(f"{i / steps!r}D" for i in range(steps + 1))
+    return F.expr(f"percentile_approx({column}, array({fractions}), {10 * steps})")
+
+
 # --------------------------------------------------------------------------- ranks
 
 
@@ -77,20 +84,20 @@ def _narrow(b: _Bracket, rank: int) -> tuple[float | int, float | int]:
 def _probe(values: DataFrame, probes: list[tuple[int, object, object, object, object]]) -> list[tuple]:
     """One aggregation over the old brackets: per probe the values under the new low, the
     values inside the new bracket, their distinct count and a quantile grid."""
-    fractions = [i / _GRID for i in range(_GRID + 1)]
-    aggs, keep = [], F.lit(False)
+    aggs, keep, shrunk = [], F.lit(False), {}
     for i, (col, old_low, old_high, low, high) in enumerate(probes):
         v = F.col(f"v{col}")
         in_old = (v >= F.lit(old_low)) & (v <= F.lit(old_high))
-        inside = F.when((v >= F.lit(low)) & (v <= F.lit(high)), v)
+        shrunk[f"i{i}"] = F.when((v >= F.lit(low)) & (v <= F.lit(high)), v)
+        inside = F.col(f"i{i}")
         keep = keep | in_old
         aggs += [
             F.count_if(in_old & (v < F.lit(low))).alias(f"below{i}"),
             F.count(inside).alias(f"inside{i}"),
             F.approx_count_distinct(inside).alias(f"distinct{i}"),
-            F.percentile_approx(inside, fractions, 10 * _GRID).alias(f"grid{i}"),
+            _grid(f"i{i}", _GRID).alias(f"grid{i}"),
         ]
-    row = values.where(keep).agg(*aggs).first()
+    row = values.where(keep).withColumns(shrunk).agg(*aggs).first()
     return [(row[f"below{i}"], row[f"inside{i}"], row[f"distinct{i}"], row[f"grid{i}"]) for i in range(len(probes))]
 
 
@@ -110,7 +117,6 @@ def order_statistics(
         *[F.col(f"v{i}").cast("bigint" if whole else "double").alias(f"v{i}") for i, whole in enumerate(integral)]
     )
 
-    fractions = [i / _GRID for i in range(_GRID + 1)]
     aggs = []
     for i in range(len(names)):
         v = F.col(f"v{i}")
@@ -119,7 +125,7 @@ def order_statistics(
             F.min(v).alias(f"low{i}"),
             F.max(v).alias(f"high{i}"),
             F.approx_count_distinct(v).alias(f"distinct{i}"),
-            F.percentile_approx(v, fractions, 10 * _GRID).alias(f"grid{i}"),
+            _grid(f"v{i}", _GRID).alias(f"grid{i}"),
         ]
     row = values.agg(*aggs).first()
 
@@ -379,18 +385,16 @@ def row_index(
 
 
 def bucket_bounds(
-    df: DataFrame, order: str, rows_per_bucket: int = ROWS_PER_BUCKET, extra: Sequence[Column] = ()
+    df: DataFrame, order: str, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> list[float]:
     """Approximate quantiles of ``order`` that cut ``df`` into buckets of a task's size.
-    One narrow scan; the bounds only steer the partitioning, never the result."""
-    fractions = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
-    v = F.col(order).cast("double")
-    row = df.agg(F.count(v).alias("n"), F.percentile_approx(v, fractions, 10 * MAX_BUCKETS).alias("grid")).first()
-    buckets = min(MAX_BUCKETS, math.ceil(row["n"] / rows_per_bucket))
+    A count and a narrow scan; the bounds steer the partitioning, never the result."""
+    column = df.select(F.col(order).cast("double").alias("v"))
+    n = column.agg(F.count("v")).first()[0]
+    buckets = min(MAX_BUCKETS, math.ceil(n / rows_per_bucket))
     if buckets <= 1:
         return []
-    picks = [row["grid"][round(i * MAX_BUCKETS / buckets) - 1] for i in range(1, buckets)]
-    return sorted(picks)
+    return sorted(column.agg(_grid("v", buckets)).first()[0][1:-1])
 
 
 def with_bucket(df: DataFrame, order: str, bounds: Sequence[float], name: str) -> DataFrame:
