@@ -53,7 +53,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("card1"),
         F.col("c_nationkey").alias("card2"),
         F.col("c_mktsegment").alias("ProductCD"),
-        F.when(F.col("event_type").isin("view", "click"), "mobile").otherwise("desktop").alias("DeviceType"),
+        F.when(F.col("c_nationkey") < 10, "mobile").otherwise("desktop").alias("DeviceType"),
         F.col("c_acctbal").alias("dist1"),
         F.regexp_extract("props", r"(\d+)", 1).cast("double").alias("dist2"),
         (F.col("event_type") == "error").cast("int").alias("isFraud"),
@@ -64,7 +64,7 @@ TX = """tx AS (
   SELECT event_id AS "TransactionID", epoch_us(ts) / 1e6 AS "TransactionDT",
          value AS "TransactionAmt", user_id AS card1, c_nationkey AS card2,
          c_mktsegment AS "ProductCD",
-         CASE WHEN event_type IN ('view', 'click') THEN 'mobile' ELSE 'desktop' END AS "DeviceType",
+         CASE WHEN c_nationkey < 10 THEN 'mobile' ELSE 'desktop' END AS "DeviceType",
          c_acctbal AS dist1, CAST(regexp_extract(props, '(\\d+)', 1) AS DOUBLE) AS dist2,
          CAST(event_type = 'error' AS INTEGER) AS "isFraud"
   FROM events LEFT JOIN customer ON user_id = c_custkey)"""

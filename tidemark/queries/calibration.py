@@ -148,11 +148,11 @@ def _(spark, d):
 
 # ------------------------------------------------------- calibration and weighting
 
-# Scores to two decimals, so equal scores are common; all rows take part. The fit is the
+# Scores cut to two decimals, so equal scores are common; all rows take part. The fit is the
 # max-min formula of isotonic regression over the pooled scores.
 @query(
     "mdl8_isotonic_calibration",
-    f"""WITH {SCORED}, g AS (SELECT round(prob, 2) AS p, sum(label)::DOUBLE AS y, count(*)::DOUBLE AS w FROM scored GROUP BY 1),
+    f"""WITH {SCORED}, g AS (SELECT floor(prob * 100) / 100 AS p, sum(label)::DOUBLE AS y, count(*)::DOUBLE AS w FROM scored GROUP BY 1),
 c AS (SELECT *, row_number() OVER (ORDER BY p) AS i, sum(y) OVER (ORDER BY p) AS sy, sum(w) OVER (ORDER BY p) AS sw FROM g),
 ab AS (SELECT a.i AS a, b.i AS b, (b.sy - a.sy + a.y) / (b.sw - a.sw + a.w) AS m FROM c a JOIN c b ON a.i <= b.i),
 lo AS (SELECT a, b AS i, min(m) OVER (PARTITION BY a ORDER BY b DESC) AS m FROM ab),
@@ -160,7 +160,7 @@ fit AS (SELECT i, max(m) AS f FROM lo GROUP BY i)
 SELECT round(p, 2) AS raw, w::BIGINT AS n, round(f, 6) AS calibrated FROM c JOIN fit USING (i)""",
 )
 def _(spark, d):
-    rows = scored(spark, d).select("label", F.round("prob", 2).alias("raw"))
+    rows = scored(spark, d).select("label", (F.floor(F.col("prob") * 100.0) / 100.0).alias("raw"))
     model = fit_isotonic(rows, "label", "raw")
     points = rows.groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
     return apply_isotonic(points, model, "raw", "calibrated").select("raw", "n", r6("calibrated").alias("calibrated"))

@@ -62,8 +62,8 @@ WHERE (day + 1) * 86400e6 <= (SELECT max(epoch_us(ts)) - 3600e6 FROM e)""",
 )
 def _(spark, d):
     """Every day the watermark has closed; the day still open is not reported yet."""
-    path = f"{d}/events.parquet"
-    rows = read_scored_stream(spark, path, spark.read.parquet(path).schema).select(
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    rows = read_scored_stream(spark, d, schema, "events.parquet").select(
         "ts", F.least(F.col("value") / F.lit(100.0), F.lit(1.0)).alias("prob")
     )
     base = scratch_path(spark, f"monitor-{uuid.uuid4().hex}")

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.operators.ensemble import disagreement
 from tidemark.operators.order import CANDIDATES, exact_quantiles
@@ -64,8 +65,9 @@ def period_flags(scored: DataFrame, period: str, members: Sequence[str], row_thr
     return out.withColumn("retrain", F.col("uncertain_share") > uncertain_limit)
 
 
-def read_scored_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+def read_scored_stream(spark: SparkSession, directory: str, schema: StructType, files: str = "*.parquet") -> DataFrame:
+    """Parquet files as they arrive in ``directory``, restricted to names like ``files``."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(directory)
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
