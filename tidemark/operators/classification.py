@@ -59,6 +59,18 @@ def threshold_metrics(df: DataFrame, label: str = "label", pred: str = "pred", p
     )
 
 
+def cost_columns(cost_fp: float = 1.0, cost_fn: float = 10.0) -> dict[str, Column]:
+    """Cost and rates from the confusion counts ``tn``, ``fp``, ``fn``, ``tp``."""
+    tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
+    total = (F.lit(float(cost_fp)) * fp + F.lit(float(cost_fn)) * fn).cast("double")
+    return {
+        "total_cost": total,
+        "cost_per_transaction": safe_div(total, tn + fp + fn + tp),
+        "fraud_catch_rate": ratio_or_zero(tp, tp + fn),
+        "false_alarm_rate": ratio_or_zero(fp, fp + tn),
+    }
+
+
 def cost_metrics(
     df: DataFrame,
     label: str = "label",
@@ -67,15 +79,8 @@ def cost_metrics(
     cost_fn: float = 10.0,
     group: Sequence[str] = (),
 ) -> DataFrame:
-    tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
-    total = (F.lit(float(cost_fp)) * fp + F.lit(float(cost_fn)) * fn).cast("double")
-    return confusion(df, label, pred, group).select(
-        *group,
-        total.alias("total_cost"),
-        safe_div(total, tn + fp + fn + tp).alias("cost_per_transaction"),
-        ratio_or_zero(tp, tp + fn).alias("fraud_catch_rate"),
-        ratio_or_zero(fp, fp + tn).alias("false_alarm_rate"),
-    )
+    costs = cost_columns(cost_fp, cost_fn)
+    return confusion(df, label, pred, group).select(*group, *[c.alias(n) for n, c in costs.items()])
 
 
 # ----------------------------------------------------------------- calibration

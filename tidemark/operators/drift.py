@@ -13,7 +13,6 @@ from tidemark.operators.classification import one_row
 from tidemark.operators.learners import assemble, importance_table, load_learner, make_learner, with_probability
 from tidemark.operators.ranking import ranking_metrics
 from tidemark.operators.splits import random_holdout
-from tidemark.session import cut_lineage
 
 # Threshold sweep of the detector evaluation and its fallback.
 SWEEP_LOW, SWEEP_HIGH, SWEEP_STEPS, SWEEP_FALLBACK = 0.3, 0.9, 100, 0.6
@@ -33,11 +32,12 @@ class DriftValidator:
         self.features: list[str] = []
 
     def fit(self, domains: DataFrame, features: Sequence[str], key: str, holdout: float = 0.2) -> dict[str, float]:
-        """Fit on a hash-based share of the rows; AUC on both shares from one scoring pass."""
+        """Fit on a hash-based share of the rows; AUC on both shares from one scoring pass.
+        The learner reads ``domains`` many times: pass a frame that is cheap to scan."""
         learner = make_learner(self.learner, "domain", self.seed, self.params)
         self.features = list(features)
-        rows = cut_lineage(
-            random_holdout(assemble(domains, features), key, holdout, self.seed).select(key, "features", "domain", "holdout")
+        rows = random_holdout(assemble(domains, features), key, holdout, self.seed).select(
+            key, "features", "domain", "holdout"
         )
         self.model = learner.fit(rows.where(F.col("holdout") == 0))
         scored = with_probability(rows, self.model, "prob")

@@ -27,6 +27,7 @@ from tidemark.session import cut_lineage
 CANDIDATES = 200_000
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 4_096
+BROADCAST_OFFSETS = 500_000
 _GRID = 500
 _MAX_PASSES = 16
 _LOCAL_BITS = 33
@@ -68,7 +69,6 @@ class _Bracket:
     high: float | int
     below: int
     inside: int
-    distinct: int
     grid: list
 
 
@@ -83,7 +83,7 @@ def _narrow(b: _Bracket, rank: int) -> tuple[float | int, float | int]:
 
 def _probe(values: DataFrame, probes: list[tuple[int, object, object, object, object]]) -> list[tuple]:
     """One aggregation over the old brackets: per probe the values under the new low, the
-    values inside the new bracket, their distinct count and a quantile grid."""
+    values inside the new bracket and a quantile grid of those."""
     aggs, keep, shrunk = [], F.lit(False), {}
     for i, (col, old_low, old_high, low, high) in enumerate(probes):
         v = F.col(f"v{col}")
@@ -94,11 +94,10 @@ def _probe(values: DataFrame, probes: list[tuple[int, object, object, object, ob
         aggs += [
             F.count_if(in_old & (v < F.lit(low))).alias(f"below{i}"),
             F.count(inside).alias(f"inside{i}"),
-            F.approx_count_distinct(inside).alias(f"distinct{i}"),
             _grid(f"i{i}", _GRID).alias(f"grid{i}"),
         ]
     row = values.where(keep).withColumns(shrunk).agg(*aggs).first()
-    return [(row[f"below{i}"], row[f"inside{i}"], row[f"distinct{i}"], row[f"grid{i}"]) for i in range(len(probes))]
+    return [(row[f"below{i}"], row[f"inside{i}"], row[f"grid{i}"]) for i in range(len(probes))]
 
 
 def order_statistics(
@@ -106,9 +105,9 @@ def order_statistics(
 ) -> dict[str, list[OrderStatistic]]:
     """Exact values at the requested ranks, in the order the ranks were asked for.
 
-    Every pass is one global aggregation with a fixed-size state; a pass shrinks each
-    bracket several hundredfold, and once at most ``candidates`` distinct values are left
-    they are counted and cumulated. Ranks outside 1..n are an error.
+    Every pass is one global aggregation with a fixed-size state and shrinks each bracket
+    about a hundredfold, until it is a single value or holds at most ``candidates`` rows.
+    What is left is counted per value and cumulated. Ranks outside 1..n are an error.
     """
     names = list(requests)
     values = df.select(*[requests[n].expr.alias(f"v{i}") for i, n in enumerate(names)])
@@ -124,7 +123,6 @@ def order_statistics(
             F.count(v).alias(f"n{i}"),
             F.min(v).alias(f"low{i}"),
             F.max(v).alias(f"high{i}"),
-            F.approx_count_distinct(v).alias(f"distinct{i}"),
             _grid(f"v{i}", _GRID).alias(f"grid{i}"),
         ]
     row = values.agg(*aggs).first()
@@ -137,14 +135,12 @@ def order_statistics(
         for rank in wanted[name]:
             if not 1 <= rank <= n:
                 raise ValueError(f"{name}: rank {rank} outside 1..{n}")
-            brackets[i, rank] = _Bracket(
-                row[f"low{i}"], row[f"high{i}"], 0, n, row[f"distinct{i}"], row[f"grid{i}"]
-            )
+            brackets[i, rank] = _Bracket(row[f"low{i}"], row[f"high{i}"], 0, n, row[f"grid{i}"])
 
     for _ in range(_MAX_PASSES):
         moves = {}
         for (i, rank), b in brackets.items():
-            if b.distinct > candidates:
+            if b.inside > candidates and b.low < b.high:
                 low, high = _narrow(b, rank)
                 if (low, high) != (b.low, b.high):
                     moves[i, rank] = (low, high)
@@ -154,22 +150,41 @@ def order_statistics(
         found = dict(zip(probes, _probe(values, probes)))
         for (i, rank), (low, high) in moves.items():
             b = brackets[i, rank]
-            below, inside, distinct, grid = found[i, b.low, b.high, low, high]
+            below, inside, grid = found[i, b.low, b.high, low, high]
             if b.below + below < rank <= b.below + below + inside:
-                brackets[i, rank] = _Bracket(low, high, b.below + below, inside, distinct, grid)
+                brackets[i, rank] = _Bracket(low, high, b.below + below, inside, grid)
 
     sizes = [row[f"n{i}"] for i in range(len(names))]
     return _settle(values, names, integral, wanted, brackets, sizes)
 
 
 def _settle(values, names, integral, wanted, brackets, sizes) -> dict[str, list[OrderStatistic]]:
-    """Count the distinct values left in each bracket and read the ranks off the totals."""
-    spans = sorted({(i, b.low, b.high) for (i, _), b in brackets.items()})
-    if not spans:
-        return {name: [] for name in names}
-    below = {(i, b.low, b.high): b.below for (i, _), b in brackets.items()}
+    """Read the ranks off the brackets: a single value needs nothing more, the values of
+    the others are counted and cumulated, one small window group per bracket."""
+    spans = sorted({(i, b.low, b.high, b.below) for (i, _), b in brackets.items() if b.low < b.high})
+    cumulated = _cumulated(values, spans, integral, brackets) if spans else []
+
+    out: dict[str, list[OrderStatistic]] = {}
+    for i, name in enumerate(names):
+        out[name] = []
+        for rank in wanted[name]:
+            b = brackets[i, rank]
+            value, below, equal = b.low, b.below, b.inside
+            if b.low < b.high:
+                span = spans.index((i, b.low, b.high, b.below))
+                row = next(
+                    r for r in cumulated if r["span"] == span and r["upto"] - r["equal"] < rank - b.below <= r["upto"]
+                )
+                value = row["whole"] if integral[i] else row["real"]
+                below, equal = b.below + row["upto"] - row["equal"], row["equal"]
+            out[name].append(OrderStatistic(rank, value, below, equal, sizes[i]))
+    return out
+
+
+def _cumulated(values, spans, integral, brackets) -> list:
+    """The rows of the cumulated value counts that hold a wanted rank."""
     entries, keep = [], F.lit(False)
-    for s, (i, low, high) in enumerate(spans):
+    for s, (i, low, high, _) in enumerate(spans):
         v = F.col(f"v{i}")
         inside = (v >= F.lit(low)) & (v <= F.lit(high))
         keep = keep | inside
@@ -185,36 +200,13 @@ def _settle(values, names, integral, wanted, brackets, sizes) -> dict[str, list[
         .agg(F.count(F.lit(1)).alias("equal"))
     )
     upto = Window.partitionBy("span").orderBy("whole", "real")
-    cumulated = counts.withColumn("upto", F.sum("equal").over(upto))
     hit = F.lit(False)
     for (i, rank), b in brackets.items():
-        s = spans.index((i, b.low, b.high))
-        r = rank - b.below
-        hit = hit | (
-            (F.col("span") == s) & (F.col("upto") >= F.lit(r)) & (F.col("upto") - F.col("equal") < F.lit(r))
-        )
-    rows = cumulated.where(hit).collect()
-
-    out: dict[str, list[OrderStatistic]] = {}
-    for i, name in enumerate(names):
-        out[name] = []
-        for rank in wanted[name]:
-            b = brackets[i, rank]
-            s = spans.index((i, b.low, b.high))
-            base = below[spans[s]]
-            row = next(
-                x for x in rows if x["span"] == s and x["upto"] - x["equal"] < rank - base <= x["upto"]
-            )
-            out[name].append(
-                OrderStatistic(
-                    rank,
-                    row["whole"] if integral[i] else row["real"],
-                    base + row["upto"] - row["equal"],
-                    row["equal"],
-                    sizes[i],
-                )
-            )
-    return out
+        if b.low < b.high:
+            r = F.lit(rank - b.below)
+            span = F.col("span") == spans.index((i, b.low, b.high, b.below))
+            hit = hit | (span & (F.col("upto") >= r) & (F.col("upto") - F.col("equal") < r))
+    return counts.withColumn("upto", F.sum("equal").over(upto)).where(hit).collect()
 
 
 def exact_quantiles(
@@ -366,18 +358,16 @@ def row_index(
     offsets = parts.withColumn(
         "_shift", F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1
     ).drop("_rows", "_first")
-    if group:
-        # NULL-safe on the group columns: a NULL group is numbered like any other.
-        right = offsets.select(
-            *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_p"), "_shift"
-        )
-        cond = F.col("_part") == F.col("_p")
-        for i, g in enumerate(group):
-            cond = cond & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-        joined = placed.join(right, cond)
-    else:
-        # One row per sort partition: bounded by spark.sql.shuffle.partitions.
-        joined = placed.join(F.broadcast(offsets), "_part")
+    right = offsets.select(
+        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_p"), "_shift"
+    )
+    # One row per sort partition and group in it; broadcast only when counted small.
+    if not group or parts.count() <= BROADCAST_OFFSETS:
+        right = F.broadcast(right)
+    cond = F.col("_part") == F.col("_p")
+    for i, g in enumerate(group):
+        cond = cond & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    joined = placed.join(right, cond)
     return joined.select(*df.columns, (F.col("_local") + F.col("_shift")).alias(name))
 
 
@@ -425,38 +415,36 @@ def running_totals(
     be hot. Only the bucket totals, one row per group and bucket, are ordered across
     buckets.
     """
-    keys = [*group, "_bucket"]
-    bucketed = with_bucket(points, order, bounds, "_bucket")
+    # A struct is never NULL, so a NULL group joins like any other on plain equality and
+    # the join reuses the partitioning and order of the window.
+    bucketed = with_bucket(points, order, bounds, "_bucket").withColumn("_key", F.struct(*group, "_bucket"))
     direction = F.col(order).desc() if descending else F.col(order).asc()
-    edge = F.max_by if descending else F.min_by
-    inner = Window.partitionBy(*keys).orderBy(direction)
+    inner = Window.partitionBy("_key").orderBy(direction)
     local = {f"cum_{s}": F.sum(s).over(inner) for s in sums}
     if following:
         local |= {f"next_{s}": F.lead(s).over(inner) for s in sums}
     local_rows = bucketed.withColumns(local)
 
     if not bounds:
-        whole = Window.partitionBy(*keys)
-        return local_rows.withColumns({f"all_{s}": F.sum(s).over(whole) for s in sums}).drop("_bucket")
+        whole = Window.partitionBy("_key")
+        return local_rows.withColumns({f"all_{s}": F.sum(s).over(whole) for s in sums}).drop("_bucket", "_key")
 
-    totals = bucketed.groupBy(*keys).agg(
+    edge = F.max_by if descending else F.min_by
+    totals = bucketed.groupBy("_key").agg(
         *[F.sum(s).alias(f"_sum_{s}") for s in sums],
         *[edge(F.col(s), F.col(order)).alias(f"_edge_{s}") for s in sums],
     )
-    order_b = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
-    across = Window.partitionBy(*group).orderBy(order_b)
+    bucket = F.col("_key").getField("_bucket")
+    whole = Window.partitionBy(F.struct(F.lit(0), *[F.col("_key").getField(g) for g in group]))
+    across = whole.orderBy(bucket.desc() if descending else bucket.asc())
     before = across.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
     carried = totals.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.col("_key").alias("_of"),
         *[F.coalesce(F.sum(f"_sum_{s}").over(before), F.lit(0)).alias(f"_shift_{s}") for s in sums],
         *[F.sum(f"_sum_{s}").over(whole).alias(f"all_{s}") for s in sums],
         *[F.lead(f"_edge_{s}").over(across).alias(f"_after_{s}") for s in sums],
     )
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    joined = local_rows.join(carried, cond)
+    joined = local_rows.join(carried, F.col("_key") == F.col("_of"))
     fixed = {f"cum_{s}": F.col(f"cum_{s}") + F.col(f"_shift_{s}") for s in sums}
     if following:
         fixed |= {f"next_{s}": F.coalesce(F.col(f"next_{s}"), F.col(f"_after_{s}")) for s in sums}

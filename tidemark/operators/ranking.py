@@ -102,6 +102,12 @@ def _highest_score() -> Column:
     return (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
 
 
+def _bends() -> Column:
+    """The last score, or one whose own step differs from the next."""
+    step = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
+    return F.col("next_pos").isNull() | step
+
+
 def _with_end(c: DataFrame, point: Column, end: Column, group: Sequence[str]) -> DataFrame:
     """Curve points; the row of the highest score also gives the curve's open end."""
     points = F.when(_highest_score(), F.array(end, point)).otherwise(F.array(point))
@@ -115,11 +121,9 @@ def roc_curve(
     the step to it and the step from it are equal, as the line through it is straight;
     the first and last score always stay."""
     c = cumulative_points(df, label, prob, group, rows_per_bucket, following=True).where(_both_classes())
-    last = F.col("next_pos").isNull()
-    bend = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
     point = _point(F.col("score"), fpr=safe_div("fp", "n_neg"), tpr=safe_div("tp", "n_pos"))
     start = _point(F.lit(float("inf")), fpr=F.lit(0.0), tpr=F.lit(0.0))
-    return _with_end(c.where(_highest_score() | last | bend), point, start, group)
+    return _with_end(c.where(_highest_score() | _bends()), point, start, group)
 
 
 # The operating points reported.
@@ -154,6 +158,40 @@ def tpr_at_fpr(curve: DataFrame, targets: Sequence[float] = TARGET_FPRS, group:
     )
 
 
+def ranking_bundle(
+    df: DataFrame,
+    label: str = "label",
+    prob: str = "prob",
+    group: Sequence[str] = (),
+    recalls: Sequence[float] = TARGET_RECALLS,
+    fprs: Sequence[float] = TARGET_FPRS,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """AUC, AP and all operating points from one pass over the cumulative points, so an
+    evaluation shuffles the scores once. Equal to the single metrics above."""
+    c = cumulative_points(df, label, prob, group, rows_per_bucket, following=True).where(_both_classes())
+    pos, neg, tp, fp = (F.col(x) for x in ("pos", "neg", "tp", "fp"))
+    precision, recall, fpr = safe_div(tp, tp + fp), safe_div("tp", "n_pos"), safe_div("fp", "n_neg")
+    aggs = [
+        safe_div(F.sum(neg * (tp - pos) + F.lit(0.5) * pos * neg), F.max(F.col("n_pos") * F.col("n_neg"))).alias("auroc"),
+        F.sum(safe_div("pos", "n_pos") * precision).alias("auprc"),
+    ]
+    for t in recalls:
+        gap = F.abs(recall - F.lit(t))
+        near = F.min_by(precision, F.struct(gap, F.col("score")))
+        # The open end (1, 0) lies at distance t and loses a tie, having the top threshold.
+        aggs.append(F.when(F.min(gap) <= t, near).otherwise(1.0).alias(f"precision_at_recall_{int(t * 100)}"))
+    on_curve = _highest_score() | _bends()
+    for t in fprs:
+        gap = F.when(on_curve, F.abs(fpr - F.lit(t)))
+        near = F.min_by(recall, F.when(on_curve, F.struct(gap, -F.col("score"))))
+        # The start (0, 0) lies at distance t and wins a tie for the same reason.
+        name = f"tpr_at_fpr_{t:.3f}".replace(".", "_")
+        aggs.append(F.when(F.min(gap) < t, near).otherwise(0.0).alias(name))
+    out = c.groupBy(*group).agg(*aggs)
+    return out.where(F.col("auroc").isNotNull())
+
+
 def equal_count_bins(df: DataFrame, prob: str, key: str, bins: int = 10) -> DataFrame:
     """Add ``bin`` 0..k-1 of ``n // k`` rows each by ascending score; the last takes the
     remainder. Same shape as the temporal periods, ordered by score instead of time."""

@@ -7,37 +7,29 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.classification import (
     calibration_metrics,
-    cost_metrics,
+    cost_columns,
     one_row,
     threshold_metrics,
 )
 from tidemark.operators.drift import detection_metrics
-from tidemark.operators.ranking import (
-    pr_curve,
-    precision_at_recall,
-    ranking_metrics,
-    roc_curve,
-    tpr_at_fpr,
-)
+from tidemark.operators.ranking import ranking_bundle
 from tidemark.operators.stability import period_metrics, stability_summary
 from tidemark.params import EvalParams
 from tidemark.sources.sinks import union_metrics, wide_to_metrics
 
 
 def standard_metrics(scored: DataFrame, key: str, label: str, params: EvalParams = EvalParams()) -> DataFrame:
-    """Ranking, threshold, calibration and business metrics as one wide row."""
-    ranking = ranking_metrics(scored, label, "prob").select(
-        F.col("auc").alias("auroc"), F.col("average_precision").alias("auprc")
+    """Ranking, threshold, calibration and business metrics as one wide row: one scan for
+    the counts, one shuffle of the scores, one binned scan and the equal-count bins."""
+    counts = threshold_metrics(scored, label, "pred", "prob")
+    short = {"tn": "true_negatives", "fp": "false_positives", "fn": "false_negatives", "tp": "true_positives"}
+    costs = (
+        counts.withColumns({k: F.col(v) for k, v in short.items()})
+        .withColumns(cost_columns(params.cost_fp, params.cost_fn))
+        .drop(*short)
     )
     return one_row(
-        [
-            threshold_metrics(scored, label, "pred", "prob"),
-            ranking,
-            calibration_metrics(scored, key, label, "prob", params.bins),
-            cost_metrics(scored, label, "pred", params.cost_fp, params.cost_fn),
-            precision_at_recall(pr_curve(scored, label, "prob")),
-            tpr_at_fpr(roc_curve(scored, label, "prob")),
-        ]
+        [costs, ranking_bundle(scored, label, "prob"), calibration_metrics(scored, key, label, "prob", params.bins)]
     )
 
 

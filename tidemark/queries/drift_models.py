@@ -53,8 +53,9 @@ def trained(spark, d):
 @query("mdl13_end_to_end_training")
 def _(spark, d):
     """Splits, features, members, calibration, weights, validators and all metrics."""
-    _, metrics = train(transactions(spark, d), ROLES, PARAMS)
-    return metrics
+    run = train(transactions(spark, d), ROLES, PARAMS)
+    _TRAINED[spark.sparkContext.applicationId, d] = run
+    return run[1]
 
 
 @query("mdl14_prepared_rows")

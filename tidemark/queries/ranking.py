@@ -10,6 +10,7 @@ from tidemark.operators.ranking import (
     distribution_distance,
     pr_curve,
     precision_at_recall,
+    ranking_bundle,
     ranking_metrics,
     roc_curve,
     tpr_at_fpr,
@@ -256,6 +257,16 @@ def _(spark, d):
     return out.select(r6("drift_threshold").alias("threshold"), r6("drift_detection_f1").alias("f1"))
 
 
+@query(
+    "met21_ranking_bundle",
+    f"""{OVERALL}, {PR}, {ROC}, a AS (SELECT round({AUC}, 6) AS auroc, round({AP}, 6) AS auprc FROM cum),
+b AS (SELECT {AT_RECALL} FROM pr), c AS (SELECT {AT_FPR} FROM roc) SELECT * FROM a, b, c""",
+)
+def _(spark, d):
+    out = ranking_bundle(scored(spark, d))
+    return rounded(out, out.columns)
+
+
 @query("met21_full_evaluation")
 def _(spark, d):
     """All bundles in long form; every part has its own SQL check above."""

@@ -15,9 +15,19 @@ from tidemark.operators.profile import with_time_bin
 from tidemark.params import Roles
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | str | None = None) -> DataFrame:
-    """One table. CSV has a header; give a schema to avoid the inference scan. NaN becomes
-    NULL here, so that every later operator has one notion of missing."""
+def read_table(
+    spark: SparkSession,
+    path: str,
+    fmt: str = "parquet",
+    schema: StructType | str | None = None,
+    nan_as_null: bool | None = None,
+) -> DataFrame:
+    """One table. CSV has a header; give a schema to avoid the inference scan.
+
+    Every later operator knows one notion of missing, so NaN becomes NULL here. Parquet
+    stores NULL as such and is left as it is by default: a wrapped column would keep
+    filters on it from reaching the scan.
+    """
     reader = spark.read.format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
@@ -26,14 +36,16 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: Str
         if schema is None:
             reader = reader.option("inferSchema", True)
     df = reader.load(path)
-    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))]
+    if nan_as_null is None:
+        nan_as_null = fmt != "parquet"
+    floats = [f.name for f in df.schema.fields if nan_as_null and isinstance(f.dataType, (DoubleType, FloatType))]
     return df.withColumns({c: null_if_nan(c) for c in floats}) if floats else df
 
 
-def read_optional(spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | str | None = None) -> DataFrame | None:
+def read_optional(spark: SparkSession, path: str, fmt: str = "parquet", **kwargs) -> DataFrame | None:
     """The table, or None when nothing lies at ``path``; other errors are raised."""
     try:
-        return read_table(spark, path, fmt, schema)
+        return read_table(spark, path, fmt, **kwargs)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -60,7 +72,7 @@ def read_transactions(
     suffix = f".{fmt}" if fmt == "csv" else ""
     schemas = schemas or {}
     df = read_table(spark, f"{directory}/{name}_transaction{suffix}", fmt, schemas.get("transaction"))
-    identity = read_optional(spark, f"{directory}/{name}_identity{suffix}", fmt, schemas.get("identity"))
+    identity = read_optional(spark, f"{directory}/{name}_identity{suffix}", fmt, schema=schemas.get("identity"))
     if identity is not None:
         df = left_join_identity(df, identity, roles.key)
     df = with_time_parts(df, roles.time)
