@@ -30,6 +30,7 @@ from tidemark.operators.order import CANDIDATES, exact_quantiles, row_index
 from tidemark.operators.profile import category_counts, category_frequencies, numeric_profile
 from tidemark.operators.velocity import HOT_ROWS, with_velocity
 from tidemark.params import Roles, family
+from tidemark.session import cut_lineage
 
 BROADCAST_CODES = 500_000
 
@@ -205,7 +206,7 @@ class FeatureEngineer(Estimator):
             state["amount"] = [row[0], row[1] or 0.0]
         codes = None
         if categorical:
-            codes = category_codes(filled, categorical)
+            codes = cut_lineage(category_codes(filled, categorical))
             state["n_codes"] = codes.count()
             if self.options["unseen"] == "mode":
                 wanted = df.sparkSession.createDataFrame(

@@ -109,6 +109,8 @@ def order_statistics(
     about a hundredfold, until it is a single value or holds at most ``candidates`` rows.
     What is left is counted per value and cumulated. Ranks outside 1..n are an error.
     """
+    if not requests:
+        return {}
     names = list(requests)
     values = df.select(*[requests[n].expr.alias(f"v{i}") for i, n in enumerate(names)])
     integral = [isinstance(f.dataType, IntegralType) for f in values.schema.fields]
@@ -313,7 +315,7 @@ def cut_points(
             elif with_time < r < n:
                 tied = groups[name] & F.col(time).isNull()
                 ties[f"{name}/{r}"] = RankRequest(F.when(tied, F.col(key)), lambda _, k=r - with_time: [k])
-    by_key = order_statistics(df, ties, candidates) if ties else {}
+    by_key = order_statistics(df, ties, candidates)
 
     out: dict[str, list[Cut]] = {}
     for name, (n, _, wanted) in plan.items():
