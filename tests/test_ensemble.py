@@ -80,6 +80,15 @@ def test_bad_members(fitted):
         Ensemble({}).predict(df)
 
 
+def test_reweighting_prefers_steady_members(spark, fitted, tmp_path):
+    df, model, _ = fitted
+    model.save(f"{tmp_path}/w")
+    again = Ensemble.load(spark, f"{tmp_path}/w")
+    weights = again.reweight(df.withColumn("period", (F.col("TransactionID") / 300).cast("int")))
+    assert set(weights) == set(MEMBERS) and sum(weights.values()) == pytest.approx(1.0)
+    assert again.weights == weights != model.weights
+
+
 def test_no_validator_says_so(fitted):
     df, model, _ = fitted
     row = model.detect_drift(df).first()

@@ -1,8 +1,11 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.splits import half_split
 from tidemark.params import EvalParams, Roles, TrainParams
+from tidemark.plans.config import params_from_config, read_config
 from tidemark.plans.train import DriftAwareScorer, evaluate, train
 from tidemark.queries.drift_models import MEMBERS
 from tidemark.sources.sinks import read_metrics
@@ -107,3 +110,47 @@ def test_eval_parameter_ranges():
         EvalParams(bins=0)
     with pytest.raises(ValueError):
         EvalParams(targets={"x": (0.5, "sideways")})
+
+
+CONFIG = {
+    "training": {"random_seed": 7, "train_ratio": 0.75, "n_drift_periods": 3, "target_column": "isFraud", "early_stopping_rounds": 2},
+    "data": {"time_column": "TransactionDT", "id_column": "TransactionID", "use_synthetic": False},
+    "evaluation": {"calibration_bins": 5, "drift_threshold": 0.7, "target_metrics": {"auroc": 0.9, "calibration_ece": 0.05}},
+    "base_models": {
+        "lightgbm": {"model_type": "lightgbm", "params": {"num_leaves": 31, "learning_rate": 0.3, "n_estimators": 3, "feature_fraction": 0.9}},
+        "forest": {"type": "rf", "params": {"n_estimators": 4, "max_depth": 3, "min_samples_leaf": 2}},
+    },
+}
+
+
+def test_configuration_is_read_and_honoured(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps(CONFIG, indent=1))
+    roles, params, checks = params_from_config(read_config(spark, f"{tmp_path}/c.json"))
+    assert (params.seed, params.train_ratio, params.periods, params.drift_threshold) == (7, 0.75, 3, 0.7)
+    assert params.members["lightgbm"] == {
+        "type": "gbt",
+        "params": {"stepSize": 0.3, "maxIter": 3, "featureSubsetStrategy": "0.9"},
+        "early_stopping": 2,
+    }
+    assert params.members["forest"]["params"] == {"numTrees": 4, "maxDepth": 3, "minInstancesPerNode": 2}
+    assert checks.targets == {"auroc": (0.9, "higher"), "calibration_ece": (0.05, "lower")} and checks.bins == 5
+    assert roles.time == "TransactionDT"
+    with pytest.raises(ValueError, match="Unsupported"):
+        params_from_config({"base_models": {"x": {"type": "svm"}}})
+
+
+def test_job_entry_points(spark, run, tmp_path):
+    from tidemark.__main__ import main
+
+    df = run[0]
+    for name, rows in (("train", df), ("test", df.where("TransactionID % 2 = 0"))):
+        rows.write.parquet(f"{tmp_path}/data/{name}_transaction")
+    small = {**CONFIG, "base_models": {"forest": CONFIG["base_models"]["forest"]}}
+    (tmp_path / "c.json").write_text(json.dumps(small))
+    common = ["--data-path", f"{tmp_path}/data", "--format", "parquet", "--config", f"{tmp_path}/c.json"]
+    main(["train", *common, "--output-dir", f"{tmp_path}/model", "--quick-test"])
+    final = {r["metric"] for r in spark.read.json(f"{tmp_path}/model/results/metrics").collect()}
+    assert {"ensemble_auc", "test_auroc", "test_calibration_ece"} <= final
+    assert spark.read.json(f"{tmp_path}/model/results/targets").count() == 2
+    main(["evaluate", *common, "--model-path", f"{tmp_path}/model", "--output-dir", f"{tmp_path}/eval", "--drift-analysis"])
+    assert "drift_detection_f1" in {r["metric"] for r in spark.read.json(f"{tmp_path}/eval/metrics").collect()}

@@ -231,3 +231,27 @@ def evaluate(
         write_report(metrics, out)
         check_targets(metrics, params.targets).coalesce(1).write.mode("overwrite").json(f"{out}/targets")
     return metrics
+
+
+def train_and_test(
+    train_rows: DataFrame,
+    test_rows: DataFrame,
+    roles: Roles = Roles(),
+    params: TrainParams = TrainParams(),
+    eval_params: EvalParams = EvalParams(),
+    out: str | None = None,
+) -> tuple[DriftAwareScorer, DataFrame]:
+    """Train, score the labelled test rows, evaluate them and check the targets. The final
+    table holds the training metrics and the test metrics prefixed with ``test_``."""
+    spark = train_rows.sparkSession
+    scorer, trained = train(train_rows, roles, params, eval_params, out=out)
+    tested = evaluate(scorer, test_rows, eval_params)
+    final = cut_lineage(
+        trained.unionByName(tested.withColumn("metric", F.concat(F.lit("test_"), F.col("metric"))))
+    )
+    if out is not None:
+        write_metrics_json(final, f"{out}/results/metrics")
+        check_targets(tested, eval_params.targets).coalesce(1).write.mode("overwrite").json(f"{out}/results/targets")
+        body = {"params": asdict(params), "evaluation": asdict(eval_params), "roles": asdict(roles)}
+        write_json(spark, body, f"{out}/results/config")
+    return scorer, final
