@@ -192,8 +192,11 @@ class FeatureEngineer(Estimator):
     def _fit(self, df: DataFrame) -> FeatureModel:
         roles = self.roles
         numeric, categorical = roles.numeric(df), roles.categorical(df)
+        # Medians to impute with and quartiles of the profile from the same scans.
+        probs = [0.25, 0.5, 0.75] if self.keep_profile else [0.5]
+        quantiles = exact_quantiles(df, {c: F.col(c) for c in numeric}, probs, self.candidates)
         state = {
-            "medians": medians(df, numeric, self.candidates),
+            "medians": {c: q[len(q) // 2] for c, q in quantiles.items()},
             "modes": modes(df, categorical),
             "amount": None,
             "scaler": {},
@@ -216,8 +219,9 @@ class FeatureEngineer(Estimator):
                 state["fallback"] = {r["feature"]: int(r["code"]) for r in hits}
         profile = None
         if self.keep_profile:
+            quartiles = {c: [q[0], q[-1]] for c, q in quantiles.items()}
             profile = (
-                numeric_profile(df, numeric, candidates=self.candidates) if numeric else None,
+                numeric_profile(df, numeric, quartiles=quartiles) if numeric else None,
                 category_frequencies(df, categorical) if categorical else None,
             )
         model = FeatureModel(roles, self.options, state, codes, profile)

@@ -45,9 +45,16 @@ def _wide_to_long(df: DataFrame, columns: Sequence[str], stats: dict[str, callab
     return df.agg(*aggs).select(F.explode(rows).alias("r")).select("r.*")
 
 
-def numeric_profile(df: DataFrame, columns: Sequence[str], approx: bool = False, candidates: int = CANDIDATES) -> DataFrame:
+def numeric_profile(
+    df: DataFrame,
+    columns: Sequence[str],
+    approx: bool = False,
+    candidates: int = CANDIDATES,
+    quartiles: dict[str, list[float | None]] | None = None,
+) -> DataFrame:
     """Mean, sample deviation, range and quartiles per column. Quartiles are exact and
-    interpolated; ``approx`` takes them from a sketch in the same scan."""
+    interpolated, or taken as given (lower and upper per column); ``approx`` takes them
+    from a sketch in the same scan."""
     stats = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     if approx:
         stats |= {
@@ -55,7 +62,8 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], approx: bool = False,
             "q75": lambda c: F.percentile_approx(c, F.lit(0.75)),
         }
         return _wide_to_long(df, columns, stats)
-    quartiles = exact_quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.75], candidates)
+    if quartiles is None:
+        quartiles = exact_quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.75], candidates)
     at = {p: F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(quartiles[c][i]).cast("double"))]) for i, p in enumerate(("q25", "q75"))}
     return _wide_to_long(df, columns, stats).withColumns({p: at[p][F.col("feature")] for p in at})
 

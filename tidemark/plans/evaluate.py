@@ -33,6 +33,18 @@ def standard_metrics(scored: DataFrame, key: str, label: str, params: EvalParams
     )
 
 
+def temporal_metrics(
+    scored: DataFrame, label: str, period: str, drift_scores: DataFrame | None = None, scope: str = "test"
+) -> DataFrame:
+    """Per-period ranking, its stability and, from one (period, drift_score) row per
+    candidate, the quality of the drift detector; in long form."""
+    per = period_metrics(scored, label, "prob", period)
+    parts = [wide_to_metrics(per, scope, period, "period_"), wide_to_metrics(stability_summary(per), scope)]
+    if drift_scores is not None:
+        parts.append(wide_to_metrics(detection_metrics(drift_scores, period), scope))
+    return union_metrics(parts)
+
+
 def full_evaluation(
     scored: DataFrame,
     key: str,
@@ -43,13 +55,8 @@ def full_evaluation(
     scope: str = "test",
 ) -> DataFrame:
     """All metrics in long form. ``scored`` is scanned by every part, so pass a written or
-    checkpointed frame; ``drift_scores`` has one (period, drift_score) row per candidate."""
-    parts = [wide_to_metrics(standard_metrics(scored, key, label, params), scope)]
-    if period is not None:
-        per = period_metrics(scored, label, "prob", period)
-        parts.append(wide_to_metrics(per, scope, period, "period_"))
-        parts.append(wide_to_metrics(stability_summary(per), scope))
-    if drift_scores is not None:
-        detected = detection_metrics(drift_scores, period or "period")
-        parts.append(wide_to_metrics(detected, scope))
-    return union_metrics(parts)
+    checkpointed frame."""
+    standard = wide_to_metrics(standard_metrics(scored, key, label, params), scope)
+    if period is None:
+        return standard
+    return standard.unionByName(temporal_metrics(scored, label, period, drift_scores, scope))

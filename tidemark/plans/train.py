@@ -15,7 +15,7 @@ from tidemark.operators.joins import stack_domains
 from tidemark.operators.profile import member_scores
 from tidemark.operators.splits import drift_periods, half_split, stratified_temporal_split
 from tidemark.params import EvalParams, Roles, TrainParams
-from tidemark.plans.evaluate import full_evaluation
+from tidemark.plans.evaluate import full_evaluation, temporal_metrics
 from tidemark.session import cut_lineage
 from tidemark.sources.readers import read_optional
 from tidemark.sources.sinks import (
@@ -195,11 +195,7 @@ def _evaluate_run(data: Prepared, ensemble: Ensemble, roles: Roles, params: Eval
     members = member_scores(val, names).withColumn("feature", F.substring(F.col("feature"), 6, 1000))
     parts.append(wide_to_metrics(members, "validation", "feature", "contribution_"))
     if ensemble.drift is not None:
-        parts.append(
-            full_evaluation(
-                periods, roles.key, roles.label, params, "period", _candidate_scores(periods), scope="periods"
-            )
-        )
+        parts.append(temporal_metrics(periods, roles.label, "period", _candidate_scores(periods), "periods"))
     return union_metrics(parts)
 
 
