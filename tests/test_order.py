@@ -41,6 +41,17 @@ def test_order_statistics_are_exact(rows, name, candidates):
         assert (g.value, g.below, g.equal, g.n) == (v, (x < v).sum(), (x == v).sum(), len(x))
 
 
+@pytest.mark.parametrize("per_step", [1, 50])
+def test_sampled_grids_never_change_the_result(spark, monkeypatch, per_step):
+    """With a hopelessly small sample the brackets miss and are drawn again."""
+    monkeypatch.setattr(order, "_SAMPLE", 1)
+    monkeypatch.setattr(order, "_PER_STEP", per_step)
+    df = spark.range(0, 60_000, 1, 6).select(F.pmod(F.col("id") * 7_919, F.lit(60_000)).alias("x"))
+    ranks = [1, 2, 29_999, 30_000, 59_000, 60_000]
+    got = order_statistics(df, {"x": RankRequest(F.col("x"), lambda n: ranks)}, 100)["x"]
+    assert [(g.value, g.below, g.equal) for g in got] == [(r - 1, r - 1, 1) for r in ranks]
+
+
 def test_integers_beyond_double_precision(rows):
     base = 2**53
     x = [base + i for i in range(100)]

@@ -54,3 +54,12 @@ def test_chunks_bound_the_window_groups(rows):
     out = time_since_previous(df, "card", "t", "k", hot_rows=200)
     assert collected(out) == expected(data)
     assert out.agg(F.count_if(F.col("time_diff").isNull())).first()[0] == 1
+
+
+def test_rows_without_card_do_not_gather(rows):
+    df = rows([(i, None if i % 2 else 1, float(i)) for i in range(400)], "k bigint, card int, t double", 4)
+    for hot_rows in (50, 10**7):
+        out = time_since_previous(df, "card", "t", "k", hot_rows=hot_rows)
+        got = collected(out)
+        assert all(got[i] is None for i in range(1, 400, 2))
+        assert [got[i] for i in range(2, 400, 2)] == [2.0] * 199

@@ -29,15 +29,27 @@ ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 4_096
 BROADCAST_OFFSETS = 500_000
 _GRID = 500
+_SLACK = 3
+_SAMPLE = 300_000
+_PER_STEP = 50
 _MAX_PASSES = 16
 _LOCAL_BITS = 33
 
 
-def _grid(column: str, steps: int) -> Column:
-    """Quantile sketch of a column at 0, 1/steps, ..., 1: one SQL literal array, as
-    building the fractions one by one from Python costs more than the scan."""
+def _grid(column: str, steps: int, rows: int, seed: int) -> Column:
+    """Quantile sketch of a column with about ``rows`` values at 0, 1/steps, ..., 1.
+
+    The sketch is taken from about ``_SAMPLE`` of the values. A global sketch over all of
+    them would send one full sketch per input task to a single reducer; this way the
+    reducer gets a bounded number of values, however many tasks there are. The grid only
+    says where to look: every caller counts all rows or merely balances partitions.
+
+    One SQL literal array, as building the fractions from Python costs more than the scan.
+    """
     fractions = ",".join(f"{i / steps!r}D" for i in range(steps + 1))
-    return F.expr(f"percentile_approx({column}, array({fractions}), {10 * steps})")
+    share = max(_SAMPLE, _PER_STEP * steps) / max(rows, 1)
+    values = column if share >= 1.0 else f"CASE WHEN rand({seed}) < {share!r}D THEN {column} END"
+    return F.expr(f"percentile_approx({values}, array({fractions}), {10 * steps})")
 
 
 # --------------------------------------------------------------------------- ranks
@@ -69,32 +81,34 @@ class _Bracket:
     high: float | int
     below: int
     inside: int
-    grid: list
+    grid: list | None
 
 
 def _narrow(b: _Bracket, rank: int) -> tuple[float | int, float | int]:
-    """Grid values two steps either side of the rank: wider than the sketch's error."""
-    at = (rank - b.below) / max(b.inside, 1) * _GRID
-    lower, upper = math.floor(at) - 2, math.ceil(at) + 2
-    low = b.grid[lower] if lower > 0 else b.low
-    high = b.grid[upper] if upper < _GRID else b.high
+    """Grid values a few steps either side of the rank: wider than the grid's error, which
+    is half a step at five standard deviations of the sampled ranks."""
+    if b.grid is None:
+        return b.low, b.high
+    at = (rank - b.below) / b.inside * _GRID
+    lower, upper = math.floor(at) - _SLACK, math.ceil(at) + _SLACK
+    low = max(b.low, b.grid[lower]) if lower > 0 else b.low
+    high = min(b.high, b.grid[upper]) if upper < _GRID else b.high
     return low, high
 
 
-def _probe(values: DataFrame, probes: list[tuple[int, object, object, object, object]]) -> list[tuple]:
+def _probe(values: DataFrame, probes: list[tuple], seed: int) -> list[tuple]:
     """One aggregation over the old brackets: per probe the values under the new low, the
-    values inside the new bracket and a quantile grid of those."""
+    values inside the new bracket, and a quantile grid of those."""
     aggs, keep, shrunk = [], F.lit(False), {}
-    for i, (col, old_low, old_high, low, high) in enumerate(probes):
+    for i, (col, old_low, old_high, low, high, guess) in enumerate(probes):
         v = F.col(f"v{col}")
         in_old = (v >= F.lit(old_low)) & (v <= F.lit(old_high))
         shrunk[f"i{i}"] = F.when((v >= F.lit(low)) & (v <= F.lit(high)), v)
-        inside = F.col(f"i{i}")
         keep = keep | in_old
         aggs += [
             F.count_if(in_old & (v < F.lit(low))).alias(f"below{i}"),
-            F.count(inside).alias(f"inside{i}"),
-            _grid(f"i{i}", _GRID).alias(f"grid{i}"),
+            F.count(F.col(f"i{i}")).alias(f"inside{i}"),
+            _grid(f"i{i}", _GRID, guess, seed).alias(f"grid{i}"),
         ]
     row = values.where(keep).withColumns(shrunk).agg(*aggs).first()
     return [(row[f"below{i}"], row[f"inside{i}"], row[f"grid{i}"]) for i in range(len(probes))]
@@ -105,9 +119,10 @@ def order_statistics(
 ) -> dict[str, list[OrderStatistic]]:
     """Exact values at the requested ranks, in the order the ranks were asked for.
 
-    Every pass is one global aggregation with a fixed-size state and shrinks each bracket
-    about a hundredfold, until it is a single value or holds at most ``candidates`` rows.
-    What is left is counted per value and cumulated. Ranks outside 1..n are an error.
+    Every pass is one global aggregation with a fixed-size state. It counts the rows below
+    and inside a bracket around each rank and looks for a bracket some sixty times smaller,
+    until it is a single value or holds at most ``candidates`` rows. What is left is
+    counted per value and cumulated. Ranks outside 1..n are an error.
     """
     if not requests:
         return {}
@@ -121,12 +136,7 @@ def order_statistics(
     aggs = []
     for i in range(len(names)):
         v = F.col(f"v{i}")
-        aggs += [
-            F.count(v).alias(f"n{i}"),
-            F.min(v).alias(f"low{i}"),
-            F.max(v).alias(f"high{i}"),
-            _grid(f"v{i}", _GRID).alias(f"grid{i}"),
-        ]
+        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"low{i}"), F.max(v).alias(f"high{i}")]
     row = values.agg(*aggs).first()
 
     brackets: dict[tuple[int, int], _Bracket] = {}
@@ -137,24 +147,27 @@ def order_statistics(
         for rank in wanted[name]:
             if not 1 <= rank <= n:
                 raise ValueError(f"{name}: rank {rank} outside 1..{n}")
-            brackets[i, rank] = _Bracket(row[f"low{i}"], row[f"high{i}"], 0, n, row[f"grid{i}"])
+            brackets[i, rank] = _Bracket(row[f"low{i}"], row[f"high{i}"], 0, n, None)
 
-    for _ in range(_MAX_PASSES):
+    for seed in range(_MAX_PASSES):
         moves = {}
         for (i, rank), b in brackets.items():
             if b.inside > candidates and b.low < b.high:
                 low, high = _narrow(b, rank)
-                if (low, high) != (b.low, b.high):
-                    moves[i, rank] = (low, high)
+                if b.grid is None or (low, high) != (b.low, b.high):
+                    guess = b.inside if b.grid is None else b.inside * 2 * (_SLACK + 1) // _GRID
+                    moves[i, rank] = (low, high, guess)
         if not moves:
             break
         probes = sorted({(i, brackets[i, r].low, brackets[i, r].high, *m) for (i, r), m in moves.items()})
-        found = dict(zip(probes, _probe(values, probes)))
-        for (i, rank), (low, high) in moves.items():
+        found = dict(zip(probes, _probe(values, probes, seed)))
+        for (i, rank), move in moves.items():
             b = brackets[i, rank]
-            below, inside, grid = found[i, b.low, b.high, low, high]
+            below, inside, grid = found[i, b.low, b.high, *move]
             if b.below + below < rank <= b.below + below + inside:
-                brackets[i, rank] = _Bracket(low, high, b.below + below, inside, grid)
+                brackets[i, rank] = _Bracket(*move[:2], b.below + below, inside, grid)
+            else:  # the sampled grid missed the rank: draw another one
+                b.grid = None
 
     sizes = [row[f"n{i}"] for i in range(len(names))]
     return _settle(values, names, integral, wanted, brackets, sizes)
@@ -386,7 +399,7 @@ def bucket_bounds(
     buckets = min(MAX_BUCKETS, math.ceil(n / rows_per_bucket))
     if buckets <= 1:
         return []
-    return sorted(column.agg(_grid("v", buckets)).first()[0][1:-1])
+    return sorted(column.agg(_grid("v", buckets, n, 0)).first()[0][1:-1])
 
 
 def with_bucket(df: DataFrame, order: str, bounds: Sequence[float], name: str) -> DataFrame:

@@ -39,9 +39,11 @@ def time_since_previous(
     time of the chunk before. A run of equal times too big for a chunk is cut by key.
     """
     order = [F.col(time), F.col(key)]
+    # Rows without a card get no difference; set apart by key they gather nowhere.
+    apart = F.when(F.col(card).isNull(), F.col(key))
     hot = hot_cards(df, card, hot_rows) if hot is None else list(hot)
     if not hot:
-        w = Window.partitionBy(card).orderBy(*order)
+        w = Window.partitionBy(F.col(card), apart).orderBy(*order)
         return _null_cards(df.withColumn(name, F.col(time) - F.lag(time).over(w)), card, name)
 
     is_hot = F.coalesce(F.col(card).isin(*hot), F.lit(False))
@@ -61,7 +63,9 @@ def time_since_previous(
     chunked = chunked.withColumns(
         {
             "_tc": F.when(is_hot, F.col("_tc")).otherwise(0),
-            "_kc": F.when(is_hot & F.coalesce(in_run, F.lit(False)), F.col("_kc")).otherwise(0),
+            "_kc": F.when(is_hot & F.coalesce(in_run, F.lit(False)), F.col("_kc").cast("bigint")).otherwise(
+                F.when(F.col(card).isNull(), F.xxhash64(key)).otherwise(0)
+            ),
         }
     )
     groups = [card, "_tc", "_kc"]

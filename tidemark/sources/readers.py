@@ -91,6 +91,9 @@ def select_features(df: DataFrame, roles: Roles, extra: Sequence[str] = ()) -> D
 
 
 def epoch_seconds(ts: str) -> Column:
-    """Seconds since 1970 of a zoneless timestamp, as double with microseconds."""
-    micros = f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {ts})"
-    return F.expr(micros).cast("double") / F.lit(1e6)
+    """Seconds since 1970 of a zoneless timestamp, as double with microseconds. Built from
+    its fields, so the session's time zone plays no part."""
+    t = F.col(ts)
+    whole = F.unix_date(t.cast("date")).cast("bigint") * 86_400 + F.hour(t) * 3_600 + F.minute(t) * 60
+    micros = (F.date_part(F.lit("SECOND"), t) * 1_000_000).cast("bigint")
+    return (whole * 1_000_000 + micros).cast("double") / F.lit(1e6)
