@@ -36,8 +36,9 @@ _MAX_PASSES = 16
 _LOCAL_BITS = 33
 
 
-def _grid(column: str, steps: int, rows: int, seed: int) -> Column:
-    """Quantile sketch of a column with about ``rows`` values at 0, 1/steps, ..., 1.
+def _grid(column: str, steps: int, rows: int) -> Column:
+    """Quantile sketch of a column with about ``rows`` values at 0, 1/steps, ..., 1. The
+    frame carries a uniform random number per row in ``_u``.
 
     The sketch is taken from about ``_SAMPLE`` of the values. A global sketch over all of
     them would send one full sketch per input task to a single reducer; this way the
@@ -48,7 +49,7 @@ def _grid(column: str, steps: int, rows: int, seed: int) -> Column:
     """
     fractions = ",".join(f"{i / steps!r}D" for i in range(steps + 1))
     share = max(_SAMPLE, _PER_STEP * steps) / max(rows, 1)
-    values = column if share >= 1.0 else f"CASE WHEN rand({seed}) < {share!r}D THEN {column} END"
+    values = column if share >= 1.0 else f"CASE WHEN _u < {share!r}D THEN {column} END"
     return F.expr(f"percentile_approx({values}, array({fractions}), {10 * steps})")
 
 
@@ -108,9 +109,9 @@ def _probe(values: DataFrame, probes: list[tuple], seed: int) -> list[tuple]:
         aggs += [
             F.count_if(in_old & (v < F.lit(low))).alias(f"below{i}"),
             F.count(F.col(f"i{i}")).alias(f"inside{i}"),
-            _grid(f"i{i}", _GRID, guess, seed).alias(f"grid{i}"),
+            _grid(f"i{i}", _GRID, guess).alias(f"grid{i}"),
         ]
-    row = values.where(keep).withColumns(shrunk).agg(*aggs).first()
+    row = values.where(keep).withColumns({**shrunk, "_u": F.rand(seed)}).agg(*aggs).first()
     return [(row[f"below{i}"], row[f"inside{i}"], row[f"grid{i}"]) for i in range(len(probes))]
 
 
@@ -399,7 +400,7 @@ def bucket_bounds(
     buckets = min(MAX_BUCKETS, math.ceil(n / rows_per_bucket))
     if buckets <= 1:
         return []
-    return sorted(column.agg(_grid("v", buckets, n, 0)).first()[0][1:-1])
+    return sorted(column.withColumn("_u", F.rand(0)).agg(_grid("v", buckets, n)).first()[0][1:-1])
 
 
 def with_bucket(df: DataFrame, order: str, bounds: Sequence[float], name: str) -> DataFrame:
