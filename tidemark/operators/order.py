@@ -400,7 +400,8 @@ def bucket_bounds(
     buckets = min(MAX_BUCKETS, math.ceil(n / rows_per_bucket))
     if buckets <= 1:
         return []
-    return sorted(column.withColumn("_u", F.rand(0)).agg(_grid("v", buckets, n)).first()[0][1:-1])
+    grid = column.withColumn("_u", F.rand(0)).agg(_grid("v", buckets, n)).first()[0]
+    return sorted(grid[1:-1])
 
 
 def with_bucket(df: DataFrame, order: str, bounds: Sequence[float], name: str) -> DataFrame:
