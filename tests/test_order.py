@@ -41,6 +41,18 @@ def test_order_statistics_are_exact(rows, name, candidates):
         assert (g.value, g.below, g.equal, g.n) == (v, (x < v).sum(), (x == v).sum(), len(x))
 
 
+def test_ranks_at_the_edge_of_a_hot_value(rows):
+    """Two thirds of the rows hold one value; ranks right beside it need it cut off."""
+    n, hot = 30_000, 20_000
+    data = [(-1.0 - i / n,) for i in range(5_000)] + [(0.0,)] * hot + [(1.0 + i / n,) for i in range(5_000)]
+    df = rows(data, "x double", 6)
+    ranks = [1, 4_999, 5_000, 5_001, 25_000, 25_001, 25_002, 30_000]
+    got = order_statistics(df, {"x": RankRequest(F.col("x"), lambda k: ranks)}, 20)["x"]
+    s = np.sort([d[0] for d in data])
+    assert [g.value for g in got] == [s[r - 1] for r in ranks]
+    assert got[3].below == 5_000 and got[3].equal == hot
+
+
 @pytest.mark.parametrize("per_step", [1, 50])
 def test_sampled_grids_never_change_the_result(spark, monkeypatch, per_step):
     """With a hopelessly small sample the brackets miss and are drawn again."""

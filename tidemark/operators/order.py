@@ -24,7 +24,7 @@ from pyspark.sql.types import IntegralType
 
 from tidemark.session import cut_lineage
 
-CANDIDATES = 200_000
+CANDIDATES = 1_000_000
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 4_096
 BROADCAST_OFFSETS = 500_000
@@ -36,21 +36,23 @@ _MAX_PASSES = 16
 _LOCAL_BITS = 33
 
 
-def _grid(column: str, steps: int, rows: int) -> Column:
-    """Quantile sketch of a column with about ``rows`` values at 0, 1/steps, ..., 1. The
-    frame carries a uniform random number per row in ``_u``.
+def _share(rows: int, steps: int) -> float:
+    """Share of ``rows`` values that makes a good grid of ``steps``."""
+    return min(1.0, max(_SAMPLE, _PER_STEP * steps) / max(rows, 1))
 
-    The sketch is taken from about ``_SAMPLE`` of the values. A global sketch over all of
-    them would send one full sketch per input task to a single reducer; this way the
-    reducer gets a bounded number of values, however many tasks there are. The grid only
-    says where to look: every caller counts all rows or merely balances partitions.
 
-    One SQL literal array, as building the fractions from Python costs more than the scan.
+def _grid(values: str, steps: int) -> Column:
+    """Quantile sketch of an expression at 0, 1/steps, ..., 1.
+
+    Only ever taken from a bounded sample: a global sketch over all rows would send one
+    full sketch per input task to a single reducer. The grid says where to look, no more:
+    every caller counts all rows or merely balances partitions.
+
+    The fractions are one string literal: hundreds of literals cost more than the scan.
     """
-    fractions = ",".join(f"{i / steps!r}D" for i in range(steps + 1))
-    share = max(_SAMPLE, _PER_STEP * steps) / max(rows, 1)
-    values = column if share >= 1.0 else f"CASE WHEN _u < {share!r}D THEN {column} END"
-    return F.expr(f"percentile_approx({values}, array({fractions}), {10 * steps})")
+    fractions = ",".join(repr(i / steps) for i in range(steps + 1))
+    array = f"cast(split('{fractions}', ',') as array<double>)"
+    return F.expr(f"percentile_approx({values}, {array}, {10 * steps})")
 
 
 # --------------------------------------------------------------------------- ranks
@@ -74,45 +76,90 @@ class OrderStatistic:
     n: int
 
 
-@dataclass
+@dataclass(frozen=True)
 class _Bracket:
-    """Values in [low, high] hold the rank; ``below`` values lie under ``low``."""
+    """Values of expression ``col`` in [low, high] hold the rank; ``below`` lie under it."""
 
+    col: int
     low: float | int
     high: float | int
     below: int
     inside: int
-    grid: list | None
+
+    def covers(self) -> Column:
+        v = F.col(f"v{self.col}")
+        return (v >= F.lit(self.low)) & (v <= F.lit(self.high))
+
+
+def _neighbour(v: float | int, up: bool) -> float | int:
+    if isinstance(v, int):
+        return v + 1 if up else v - 1
+    return math.nextafter(v, math.inf if up else -math.inf)
 
 
-def _narrow(b: _Bracket, rank: int) -> tuple[float | int, float | int]:
-    """Grid values a few steps either side of the rank: wider than the grid's error, which
-    is half a step at five standard deviations of the sampled ranks."""
-    if b.grid is None:
-        return b.low, b.high
+def _pieces(b: _Bracket, rank: int, grid: list) -> list[tuple]:
+    """Ranges around the rank, in order: a few grid steps either side, wider than the
+    grid's error (half a step at five deviations of a sampled rank). A value that fills
+    whole steps becomes a range of its own, so however hot it is, it is cut off."""
     at = (rank - b.below) / b.inside * _GRID
-    lower, upper = math.floor(at) - _SLACK, math.ceil(at) + _SLACK
-    low = max(b.low, b.grid[lower]) if lower > 0 else b.low
-    high = min(b.high, b.grid[upper]) if upper < _GRID else b.high
-    return low, high
-
-
-def _probe(values: DataFrame, probes: list[tuple], seed: int) -> list[tuple]:
-    """One aggregation over the old brackets: per probe the values under the new low, the
-    values inside the new bracket, and a quantile grid of those."""
-    aggs, keep, shrunk = [], F.lit(False), {}
-    for i, (col, old_low, old_high, low, high, guess) in enumerate(probes):
-        v = F.col(f"v{col}")
-        in_old = (v >= F.lit(old_low)) & (v <= F.lit(old_high))
-        shrunk[f"i{i}"] = F.when((v >= F.lit(low)) & (v <= F.lit(high)), v)
-        keep = keep | in_old
-        aggs += [
-            F.count_if(in_old & (v < F.lit(low))).alias(f"below{i}"),
-            F.count(F.col(f"i{i}")).alias(f"inside{i}"),
-            _grid(f"i{i}", _GRID, guess).alias(f"grid{i}"),
-        ]
-    row = values.where(keep).withColumns({**shrunk, "_u": F.rand(seed)}).agg(*aggs).first()
-    return [(row[f"below{i}"], row[f"inside{i}"], row[f"grid{i}"]) for i in range(len(probes))]
+    lower, upper = max(math.floor(at) - _SLACK, 0), min(math.ceil(at) + _SLACK, _GRID)
+    low = max(b.low, grid[lower]) if lower > 0 else b.low
+    high = min(b.high, grid[upper]) if upper < _GRID else b.high
+    steps = grid[lower : upper + 1]
+    hot = sorted({x for x, y in zip(steps, steps[1:]) if x == y and low <= x <= high})
+    pieces, start = [], low
+    for v in hot:
+        if start < v:
+            pieces.append((start, _neighbour(v, up=False)))
+        pieces.append((v, v))
+        start = _neighbour(v, up=True)
+    if start <= high:
+        pieces.append((start, high))
+    return pieces
+
+
+def _any(conditions) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
+def _sampled_grids(values: DataFrame, brackets: list[_Bracket], seed: int) -> list[list | None]:
+    """A quantile grid per bracket, all from one scan that keeps a bounded sample."""
+    shares = [_share(b.inside, _GRID) for b in brackets]
+    inside = {f"b{i}": F.when(b.covers(), F.col(f"v{b.col}")) for i, b in enumerate(brackets)}
+    sample = (
+        values.where(_any(b.covers() for b in brackets))
+        .withColumns({**inside, "_u": F.rand(seed)})
+        .where(F.col("_u") <= max(shares))
+    )
+    grids = [_grid(f"CASE WHEN _u <= {s!r}D THEN b{i} END", _GRID).alias(f"g{i}") for i, s in enumerate(shares)]
+    row = sample.agg(*grids).first()
+    return [row[f"g{i}"] for i in range(len(brackets))]
+
+
+def _count_pieces(values: DataFrame, asked: list[tuple[_Bracket, tuple]]) -> list[tuple[int, list[int]]]:
+    """Per bracket and its pieces: values of the bracket under the first piece, and values
+    in each piece. Plain counts over the brackets' rows."""
+    aggs = []
+    for i, (b, pieces) in enumerate(asked):
+        v = F.col(f"v{b.col}")
+        aggs.append(F.count_if(b.covers() & (v < F.lit(pieces[0][0]))).alias(f"u{i}"))
+        for j, (low, high) in enumerate(pieces):
+            aggs.append(F.count_if((v >= F.lit(low)) & (v <= F.lit(high))).alias(f"p{i}_{j}"))
+    row = values.where(_any(b.covers() for b, _ in asked)).agg(*aggs).first()
+    return [(row[f"u{i}"], [row[f"p{i}_{j}"] for j in range(len(pieces))]) for i, (_, pieces) in enumerate(asked)]
+
+
+def _step(b: _Bracket, rank: int, pieces: tuple, under: int, counts: list[int]) -> _Bracket:
+    """The piece that holds the rank; the old bracket when a sampled grid missed it."""
+    below = b.below + under
+    for (low, high), inside in zip(pieces, counts):
+        if below < rank <= below + inside:
+            return _Bracket(b.col, low, high, below, inside)
+        below += inside
+    return b
 
 
 def order_statistics(
@@ -120,10 +167,11 @@ def order_statistics(
 ) -> dict[str, list[OrderStatistic]]:
     """Exact values at the requested ranks, in the order the ranks were asked for.
 
-    Every pass is one global aggregation with a fixed-size state. It counts the rows below
-    and inside a bracket around each rank and looks for a bracket some sixty times smaller,
-    until it is a single value or holds at most ``candidates`` rows. What is left is
-    counted per value and cumulated. Ranks outside 1..n are an error.
+    Each round samples the open brackets for a grid and then counts, over all their rows,
+    the values below and inside a range around each rank some sixty times smaller. It ends
+    when a bracket is a single value or holds at most ``candidates`` rows; those are
+    counted per value and cumulated. All rounds are global aggregations with a fixed-size
+    state. Ranks outside 1..n are an error.
     """
     if not requests:
         return {}
@@ -133,7 +181,6 @@ def order_statistics(
     values = values.select(
         *[F.col(f"v{i}").cast("bigint" if whole else "double").alias(f"v{i}") for i, whole in enumerate(integral)]
     )
-
     aggs = []
     for i in range(len(names)):
         v = F.col(f"v{i}")
@@ -148,38 +195,28 @@ def order_statistics(
         for rank in wanted[name]:
             if not 1 <= rank <= n:
                 raise ValueError(f"{name}: rank {rank} outside 1..{n}")
-            brackets[i, rank] = _Bracket(row[f"low{i}"], row[f"high{i}"], 0, n, None)
+            brackets[i, rank] = _Bracket(i, row[f"low{i}"], row[f"high{i}"], 0, n)
 
+    stuck: set[_Bracket] = set()
     for seed in range(_MAX_PASSES):
-        moves = {}
-        for (i, rank), b in brackets.items():
-            if b.inside > candidates and b.low < b.high:
-                low, high = _narrow(b, rank)
-                if b.grid is None or (low, high) != (b.low, b.high):
-                    guess = b.inside if b.grid is None else b.inside * 2 * (_SLACK + 1) // _GRID
-                    moves[i, rank] = (low, high, guess)
-        if not moves:
+        opened = {k: b for k, b in brackets.items() if b.inside > candidates and b.low < b.high and b not in stuck}
+        if not opened:
             break
-        probes = sorted({(i, brackets[i, r].low, brackets[i, r].high, *m) for (i, r), m in moves.items()})
-        found = dict(zip(probes, _probe(values, probes, seed)))
-        for (i, rank), move in moves.items():
-            b = brackets[i, rank]
-            below, inside, grid = found[i, b.low, b.high, *move]
-            if b.below + below < rank <= b.below + below + inside:
-                brackets[i, rank] = _Bracket(*move[:2], b.below + below, inside, grid)
-            else:  # the sampled grid missed the rank: draw another one
-                b.grid = None
-
-    sizes = [row[f"n{i}"] for i in range(len(names))]
-    return _settle(values, names, integral, wanted, brackets, sizes)
-
-
-def _settle(values, names, integral, wanted, brackets, sizes) -> dict[str, list[OrderStatistic]]:
-    """Read the ranks off the brackets: a single value needs nothing more, the values of
-    the others are counted and cumulated, one small window group per bracket."""
-    spans = sorted({(i, b.low, b.high, b.below) for (i, _), b in brackets.items() if b.low < b.high})
-    cumulated = _cumulated(values, spans, integral, brackets) if spans else []
-
+        spans = list(dict.fromkeys(opened.values()))
+        grids = dict(zip(spans, _sampled_grids(values, spans, seed)))
+        plans = {k: tuple(_pieces(b, k[1], grids[b])) for k, b in opened.items() if grids[b]}
+        # A grid that cannot narrow a bracket means few distinct values: counting settles it.
+        same = {k for k, pieces in plans.items() if pieces == ((opened[k].low, opened[k].high),)}
+        stuck |= {opened[k] for k in same}
+        asked = list(dict.fromkeys((opened[k], p) for k, p in plans.items() if k not in same))
+        if asked:
+            found = dict(zip(asked, _count_pieces(values, asked)))
+            for k, pieces in plans.items():
+                if k not in same:
+                    brackets[k] = _step(opened[k], k[1], pieces, *found[opened[k], pieces])
+
+    spans = list(dict.fromkeys(b for b in brackets.values() if b.low < b.high))
+    totals = _cumulated(values, spans, brackets) if spans else []
     out: dict[str, list[OrderStatistic]] = {}
     for i, name in enumerate(names):
         out[name] = []
@@ -187,42 +224,44 @@ def _settle(values, names, integral, wanted, brackets, sizes) -> dict[str, list[
             b = brackets[i, rank]
             value, below, equal = b.low, b.below, b.inside
             if b.low < b.high:
-                span = spans.index((i, b.low, b.high, b.below))
-                row = next(
-                    r for r in cumulated if r["span"] == span and r["upto"] - r["equal"] < rank - b.below <= r["upto"]
+                at = rank - b.below
+                hit = next(
+                    r for r in totals if r["span"] == spans.index(b) and r["upto"] - r["equal"] < at <= r["upto"]
                 )
-                value = row["whole"] if integral[i] else row["real"]
-                below, equal = b.below + row["upto"] - row["equal"], row["equal"]
-            out[name].append(OrderStatistic(rank, value, below, equal, sizes[i]))
+                value = hit["whole"] if integral[i] else hit["real"]
+                below, equal = b.below + hit["upto"] - hit["equal"], hit["equal"]
+            out[name].append(OrderStatistic(rank, value, below, equal, row[f"n{i}"]))
     return out
 
 
-def _cumulated(values, spans, integral, brackets) -> list:
-    """The rows of the cumulated value counts that hold a wanted rank."""
-    entries, keep = [], F.lit(False)
-    for s, (i, low, high, _) in enumerate(spans):
-        v = F.col(f"v{i}")
-        inside = (v >= F.lit(low)) & (v <= F.lit(high))
-        keep = keep | inside
-        whole = v if integral[i] else F.lit(None).cast("bigint")
-        real = F.lit(None).cast("double") if integral[i] else v
-        entries.append(
-            F.when(inside, F.struct(F.lit(s).alias("span"), whole.alias("whole"), real.alias("real")))
+def _cumulated(values: DataFrame, spans: list[_Bracket], brackets: dict) -> list:
+    """Count the values left in each bracket, cumulate them and return the rows that hold
+    a wanted rank. One small window group per bracket."""
+    whole_columns = dict(values.dtypes)
+    entries = []
+    for s, b in enumerate(spans):
+        v = F.col(f"v{b.col}")
+        whole = whole_columns[f"v{b.col}"] == "bigint"
+        entry = F.struct(
+            F.lit(s).alias("span"),
+            (v if whole else F.lit(None).cast("bigint")).alias("whole"),
+            (F.lit(None).cast("double") if whole else v).alias("real"),
         )
+        entries.append(F.when(b.covers(), entry))
     counts = (
-        values.where(keep)
+        values.where(_any(b.covers() for b in spans))
         .select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
         .groupBy("e.span", "e.whole", "e.real")
         .agg(F.count(F.lit(1)).alias("equal"))
     )
     upto = Window.partitionBy("span").orderBy("whole", "real")
-    hit = F.lit(False)
-    for (i, rank), b in brackets.items():
+    hits = []
+    for (_, rank), b in brackets.items():
         if b.low < b.high:
-            r = F.lit(rank - b.below)
-            span = F.col("span") == spans.index((i, b.low, b.high, b.below))
-            hit = hit | (span & (F.col("upto") >= r) & (F.col("upto") - F.col("equal") < r))
-    return counts.withColumn("upto", F.sum("equal").over(upto)).where(hit).collect()
+            at = F.lit(rank - b.below)
+            span = F.col("span") == spans.index(b)
+            hits.append(span & (F.col("upto") >= at) & (F.col("upto") - F.col("equal") < at))
+    return counts.withColumn("upto", F.sum("equal").over(upto)).where(_any(hits)).collect()
 
 
 def exact_quantiles(
@@ -400,8 +439,8 @@ def bucket_bounds(
     buckets = min(MAX_BUCKETS, math.ceil(n / rows_per_bucket))
     if buckets <= 1:
         return []
-    grid = column.withColumn("_u", F.rand(0)).agg(_grid("v", buckets, n)).first()[0]
-    return sorted(grid[1:-1])
+    sample = column.where(F.rand(0) <= _share(n, buckets))
+    return sorted(sample.agg(_grid("v", buckets)).first()[0][1:-1])
 
 
 def with_bucket(df: DataFrame, order: str, bounds: Sequence[float], name: str) -> DataFrame:
