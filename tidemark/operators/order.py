@@ -105,6 +105,8 @@ def _pieces(b: _Bracket, rank: int, grid: list) -> list[tuple]:
     lower, upper = max(math.floor(at) - _SLACK, 0), min(math.ceil(at) + _SLACK, _GRID)
     low = max(b.low, grid[lower]) if lower > 0 else b.low
     high = min(b.high, grid[upper]) if upper < _GRID else b.high
+    if low > high:  # integers beyond double precision, which the sketch rounds
+        return [(b.low, b.high)]
     steps = grid[lower : upper + 1]
     hot = sorted({x for x, y in zip(steps, steps[1:]) if x == y and low <= x <= high})
     pieces, start = [], low
