@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import stable_hash
-from tidemark.operators.order import CANDIDATES, RankRequest, cut_points, order_statistics, row_index
+from tidemark.operators.order import CANDIDATES, cut_points, row_index
 
 
 def temporal_split(
@@ -108,16 +108,3 @@ def class_positions(df: DataFrame, time: str, key: str, label: str) -> DataFrame
     """Time-ordered position within each class."""
     return row_index(df, [time, key], [label], "class_position")
 
-
-__all__ = [
-    "RankRequest",
-    "class_positions",
-    "drift_periods",
-    "half_split",
-    "order_statistics",
-    "random_holdout",
-    "sample_rows",
-    "stratified_folds",
-    "stratified_temporal_split",
-    "temporal_split",
-]
