@@ -24,7 +24,7 @@ from pyspark.sql.types import IntegralType
 
 from tidemark.session import cut_lineage
 
-CANDIDATES = 1_000_000
+CANDIDATES = 250_000
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 4_096
 BROADCAST_OFFSETS = 500_000
