@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import encode_decode
 from tidemark.llm.common import new_folder, read
+from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +39,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache, so that every run counts what it reports."""
     docs = read(spark, sf_dir, "documents")
     return token_counts(docs, public_tokenizers.path(TOKENIZER), new_folder(spark, "token-counts"))
+
+
+@query("op5_simhash_near_duplicates")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), width=4, radius=4)
