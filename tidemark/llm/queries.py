@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import encode_decode
 from tidemark.llm.common import new_folder, read
+from tidemark.llm.quality import score, train
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.token_counts import token_counts
 
@@ -44,3 +45,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_simhash_near_duplicates")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), width=4, radius=4)
+
+
+@query("op1_quality_classifier")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return score(docs, train(docs, read(spark, sf_dir, "labels")))
