@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import encode_decode
 from tidemark.llm.common import new_folder, read
+from tidemark.llm.decontaminate import leaks
 from tidemark.llm.quality import score, train
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.token_counts import token_counts
@@ -51,3 +52,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return score(docs, train(docs, read(spark, sf_dir, "labels")))
+
+
+@query("op6_benchmark_decontamination")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
