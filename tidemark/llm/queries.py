@@ -11,6 +11,7 @@ from tidemark.llm.bpe import encode_decode
 from tidemark.llm.common import new_folder, read
 from tidemark.llm.decontaminate import leaks
 from tidemark.llm.quality import score, train
+from tidemark.llm.rules import quality_rules
 from tidemark.llm.secret_scan import find_secrets
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.token_counts import token_counts
@@ -63,3 +64,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_secret_scan")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(read(spark, sf_dir, "documents"))
+
+
+@query("op3_quality_rules")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read(spark, sf_dir, "documents"))
