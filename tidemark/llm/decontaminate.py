@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import text_of
 
 #: Items that are indexed at a time; a larger benchmark takes one scan for each block.
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS = 5_000
 #: Steps sampled by a repetition, and the repetitions.
 SAMPLED = 9
 REPETITIONS = 8
@@ -41,7 +41,10 @@ CHUNK_WORDS = 200_000
 
 _TO_WORDS = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_TABLE_BITS = 22
+#: After these samples (counted from 0) a document's walk goes on only if an item's walk began
+#: with the same samples, looked up in a table of so many bits.
+NARROWED = (1, 3, 5)
+_TABLE_BITS = 20
 
 
 def words_of(text: str) -> list[bytes]:
@@ -49,7 +52,7 @@ def words_of(text: str) -> list[bytes]:
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
-    """Word numbers; 0 stands for the padding between documents."""
+    """Word numbers; 0 stands for the padding between texts."""
     return np.fromiter(map(zlib.crc32, words), np.uint64, len(words)) + np.uint64(1)
 
 
@@ -57,86 +60,96 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 class Repetition:
     steps: list[int]  # sampled steps, ascending
     bits: np.ndarray  # one odd multiplier for each step: the walk's random bits
-    tables: list[np.ndarray] = field(default_factory=list)  # prefixes of samples that items have
+    tables: dict[int, np.ndarray] = field(default_factory=dict)  # packed: samples that items begin with
     keys: np.ndarray | None = None  # whole samples, sorted
     item: np.ndarray | None = None
     offset: np.ndarray | None = None
 
 
-def _walk(words: np.ndarray, at: np.ndarray, rep: Repetition, narrow: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (key >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+
+
+def _walk(
+    words: np.ndarray, at: np.ndarray, rep: Repetition, tables: dict[int, np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray]]:
     """Walk from the starts ``at``; returns the surviving starts (as places in ``at``), their
-    samples' keys and their last positions. ``narrow`` drops a walk once no item begins its
-    sample so: it could only end without a match."""
-    place = np.arange(len(at))
-    here = at.copy()
-    key = np.zeros(len(at), np.uint64)
+    samples' keys, their last positions, and without ``tables`` the keys at ``NARROWED``. With
+    them a walk ends once no item begins its samples so: it could only end without a match."""
+    place, here, key = np.arange(len(at)), at.copy(), np.zeros(len(at), np.uint64)
+    begun: dict[int, np.ndarray] = {}
     done = 0
     for step in range(rep.steps[-1] + 1):
         value = words[here]
         if step == rep.steps[done]:
             key = (key ^ value) * _MIX
             key ^= key >> np.uint64(29)
-            done += 1
-            if done == len(rep.steps):
+            if step == rep.steps[-1]:
                 break
-            if narrow:
-                known = rep.tables[done - 1][(key >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)]
+            if done in NARROWED and tables is None:
+                begun[done] = key
+            elif done in NARROWED:
+                known = tables[done][_slot(key)]
                 place, here, key, value = place[known], here[known], key[known], value[known]
+            done += 1
         here = here + ((value * rep.bits[step]) >> np.uint64(63)).astype(np.int64)
-    return place, key, here
+    return place, key, here, begun
 
 
 class Matcher:
     """The index over one block of items, and exact matching of texts against it."""
 
     def __init__(self, items: list[tuple], max_share: float = 0.2, min_words: int = 5, repetitions: int = REPETITIONS):
-        self.items = []
+        self.items, words_of_items = [], []
         for item_id, text in items:
             words = words_of(text or "")
             if len(words) >= min_words:
                 masks: dict[bytes, int] = {}
                 for i, w in enumerate(words):
                     masks[w] = masks.get(w, 0) | 1 << i
-                self.items.append((item_id, len(words), masks, int(max_share * len(words)), _hashes(words)))
+                self.items.append((item_id, len(words), masks, int(max_share * len(words))))
+                words_of_items.append(words)
         shortest = min((n for _, n, *_ in self.items), default=min_words)
         self.stride = max(1, min(4, shortest // 4))
         self.span = max(4, min(18, 2 * (shortest - self.stride) - 2))
         self.pad = np.zeros(self.span + 2, np.uint64)
-        self.repetitions = [self._index(r) for r in range(repetitions)] if self.items else []
+        self.repetitions = [self._index(r, words_of_items) for r in range(repetitions)] if self.items else []
+        self._tables: list[dict[int, np.ndarray]] | None = None
 
-    def _index(self, number: int) -> Repetition:
+    def _stream(self, texts: list[list[bytes]], stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of all words with padding behind each text, the starts of walks, and where
+        each text begins."""
+        parts, starts, begins, total = [], [], [], 0
+        for words in texts:
+            parts += [_hashes(words), self.pad]
+            begins.append(total)
+            starts.append(np.arange(total, total + len(words), stride))
+            total += len(words) + len(self.pad)
+        return np.concatenate(parts), np.concatenate(starts), np.array(begins)
+
+    def _index(self, number: int, texts: list[list[bytes]]) -> Repetition:
         rng = np.random.default_rng(1000 + number)
         steps = np.sort(rng.choice(self.span, min(SAMPLED, self.span), replace=False))
         odd = rng.integers(0, 1 << 63, self.span, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         rep = Repetition(steps.tolist(), odd)
-        keys, item, offset = [], [], []
-        for i, (_, n, _, _, hashes) in enumerate(self.items):
-            at = np.arange(n)
-            _, key, last = _walk(np.concatenate([hashes, self.pad]), at, rep, narrow=False)
-            inside = last < n
-            keys.append(key[inside])
-            offset.append(at[inside])
-            item.append(np.full(int(inside.sum()), i))
-            self._mark(rep, np.concatenate([hashes, self.pad]), at[inside])
-        rep.keys, rep.item, rep.offset = map(np.concatenate, (keys, item, offset))
-        order = np.argsort(rep.keys, kind="stable")
-        rep.keys, rep.item, rep.offset = rep.keys[order], rep.item[order], rep.offset[order]
+        stream, at, begin = self._stream(texts, 1)
+        _, key, last, begun = _walk(stream, at, rep)
+        inside = stream[last] != 0  # walks that left the item say nothing
+        for done, keys in begun.items():
+            table = np.zeros(1 << _TABLE_BITS, bool)
+            table[_slot(keys[inside])] = True
+            rep.tables[done] = np.packbits(table)
+        item = np.searchsorted(begin, at, "right") - 1
+        key, item, offset = key[inside], item[inside], (at - begin[item])[inside]
+        order = np.argsort(key, kind="stable")
+        rep.keys, rep.item, rep.offset = key[order], item[order], offset[order]
         return rep
 
-    @staticmethod
-    def _mark(rep: Repetition, words: np.ndarray, at: np.ndarray) -> None:
-        """Note the sample prefixes of an item's walks."""
-        if not rep.tables:
-            rep.tables = [np.zeros(1 << _TABLE_BITS, bool) for _ in rep.steps[1:]]
-        here, key, done = at.copy(), np.zeros(len(at), np.uint64), 0
-        for step in range(rep.steps[-2] + 1):
-            value = words[here]
-            if step == rep.steps[done]:
-                key = (key ^ value) * _MIX
-                key ^= key >> np.uint64(29)
-                rep.tables[done][(key >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
-                done += 1
-            here = here + ((value * rep.bits[step]) >> np.uint64(63)).astype(np.int64)
+    def _unpacked(self) -> list[dict[int, np.ndarray]]:
+        """The tables as flags, made where they are used: they travel packed."""
+        if self._tables is None:
+            self._tables = [{d: np.unpackbits(t).astype(bool) for d, t in r.tables.items()} for r in self.repetitions]
+        return self._tables
 
     def match(self, texts: Iterable[str]) -> Iterator[list[tuple]]:
         """For each text its matches (item id, edits, words of the item), by item."""
@@ -156,17 +169,10 @@ class Matcher:
         if not self.items:
             yield from ([] for _ in docs)
             return
-        parts, starts, begins, total = [], [], [], 0
-        for words in docs:
-            parts += [_hashes(words), self.pad]
-            begins.append(total)
-            starts.append(np.arange(total, total + len(words), self.stride))
-            total += len(words) + len(self.pad)
-        stream, at = np.concatenate(parts), np.concatenate(starts)
-        begin = np.array(begins)
+        stream, at, begin = self._stream(docs, self.stride)
         found: list[np.ndarray] = []
-        for rep in self.repetitions:
-            place, key, _ = _walk(stream, at, rep, narrow=True)
+        for rep, tables in zip(self.repetitions, self._unpacked()):
+            place, key, *_ = _walk(stream, at, rep, tables)
             low = np.searchsorted(rep.keys, key, "left")
             many = np.searchsorted(rep.keys, key, "right") - low
             hit = np.flatnonzero(many)
@@ -180,7 +186,7 @@ class Matcher:
         # The exact distance allows for some words before and behind, so starts that lie
         # closer together than that allowance need one check.
         for doc, i, start in np.unique(np.concatenate(found), axis=0).tolist() if found else []:
-            item_id, n, masks, most, _ = self.items[i]
+            _, n, masks, most = self.items[i]
             seen = best[doc].get(i)
             if seen is not None and seen[0] <= start <= seen[1]:
                 continue
