@@ -15,6 +15,7 @@ from tidemark.llm.rules import quality_rules
 from tidemark.llm.secret_scan import find_secrets
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.token_counts import token_counts
+from tidemark.llm.warc import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -69,3 +70,23 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_quality_rules")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
+
+
+@query(
+    "op7_warc_packages",
+    """
+    WITH p AS (
+        SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+               sha1(coalesce(html, '')) AS payload_digest
+        FROM pages
+    ), g AS (
+        SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM p
+    )
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+    FROM g
+    """,
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(read(spark, sf_dir, "pages"))
