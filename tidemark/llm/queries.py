@@ -13,6 +13,7 @@ from tidemark.llm.decontaminate import leaks
 from tidemark.llm.quality import score, train
 from tidemark.llm.rules import quality_rules
 from tidemark.llm.secret_scan import find_secrets
+from tidemark.llm.sharding import balanced_shards
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.warc import round_trip
@@ -90,3 +91,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "pages"))
+
+
+@query("op8_balanced_shards")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced_shards(read(spark, sf_dir, "documents"), shards=16)
