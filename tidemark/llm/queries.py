@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.bpe import encode_decode
 from tidemark.llm.common import new_folder, read
 from tidemark.llm.decontaminate import leaks
+from tidemark.llm.html_text import main_text
 from tidemark.llm.quality import score, train
 from tidemark.llm.rules import quality_rules
 from tidemark.llm.secret_scan import find_secrets
@@ -96,3 +97,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_balanced_shards")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(read(spark, sf_dir, "documents"), shards=16)
+
+
+@query("op10_html_main_text")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(read(spark, sf_dir, "pages"))
