@@ -45,3 +45,16 @@ def maybe_broadcast(df: DataFrame, rows: int, bytes_per_row: int) -> DataFrame:
     """Hint a broadcast only for a side whose counted size is small; else leave the join to
     Spark, which shuffles it and splits skewed partitions."""
     return F.broadcast(df) if rows * bytes_per_row <= BROADCAST_BYTES else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> Column:
+    """A top-level column by its exact name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")

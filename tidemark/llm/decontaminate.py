@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_of
@@ -266,9 +266,13 @@ def without_leaks(docs: DataFrame, items: DataFrame, max_share: float = 0.2, min
     for block in _blocks(items, item_key, item_text):
         held = sc.broadcast(Matcher(block, max_share, min_words))  # at most BLOCK_ITEMS items
 
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, held=held) -> pd.Series:
-            return pd.Series([not hits for hits in held.value.match(texts)], dtype=bool)
-
-        out = out.where(clean(text_of(text)))
+        out = out.where(_is_clean(held, text_of(text)))
     return out
+
+
+def _is_clean(held, text: Column) -> Column:
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([not hits for hits in held.value.match(texts)], dtype=bool)
+
+    return run(text)

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_of
@@ -173,11 +173,11 @@ def score(
     text: str = "text",
     keep_from: int = 1,
     keep_share: float = 0.5,
-    carry: bool = False,
+    only_kept: bool = False,
 ) -> DataFrame:
     """``key``, ``p_good`` (at least grade 1), ``p_clean`` (at least grade 2),
-    ``expected_grade`` and ``kept`` for every row; with ``carry`` the verdict ``_kept`` is
-    added to the rows of ``docs`` instead."""
+    ``expected_grade`` and ``kept`` for every row; with ``only_kept`` the kept rows of
+    ``docs``, unchanged."""
     weights = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS numbers
 
     @F.pandas_udf("p_good double, p_clean double")
@@ -187,11 +187,12 @@ def score(
             return pd.DataFrame({"p_good": [None] * len(texts), "p_clean": None}, dtype="float64")
         return pd.DataFrame([m.tails(t) for t in texts], columns=["p_good", "p_clean"])
 
-    tail = F.col("_tails").getField("p_good" if keep_from == 1 else "p_clean")
-    kept = F.coalesce(tail, F.lit(1.0)) >= keep_share
-    if carry:
-        return docs.withColumn("_tails", tails(text_of(text))).withColumn("_kept", kept).drop("_tails")
+    def kept(of: Column) -> Column:
+        return F.coalesce(of.getField("p_good" if keep_from == 1 else "p_clean"), F.lit(1.0)) >= keep_share
+
+    if only_kept:
+        return docs.where(kept(tails(text_of(text))))
     good, clean = F.col("_tails.p_good"), F.col("_tails.p_clean")
     return docs.select(F.col(key), tails(text_of(text)).alias("_tails")).select(
-        key, good.alias("p_good"), clean.alias("p_clean"), (good + clean).alias("expected_grade"), kept.alias("kept")
+        key, good.alias("p_good"), clean.alias("p_clean"), (good + clean).alias("expected_grade"), kept(F.col("_tails")).alias("kept")
     )

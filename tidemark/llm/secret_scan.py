@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_of
+from tidemark.llm.common import fresh, text_of
 
 #: Labelled samples: random strings of each alphabet, and documents with ordinary words.
 RANDOM_STRINGS = 4_000
@@ -174,17 +174,12 @@ def _said(spans: Column) -> Column:
     return F.array_join(F.transform(spans, one), ",")
 
 
-def _with_spans(docs: DataFrame, table: list[float], text: str) -> DataFrame:
-    """``docs`` with ``_text``, ``_base`` and ``_spans`` (all, by start and kind)."""
-    based = docs.withColumn("_text", text_of(text)).withColumn("_base", F.array_sort(base_spans(F.col("_text"))))
-    return based.withColumn("_spans", F.array_sort(F.concat("_base", random_spans(F.col("_text"), F.col("_base"), table))))
-
-
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: counts by rule, digest of the rules' spans, all spans
     as ``kind:start:end`` by start, then kind. A narrow map; only model fitting aggregates."""
     table = ratio_table(docs, key, text)
-    found = _with_spans(docs.select(F.col(key), F.col(text)), table, text)
+    based = docs.select(F.col(key), text_of(text).alias("_text")).withColumn("_base", F.array_sort(base_spans(F.col("_text"))))
+    found = based.withColumn("_spans", F.array_sort(F.concat("_base", random_spans(F.col("_text"), F.col("_base"), table))))
 
     def count(kind: int) -> Column:
         return F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
@@ -192,10 +187,15 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return found.select(key, *map(count, range(3)), F.sha2(_said(F.col("_base")), 256).alias("base_sha256"), _said(F.col("_spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span replaced by ``mark``; rows without spans are unchanged."""
-    found = _with_spans(docs, ratio_table(docs, key, text), text)
-    whole = F.col("_text")
+def redact(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]", size: str | None = None
+) -> DataFrame:
+    """``docs`` with every span replaced by ``mark``; rows without spans are unchanged. In
+    changed rows the column ``size``, if given, gets the new length."""
+    table = ratio_table(docs, key, text)
+    whole, base, spans = (fresh(docs, n) for n in ("_text", "_base", "_spans"))
+    based = docs.withColumn(whole, text_of(text)).withColumn(base, F.array_sort(base_spans(F.col(whole))))
+    found = based.withColumn(spans, F.array_sort(F.concat(base, random_spans(F.col(whole), F.col(base), table))))
 
     def step(state: Column, s: Column) -> Column:
         gap = F.substring(whole, (state["at"] + 1).cast("int"), F.greatest(s["start"] - state["at"], F.lit(0)).cast("int"))
@@ -206,6 +206,11 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str =
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     clean = F.aggregate(
-        F.col("_spans"), start, step, lambda s: F.concat(s["out"], F.substring(whole, (s["at"] + 1).cast("int"), F.char_length(whole)))
+        spans, start, step, lambda s: F.concat(s["out"], F.substring(whole, (s["at"] + 1).cast("int"), F.char_length(whole)))
     )
-    return found.withColumn(text, F.when(F.size("_spans") > 0, clean).otherwise(F.col(text))).drop("_text", "_base", "_spans")
+    changed = F.size(spans) > 0
+    done = found.withColumn(text, F.when(changed, clean).otherwise(F.col(text)))
+    if size is not None:
+        length = F.char_length(text).cast(docs.schema[size].dataType)
+        done = done.withColumn(size, F.when(changed, length).otherwise(F.col(size)))
+    return done.drop(whole, base, spans)

@@ -25,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, text_of, written
+from tidemark.llm.common import checkpointed, fresh, quoted, text_of, written
 
 #: Fingerprints that place the upper vantage points and cuts.
 SAMPLE = 8192
@@ -60,16 +60,14 @@ def fingerprint(text: str, width: int, seed: int = 42) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
-    """``key`` and ``fp`` for every row: a narrow map."""
+def fingerprint_of(text: Column, width: int) -> Column:
+    """Fingerprint column of a text column."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fp = np.fromiter((fingerprint(t, width) for t in batch["_text"]), np.int64, len(batch))
-            yield pd.DataFrame({key: batch[key], "fp": fp})
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(t, width) for t in texts], dtype="int64")
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), text_of(text).alias("_text")).mapInPandas(run, f"`{key}` {kind}, fp long")
+    return run(text)
 
 
 # ------------------------------------------------------------------- vantage-point trees
@@ -289,6 +287,17 @@ def link_fingerprints(nodes: DataFrame, radius: int, shard_rows: int = SHARD_ROW
     return dealt.repartition(max(1, shards), "shard").groupBy("shard").applyInPandas(find, "a long, b long")
 
 
+def _labels(prints: DataFrame, key: str, radius: int, shard_rows: int) -> DataFrame:
+    """``fp`` and ``component_id`` for every fingerprint of ``prints``."""
+    nodes = written(prints.groupBy("fp").agg(F.min(key).alias("first")), "fingerprint-nodes")
+    closed = components(link_fingerprints(nodes, radius, shard_rows))
+    placed = nodes.join(closed.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), "first"
+    )
+    named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    return placed.join(named, "root").select("fp", "component_id")
+
+
 def near_duplicates(
     docs: DataFrame,
     width: int = 4,
@@ -299,14 +308,32 @@ def near_duplicates(
 ) -> DataFrame:
     """One row for each row of ``docs``: ``key``, ``fingerprint`` (16 hex digits) and
     ``component_id``, the smallest key that links of at most ``radius`` bits reach."""
-    prints = written(fingerprints(docs, width, key, text), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min(key).alias("first")), "fingerprint-nodes")
-    closed = components(link_fingerprints(nodes, radius, shard_rows))
-    placed = nodes.join(closed.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), "first"
-    )
-    named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = placed.join(named, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select(
+    prints = written(docs.select(F.col(key), fingerprint_of(text_of(text), width).alias("fp")), "fingerprints")
+    return prints.join(_labels(prints, key, radius, shard_rows), "fp").select(
         key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_first(
+    docs: DataFrame, width: int = 4, radius: int = 4, key: str = "doc_id", text: str = "text", shard_rows: int = SHARD_ROWS
+) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row with the
+    smallest key stays, unchanged. Rows that repeat that key collapse to one; of a component
+    without any key one row stays.
+
+    The rows are written once with a number; one number for each component is picked among
+    narrow rows, and the written rows are read again to keep those.
+    """
+    number = fresh(docs, "_row")
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered-documents")
+    prints = written(
+        rows.select(F.col(key).alias("k"), F.col(number).alias("r"), fingerprint_of(text_of(text), width).alias("fp")),
+        "fingerprints",
+    )
+    labels = _labels(prints, "k", radius, shard_rows)
+    # Smallest key first, NULL keys last, then the first row.
+    of_print = prints.groupBy("fp").agg(F.min(F.struct(F.col("k").isNull().alias("n"), "k", "r")).alias("best"))
+    root = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
+    best = of_print.join(labels, "fp").groupBy(root.alias("root")).agg(F.min("best").alias("best"))
+    kept = best.select(F.col("best.r").alias(number))
+    return rows.join(kept, number, "left_semi").select(*map(quoted, docs.columns))
