@@ -85,13 +85,13 @@ def class_histogram(text: str) -> np.ndarray:
     return out / max(1.0, out.sum())
 
 
-def plain_words(text: str) -> list[str]:
-    return text.lower().translate(_strip()).split()
+#: What is taken out of words before they are compared.
+_MARKS = (".,;:!?\"'()[]" + SYMBOLS).encode()
 
 
-@functools.cache
-def _strip() -> dict[int, None]:
-    return dict.fromkeys(map(ord, ".,;:!?\"'()[]" + SYMBOLS))
+def plain_words(text: str) -> list[bytes]:
+    """Words in lower case without sentence marks and symbols, as UTF-8."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(None, _MARKS).split()
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -116,7 +116,7 @@ def noise(words: int, bins: int) -> float:
 @dataclass(frozen=True)
 class Reference:
     classes: np.ndarray
-    words: dict[str, int]  # place of each common word
+    words: dict[bytes, int]  # place of each common word
     shares: np.ndarray  # share of each word among all words, then of all others
 
 
@@ -125,14 +125,14 @@ def _statistics(docs: DataFrame, lang: str, text: str) -> DataFrame:
     word shares. Each document is one vote, split over its words by their frequency."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
+        words: dict[str, dict[bytes, float]] = defaultdict(lambda: defaultdict(float))
         classes: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(9))
         docs_of: Counter = Counter()
         held = 0
 
         def flush() -> pd.DataFrame:
             rows = [(k, None, docs_of[k], classes[k].tolist()) for k in docs_of]
-            rows += [(k, w, c, None) for k, counts in words.items() for w, c in counts.items()]
+            rows += [(k, w.decode("utf-8", "replace"), c, None) for k, counts in words.items() for w, c in counts.items()]
             return pd.DataFrame(rows, columns=["lang", "word", "n", "classes"])
 
         for batch in batches:
@@ -184,7 +184,7 @@ def references(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[
     def reference(k: str) -> Reference:
         counts = np.array([n for _, n in by[k]] + [size.get(k, 0) - sum(n for _, n in by[k])], float)
         classes = heads_of[k] / max(1e-300, heads_of[k].sum())
-        return Reference(classes, {w: i for i, (w, _) in enumerate(by[k])}, counts / max(1.0, counts.sum()))
+        return Reference(classes, {w.encode(): i for i, (w, _) in enumerate(by[k])}, counts / max(1.0, counts.sum()))
 
     return {k: reference(k) for k in heads_of}
 
