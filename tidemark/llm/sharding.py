@@ -3,8 +3,8 @@
 Documents with equal texts are linked. They start in hashed shards. In each round Spark joins
 every linked document to its group's shard histogram; the group's target is the shard that
 holds most of it, and documents elsewhere ask to move there. Moves are granted under capacity
-quotas: a shard takes what fits below its ceiling, so every origin's requests are granted in
-the share that fits. A group moves as a whole where its target has room for it; one that is
+quotas: a shard takes what fits below its ceiling, counting those that leave it in the same
+round, so every origin's requests are granted in the share that fits. A group moves as a whole where its target has room for it; one that is
 larger than a shard's ceiling is divided by blocks of its members, so it fills shards one by
 one. A last pass makes the counts exact: shards above their quota release rows, unlinked ones
 first, and shards below take them.
@@ -26,8 +26,8 @@ from tidemark.operators.order import row_index
 
 #: Rounds of moves at most; fewer when no document asks to move.
 ROUNDS = 6
-#: Room that rounds may use beyond an equal share. The last pass takes it back.
-SLACK = 0.05
+#: Room for linked documents beyond an equal share; the last pass would take it back.
+SLACK = 0.0
 
 
 def _nodes(docs: DataFrame, key: str, text: str, shards: int) -> DataFrame:
@@ -58,6 +58,18 @@ def _block(members: Column, ceiling: int) -> Column:
     return F.when(members > ceiling, F.pmod(F.xxhash64("_row"), blocks)).otherwise(F.lit(0)).cast("int")
 
 
+def _grants(counts: list[int], flow: dict[tuple[int, int], int], ceiling: int) -> list[float]:
+    """The share of its requests that each shard grants: all, or what fits below the ceiling
+    once those have left that other shards take in."""
+    shards = range(len(counts))
+    asked = [sum(n for (_, b), n in flow.items() if b == s) for s in shards]
+    grant = [1.0 if asked[s] else 0.0 for s in shards]
+    for _ in range(50):
+        leaving = [sum(n * grant[b] for (a, b), n in flow.items() if a == s) for s in shards]
+        grant = [min(grant[s], max(0.0, ceiling - counts[s] + leaving[s]) / asked[s]) if asked[s] else 0.0 for s in shards]
+    return grant
+
+
 def propagate(nodes: DataFrame, shards: int, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
     """Rounds of moves; ``nodes`` with its ``shard`` moved towards linked documents."""
     total = nodes.count()
@@ -71,19 +83,27 @@ def propagate(nodes: DataFrame, shards: int, rounds: int = ROUNDS, slack: float
     nodes = checkpointed(marked.withColumn("_block", F.when(F.col("_members").isNotNull(), _block(F.col("_members"), ceiling))))
     for number in range(rounds):
         held = nodes.where(F.col("_block").isNotNull())
-        # Histogram of each group (or block of one) over the shards, and its best shard; among
-        # equals a hash that differs by group, so that ties do not crowd into one shard.
+        # Only linked documents use up a shard: the others give way in the last pass.
+        counts = _counts(held, shards)
+        # Histogram of each group (or block of one) over the shards, and its best shard among
+        # those with room; among equals a hash that differs by group, so that ties do not
+        # crowd into one shard.
         seen = held.groupBy("_group", "_block", "shard").agg(F.count(F.lit(1)).alias("n"))
-        best = F.max_by("shard", F.struct("n", F.xxhash64("_group", "_block", "shard"))).alias("target")
-        wanted = seen.groupBy("_group", "_block").agg(best, F.sum("n").alias("all"), F.max("n").alias("there"))
-        wanted = wanted.where(F.col("all") > F.col("there"))
-        # Quotas: what each shard can take now, with what its own leavers free in other rounds
-        # left out, so that a ceiling holds whatever is granted.
-        asked = {r["target"]: r["n"] for r in wanted.groupBy("target").agg(F.sum(F.col("all") - F.col("there")).alias("n")).collect()}
-        if not asked:
+        room = F.element_at(_array([c < ceiling for c in counts]), F.col("shard") + 1)
+        best = F.max_by("shard", F.struct(room.alias("room"), "n", F.xxhash64("_group", "_block", "shard"))).alias("target")
+        wanted = seen.groupBy("_group", "_block").agg(best, F.count(F.lit(1)).alias("_places"), F.max(room).alias("_room"))
+        wanted = wanted.where("_places > 1 AND _room")
+        # Requests from shard to shard: at most shards times shards rows.
+        flow = (
+            seen.join(wanted.select("_group", "_block", "target"), ["_group", "_block"])
+            .where("shard <> target")
+            .groupBy("shard", "target")
+            .agg(F.sum("n").alias("n"))
+            .collect()
+        )
+        if not flow:
             break
-        counts = _counts(nodes, shards)
-        grant = [min(1.0, max(0, ceiling - counts[s]) / asked[s]) if asked.get(s) else 0.0 for s in range(shards)]
+        grant = _grants(counts, {(r["shard"], r["target"]): r["n"] for r in flow}, ceiling)
         if not any(grant):
             break
         luck = F.pmod(F.xxhash64("_group", "_block", F.lit(number)), F.lit(1 << 20)) / (1 << 20)
