@@ -134,7 +134,7 @@ def test_row_index_matches_single_task_order(rows, partitions):
 
 
 def test_row_index_with_counted_offsets_too_large_to_broadcast(rows, monkeypatch):
-    monkeypatch.setattr(order, "BROADCAST_OFFSETS", 0)
+    monkeypatch.setattr(order, "BROADCAST_BYTES", -1)
     df = rows([(i, i % 7) for i in range(500)], "k bigint, g int", 5)
     got = row_index(df, ["k"], ["g"]).collect()
     assert all(r["position"] == r["k"] // 7 + 1 for r in got)
@@ -167,3 +167,41 @@ def test_order_plans_do_not_gather_rows(spark, transactions):
     split = temporal_split(spark.range(1000).selectExpr("id as k", "id * 2 as t"), "t", "k")
     plan = split._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_nan_is_missing(rows):
+    from tidemark.operators.order import exact_quantiles
+
+    data = [(float(i),) for i in range(1000)] + [(float("nan"),)] * 3
+    for candidates in (10, 10_000):
+        assert exact_quantiles(rows(data, "x double", 4), {"x": F.col("x")}, [0.25, 0.5, 0.75], candidates)["x"] == [249.75, 499.5, 749.25]
+    assert exact_quantiles(rows([(float("nan"),)], "x double"), {"x": F.col("x")}, [0.5])["x"] == [None]
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(38,5)", "date", "bigint", "double"])
+@pytest.mark.parametrize("time", ["timestamp", "timestamp_ntz", "date", "double", "int"])
+def test_periods_over_any_key_and_time(rows, kind, time):
+    from tidemark.operators.splits import drift_periods
+
+    t = {"double": F.col("i") % 3 + 0.5, "int": (F.col("i") % 3).cast("int")}.get(time)
+    if t is None:
+        t = F.timestamp_seconds(F.col("i") % 3 * 90_000).cast(time)
+    key = {
+        "string": F.concat(F.lit("shared-prefix-"), F.lpad(F.col("i").cast("string"), 3, "0")),
+        "decimal(38,5)": F.lit("123456789012345678901234567890").cast(kind) + (F.col("i") / 1000).cast("decimal(8,5)"),
+        "date": F.date_add(F.lit("2020-01-01").cast("date"), F.col("i").cast("int")),
+    }.get(kind, F.col("i").cast(kind))
+    df = rows([(i,) for i in range(90)], "i bigint", 4).select("i", t.alias("t"), key.cast(kind).alias("k"))
+    got = {r["i"]: r["period"] for r in drift_periods(df, "t", "k", 4, candidates=7).collect()}
+    order = sorted(range(90), key=lambda i: (i % 3, i))
+    assert got == {i: min(at // 22, 3) for at, i in enumerate(order)}
+
+
+def test_repeated_keys_give_exact_sizes(rows):
+    from collections import Counter
+
+    from tidemark.operators.splits import drift_periods
+
+    df = rows([(float(i // 40), i // 10, i) for i in range(100)], "t double, k bigint, other int", 4)
+    sizes = Counter(r["period"] for r in drift_periods(df, "t", "k", 4).collect())
+    assert sizes == {0: 25, 1: 25, 2: 25, 3: 25}

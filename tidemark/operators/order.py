@@ -20,19 +20,29 @@ from dataclasses import dataclass
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
+from pyspark.sql.types import (
+    BooleanType,
+    DataType,
+    DateType,
+    DecimalType,
+    FractionalType,
+    IntegralType,
+    MapType,
+    StringType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 from tidemark.session import cut_lineage
 
 CANDIDATES = 250_000
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4_096
-BROADCAST_OFFSETS = 500_000
+BROADCAST_BYTES = 8 << 20
 _GRID = 500
 _SLACK = 3
 _SAMPLE = 300_000
 _PER_STEP = 50
-_MAX_PASSES = 16
+_IDLE_PASSES = 16
 _LOCAL_BITS = 33
 
 
@@ -55,6 +65,40 @@ def _grid(values: str, steps: int) -> Column:
     return F.expr(f"percentile_approx({values}, {array}, {10 * steps})")
 
 
+# ------------------------------------------------------------------------- numbers
+
+
+def as_number(x: Column, kind: DataType) -> Column:
+    """A number in the same order as ``x``: bigint for whole numbers, dates (days) and times
+    (microseconds), double for fractions. NaN is no value and becomes NULL."""
+    if isinstance(kind, (IntegralType, BooleanType)):
+        return x.cast("bigint")
+    if isinstance(kind, DateType):
+        return F.unix_date(x).cast("bigint")
+    if isinstance(kind, TimestampType):
+        return F.unix_micros(x)
+    if isinstance(kind, TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), x)
+    if isinstance(kind, DecimalType):
+        return x.cast("bigint" if kind.scale == 0 and kind.precision <= 18 else "double")
+    if isinstance(kind, FractionalType):
+        return F.when(~F.isnan(x), x.cast("double"))
+    raise TypeError(f"no order by rank for {kind.simpleString()}")
+
+
+def _is_exact(kind: DataType) -> bool:
+    """Whether ``as_number`` keeps different values apart."""
+    if isinstance(kind, DecimalType):
+        return kind.precision <= (18 if kind.scale == 0 else 15)
+    return not isinstance(kind, StringType)
+
+
+def row_rest(df: DataFrame) -> Column:
+    """A number from all columns of a row: breaks ties between rows that repeat a key."""
+    usable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and not isinstance(f.dataType, MapType)]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in sorted(usable)])
+
+
 # --------------------------------------------------------------------------- ranks
 
 
@@ -173,16 +217,14 @@ def order_statistics(
     the values below and inside a range around each rank some sixty times smaller. It ends
     when a bracket is a single value or holds at most ``candidates`` rows; those are
     counted per value and cumulated. All rounds are global aggregations with a fixed-size
-    state. Ranks outside 1..n are an error.
+    state. NULL and NaN are left out. Ranks outside 1..n are an error.
     """
     if not requests:
         return {}
     names = list(requests)
     values = df.select(*[requests[n].expr.alias(f"v{i}") for i, n in enumerate(names)])
+    values = values.select(*[as_number(F.col(f.name), f.dataType).alias(f.name) for f in values.schema.fields])
     integral = [isinstance(f.dataType, IntegralType) for f in values.schema.fields]
-    values = values.select(
-        *[F.col(f"v{i}").cast("bigint" if whole else "double").alias(f"v{i}") for i, whole in enumerate(integral)]
-    )
     aggs = []
     for i in range(len(names)):
         v = F.col(f"v{i}")
@@ -200,10 +242,14 @@ def order_statistics(
             brackets[i, rank] = _Bracket(i, row[f"low{i}"], row[f"high{i}"], 0, n)
 
     stuck: set[_Bracket] = set()
-    for seed in range(_MAX_PASSES):
+    seed = idle = 0
+    while True:
         opened = {k: b for k, b in brackets.items() if b.inside > candidates and b.low < b.high and b not in stuck}
         if not opened:
             break
+        if idle > _IDLE_PASSES:
+            raise RuntimeError(f"no bracket got narrower in {idle} rounds")
+        seed += 1
         spans = list(dict.fromkeys(opened.values()))
         grids = dict(zip(spans, _sampled_grids(values, spans, seed)))
         plans = {k: tuple(_pieces(b, k[1], grids[b])) for k, b in opened.items() if grids[b]}
@@ -216,6 +262,8 @@ def order_statistics(
             for k, pieces in plans.items():
                 if k not in same:
                     brackets[k] = _step(opened[k], k[1], pieces, *found[opened[k], pieces])
+        narrower = bool(same) or any(brackets[k] != b for k, b in opened.items())
+        idle = 0 if narrower else idle + 1
 
     spans = list(dict.fromkeys(b for b in brackets.values() if b.low < b.high))
     totals = _cumulated(values, spans, brackets) if spans else []
@@ -302,27 +350,69 @@ def exact_quantiles(
 @dataclass(frozen=True)
 class Cut:
     """The first ``rank`` rows in (time, key) order; ``key`` is set when the cut falls
-    inside a run of equal times, ``time`` is None when it falls among NULL times."""
+    inside a run of equal times, ``time`` is None when it falls among missing times, and
+    ``rest`` is set when it falls inside a run of equal times and keys. ``time`` is the
+    number of the value (see ``as_number``)."""
 
     rank: int
     everything: bool = False
     time: float | int | None = None
-    key: float | int | None = None
-
-    def holds(self, time: Column, key: Column) -> Column:
+    key: object = None
+    rest: int | None = None
+    time_kind: DataType | None = None
+    key_kind: DataType | None = None
+
+    def _key_holds(self, key: Column, rest: Column | None) -> Column:
+        if _is_exact(self.key_kind):
+            key, at = as_number(key, self.key_kind), F.lit(self.key)
+        else:
+            at = F.lit(self.key).cast(self.key_kind)
+        if self.rest is None:
+            return F.coalesce(key <= at, F.lit(False))
+        if rest is None:
+            raise ValueError("keys repeat at the cut: pass row_rest of the same rows")
+        return F.coalesce((key < at) | ((key == at) & (rest <= F.lit(self.rest))), F.lit(False))
+
+    def holds(self, time: Column, key: Column, rest: Column | None = None) -> Column:
         """True for rows up to the cut."""
         if self.rank <= 0:
             return F.lit(False)
         if self.everything:
             return F.lit(True)
+        t = as_number(time, self.time_kind)
         if self.time is None:
-            return time.isNotNull() | F.coalesce(key <= F.lit(self.key), F.lit(False))
+            return t.isNotNull() | self._key_holds(key, rest)
         if self.key is None:
-            return F.coalesce(time <= F.lit(self.time), F.lit(False))
-        inside = (time < F.lit(self.time)) | ((time == F.lit(self.time)) & (key <= F.lit(self.key)))
+            return F.coalesce(t <= F.lit(self.time), F.lit(False))
+        inside = (t < F.lit(self.time)) | ((t == F.lit(self.time)) & self._key_holds(key, rest))
         return F.coalesce(inside, F.lit(False))
 
 
+def _value_at(rows: DataFrame, column: str, rank: int, candidates: int) -> OrderStatistic:
+    """The value at a rank of a column whose type is no exact number. Level by level: six
+    bytes of a string, or a decimal's distance from the smallest, each ranked as a number
+    among the rows that are equal so far."""
+    kind, c = rows.schema[column].dataType, F.col(f"`{column}`")
+    if not isinstance(kind, (StringType, DecimalType)):
+        raise TypeError(f"no order by rank for {kind.simpleString()}")
+    below = at = 0
+    while True:
+        size = F.max(F.octet_length(c.cast("string")))
+        low, high, n, width = rows.agg(F.min(c), F.max(c), F.count(c), size).first()
+        if low == high:
+            return OrderStatistic(below + rank, low, below, n, n)
+        if isinstance(kind, DecimalType):
+            level = (c - F.lit(low)).cast("double")
+        elif at < width:
+            part = F.hex(F.substring(c.cast("binary"), at + 1, 6))
+            level = F.conv(F.rpad(part, 12, "0"), 16, 10).cast("bigint")
+        else:  # strings that differ in trailing zero bytes only
+            level = F.octet_length(c).cast("bigint")
+        hit = order_statistics(rows, {"v": RankRequest(level, lambda _, r=rank: [r])}, candidates)["v"][0]
+        rows = rows.where(level == F.lit(hit.value))
+        rank, below, at = rank - hit.below, below + hit.below, at + 6
+
+
 def cut_points(
     df: DataFrame,
     time: str,
@@ -331,15 +421,18 @@ def cut_points(
     where: dict[str, Column] | None = None,
     candidates: int = CANDIDATES,
 ) -> dict[str, list[Cut]]:
-    """Cuts of the (time, key) order at ``ranks(n)``, one set per named condition. NULL
-    times sort last; ``key`` must be unique for the cut to have exactly ``rank`` rows.
+    """Cuts of the (time, key) order at ``ranks(n)``, one set per named condition. Missing
+    times (NULL, NaN) sort last. Where a key repeats, rows that differ elsewhere are told
+    apart by ``row_rest``; rows that are equal in every column stay on one side.
 
     Cost: a few narrow scans of two columns; the rows themselves are not moved.
     """
     groups = where or {"all": F.lit(True)}
+    time_kind, key_kind = df.schema[time].dataType, df.schema[key].dataType
+    t = as_number(F.col(time), time_kind)
     sizes = df.agg(
         *[F.count_if(cond).alias(f"n{i}") for i, cond in enumerate(groups.values())],
-        *[F.count_if(cond & F.col(time).isNotNull()).alias(f"t{i}") for i, cond in enumerate(groups.values())],
+        *[F.count_if(cond & t.isNotNull()).alias(f"t{i}") for i, cond in enumerate(groups.values())],
     ).first()
     plan = {
         name: (sizes[f"n{i}"], sizes[f"t{i}"], [int(r) for r in ranks(sizes[f"n{i}"])])
@@ -352,25 +445,36 @@ def cut_points(
 
     by_time = order_statistics(
         df,
-        {n: RankRequest(F.when(groups[n], F.col(time)), lambda _, n=n: timed(n)) for n in groups if timed(n)},
+        {n: RankRequest(F.when(groups[n], t), lambda _, n=n: timed(n)) for n in groups if timed(n)},
         candidates,
     )
     at = {(name, s.rank): s for name, stats in by_time.items() for s in stats}
 
-    ties: dict[str, RankRequest] = {}
+    # Rows that are equal so far, and the rank wanted among them.
+    tied: dict[str, tuple[Column, int]] = {}
     for name, (n, with_time, wanted) in plan.items():
         for r in set(wanted):
             if (name, r) in at:
                 s = at[name, r]
                 if r - s.below < s.equal:
-                    tied = groups[name] & (F.col(time) == F.lit(s.value))
-                    ties[f"{name}/{r}"] = RankRequest(
-                        F.when(tied, F.col(key)), lambda _, k=r - s.below: [k]
-                    )
+                    tied[f"{name}/{r}"] = groups[name] & (t == F.lit(s.value)), r - s.below
             elif with_time < r < n:
-                tied = groups[name] & F.col(time).isNull()
-                ties[f"{name}/{r}"] = RankRequest(F.when(tied, F.col(key)), lambda _, k=r - with_time: [k])
-    by_key = order_statistics(df, ties, candidates)
+                tied[f"{name}/{r}"] = groups[name] & t.isNull(), r - with_time
+    if _is_exact(key_kind):
+        k = as_number(F.col(key), key_kind)
+        found = order_statistics(df, {i: RankRequest(F.when(c, k), lambda _, r=r: [r]) for i, (c, r) in tied.items()}, candidates)
+        by_key = {i: stats[0] for i, stats in found.items()}
+    else:
+        by_key = {i: _value_at(df.where(c), key, r, candidates) for i, (c, r) in tied.items()}
+
+    # Keys that repeat at the cut.
+    again: dict[str, RankRequest] = {}
+    for i, s in by_key.items():
+        cond, r = tied[i]
+        if r - s.below < s.equal:
+            same = k == F.lit(s.value) if _is_exact(key_kind) else F.col(key) == F.lit(s.value).cast(key_kind)
+            again[i] = RankRequest(F.when(cond & same, row_rest(df)), lambda _, r=r - s.below: [r])
+    by_rest = {i: stats[0].value for i, stats in order_statistics(df, again, candidates).items()}
 
     out: dict[str, list[Cut]] = {}
     for name, (n, _, wanted) in plan.items():
@@ -379,9 +483,9 @@ def cut_points(
             if r <= 0 or r >= n:
                 cuts.append(Cut(r, everything=r >= n and r > 0))
                 continue
-            s = at.get((name, r))
-            tie = by_key.get(f"{name}/{r}")
-            cuts.append(Cut(r, time=s.value if s else None, key=tie[0].value if tie else None))
+            s, i = at.get((name, r)), f"{name}/{r}"
+            value = by_key[i].value if i in by_key else None
+            cuts.append(Cut(r, False, s.value if s else None, value, by_rest.get(i), time_kind, key_kind))
         out[name] = cuts
     return out
 
@@ -418,8 +522,9 @@ def row_index(
     right = offsets.select(
         *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_p"), "_shift"
     )
-    # One row per sort partition and group in it; broadcast only when counted small.
-    if not group or parts.count() <= BROADCAST_OFFSETS:
+    # One row per sort partition and group in it; broadcast only when its bytes are small.
+    size = F.sum(F.lit(24) + F.octet_length(F.to_json(F.struct(*group))) if group else F.lit(24))
+    if (parts.agg(size).first()[0] or 0) <= BROADCAST_BYTES:
         right = F.broadcast(right)
     cond = F.col("_part") == F.col("_p")
     for i, g in enumerate(group):
@@ -438,7 +543,7 @@ def bucket_bounds(
     A count and a narrow scan; the bounds steer the partitioning, never the result."""
     column = df.select(F.col(order).cast("double").alias("v"))
     n = column.agg(F.count("v")).first()[0]
-    buckets = min(MAX_BUCKETS, math.ceil(n / rows_per_bucket))
+    buckets = math.ceil(n / rows_per_bucket)
     if buckets <= 1:
         return []
     sample = column.where(F.rand(0) <= _share(n, buckets))

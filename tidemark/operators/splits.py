@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import stable_hash
-from tidemark.operators.order import CANDIDATES, cut_points, row_index
+from tidemark.operators.order import CANDIDATES, cut_points, row_index, row_rest
 
 
 def temporal_split(
@@ -27,8 +27,8 @@ def temporal_split(
     first, second = cut_points(
         df, time, key, lambda n: [int(n * train), int(n * (train + val))], candidates=candidates
     )["all"]
-    t, k = F.col(time), F.col(key)
-    label = F.when(first.holds(t, k), "train").when(second.holds(t, k), "val").otherwise("test")
+    row = F.col(time), F.col(key), row_rest(df)
+    label = F.when(first.holds(*row), "train").when(second.holds(*row), "val").otherwise("test")
     return df.withColumn("split", label)
 
 
@@ -41,7 +41,7 @@ def drift_periods(
     )["all"]
     period = F.lit(0)
     for cut in cuts:
-        period = period + (~cut.holds(F.col(time), F.col(key))).cast("int")
+        period = period + (~cut.holds(F.col(time), F.col(key), row_rest(df))).cast("int")
     return df.withColumn("period", period)
 
 
@@ -57,10 +57,10 @@ def stratified_temporal_split(
     other label are left out, as there is no class to keep the balance of."""
     classes: dict[str, Column] = {"normal": F.col(label) == 0, "positive": F.col(label) == 1}
     cuts = cut_points(df, time, key, lambda n: [int(n * train_ratio)], classes, candidates)
-    t, k = F.col(time), F.col(key)
+    row = F.col(time), F.col(key), row_rest(df)
     early = F.lit(False)
     for name, cond in classes.items():
-        early = early | (cond & cuts[name][0].holds(t, k))
+        early = early | (cond & cuts[name][0].holds(*row))
     return df.where(F.col(label).isin(0, 1)).withColumn(
         "split", F.when(early, "train").otherwise("test")
     )
@@ -69,7 +69,7 @@ def stratified_temporal_split(
 def half_split(df: DataFrame, time: str, key: str, candidates: int = CANDIDATES) -> DataFrame:
     """Add ``domain``: 0 for the earlier half of the rows, 1 for the later."""
     cut = cut_points(df, time, key, lambda n: [n // 2], candidates=candidates)["all"][0]
-    early = cut.holds(F.col(time), F.col(key))
+    early = cut.holds(F.col(time), F.col(key), row_rest(df))
     return df.withColumn("domain", F.when(early, 0).otherwise(1))
 
 
@@ -92,7 +92,7 @@ def stratified_folds(
     fold = F.lit(0)
     for name, cond in classes.items():
         for cut in cuts[name]:
-            fold = fold + (cond & ~cut.holds(F.col("_hash"), F.col(key))).cast("int")
+            fold = fold + (cond & ~cut.holds(F.col("_hash"), F.col(key), row_rest(hashed))).cast("int")
     return hashed.withColumn("fold", fold).drop("_hash")
 
 
@@ -101,7 +101,7 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42, candidates: int
     selected first, so a large sample is a filter and not a top-n in one task."""
     hashed = df.withColumn("_hash", stable_hash(key, seed))
     cut = cut_points(hashed, "_hash", key, lambda size: [min(n, size)], candidates=candidates)["all"][0]
-    return hashed.where(cut.holds(F.col("_hash"), F.col(key))).drop("_hash")
+    return hashed.where(cut.holds(F.col("_hash"), F.col(key), row_rest(hashed))).drop("_hash")
 
 
 def class_positions(df: DataFrame, time: str, key: str, label: str) -> DataFrame:
