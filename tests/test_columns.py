@@ -123,3 +123,18 @@ def test_risk_score_adds_up_and_is_clipped(rows):
     assert got[0] == pytest.approx(0.035)
     assert got[1] == pytest.approx(0.035 + 0.02 + 0.01 + 0.015 + 0.01 + 0.01)
     assert got[2] == 1.0
+
+
+@pytest.mark.parametrize("width", [14, 15, 339])
+def test_wide_families_plan_and_agree(rows, width):
+    import statistics
+
+    values = [[None if (i + r) % 4 == 0 else float((i * 7 + r) % 13) for i in range(width)] for r in range(3)] + [[None] * width]
+    names = [f"V{i}" for i in range(width)]
+    df = rows([tuple(v) for v in values], ", ".join(f"{n} double" for n in names))
+    got = df.select(row_sum(names).alias("s"), row_mean(names).alias("m"), row_std(names).alias("d")).collect()
+    for v, r in zip(values, got):
+        own = [x for x in v if x is not None]
+        assert r["s"] == sum(own)
+        assert r["m"] == (pytest.approx(sum(own) / len(own)) if own else None)
+        assert r["d"] == (pytest.approx(statistics.stdev(own)) if own else None)

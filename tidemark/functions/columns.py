@@ -1,4 +1,4 @@
-"""Scalar and row-wise column expressions. All stay inside whole-stage codegen."""
+"""Scalar and row-wise column expressions."""
 
 from __future__ import annotations
 
@@ -61,33 +61,40 @@ def null_if_nan(x: Column | str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def _present(cols: Sequence[str]) -> Column:
-    n = F.lit(0)
-    for c in cols:
-        n = n + F.col(c).isNotNull().cast("int")
-    return n
+def _values(cols: Sequence[str]) -> Column:
+    """The values of one row as an array, NULLs left out. A family may have hundreds of
+    columns, so its sums are folds over an array: a chain of additions would be as deep."""
+    return F.array_compact(F.array(*[F.col(c).cast("double") for c in cols]))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
 
 
 def row_sum(cols: Sequence[str]) -> Column:
     """Sum over columns of one row; NULLs are skipped, an all-NULL row gives 0."""
-    total = F.lit(0.0)
-    for c in cols:
-        total = total + F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    return total
+    return _total(_values(cols))
 
 
 def row_mean(cols: Sequence[str]) -> Column:
-    return safe_div(row_sum(cols), _present(cols))
+    values = _values(cols)
+    return safe_div(_total(values), F.size(values))
 
 
 def row_std(cols: Sequence[str]) -> Column:
-    """Sample deviation over columns of one row, two-pass so large values keep precision."""
-    mean = row_mean(cols)
-    squares = F.lit(0.0)
-    for c in cols:
-        squares = squares + F.coalesce(F.pow(F.col(c).cast("double") - mean, 2), F.lit(0.0))
-    n = _present(cols)
-    return F.when(n >= 2, F.sqrt(safe_div(squares, n - F.lit(1))))
+    """Sample deviation over columns of one row, by updates of mean and squared distance so
+    that large values keep precision and the mean is not computed again for each term."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def add(s: Column, x: Column) -> Column:
+        n = s["n"] + 1
+        mean = s["mean"] + (x - s["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (s["m2"] + (x - s["mean"]) * (x - mean)).alias("m2"))
+
+    def finish(s: Column) -> Column:
+        return F.when(s["n"] >= 2, F.sqrt(safe_div(s["m2"], s["n"] - 1)))
+
+    return F.aggregate(_values(cols), start, add, finish)
 
 
 def stable_hash(key: Column | str, seed: int = 0) -> Column:
@@ -127,3 +134,9 @@ def risk_score(
         + F.lit(drift) * (as_column(time) / F.lit(100.0))
     )
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+
+
+def nan_to_null(df):
+    """``df`` with NaN read as missing in every float and double column."""
+    new = {c: null_if_nan(F.col(f"`{c}`")) for c, t in df.dtypes if t in ("float", "double")}
+    return df.withColumns(new) if new else df
