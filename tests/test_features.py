@@ -75,8 +75,8 @@ def test_codes_unseen_and_unknown(rows):
     codes = category_codes(fit, ["c"])
     assert {(r["value"], r["code"]) for r in codes.collect()} == {("a", 0), ("b", 1)}
     new = rows([("z",), ("b",), (None,)], "c string")
-    assert [r["c"] for r in encode(new, ["c"], codes, 2, {}).collect()] == [0, 1, 0]
-    assert [r["c"] for r in encode(new, ["c"], codes, 2, {"c": 1}).collect()] == [1, 1, 1]
+    assert [r["c"] for r in encode(new, ["c"], codes, {"c": 34}, {}).collect()] == [0, 1, 0]
+    assert [r["c"] for r in encode(new, ["c"], codes, {"c": 34}, {"c": 1}).collect()] == [1, 1, 1]
     assert {r["value"] for r in unknown_categories(new, ["c"], codes).collect()} == {"z", "nan"}
 
 
@@ -84,8 +84,8 @@ def test_large_code_tables_are_not_broadcast(rows):
     codes = category_codes(rows([("a",), ("b",)], "c string"), ["c"])
     df = rows([("b",)], "c string")
 
-    def hinted(n_codes):
-        plan = encode(df, ["c"], codes, n_codes, {})._jdf.queryExecution().optimizedPlan().toString()
+    def hinted(size):
+        plan = encode(df, ["c"], codes, {"c": size}, {})._jdf.queryExecution().optimizedPlan().toString()
         (join,) = [line for line in plan.split("\n") if "Join LeftOuter" in line]
         return "strategy=broadcast" in join
 

@@ -28,21 +28,18 @@ from tidemark.params import DEFAULT_MEMBERS
 
 log = logging.getLogger(__name__)
 
-MAX_CALIBRATION_POINTS = 1_000_000
-
-
-def calibration_points(df: DataFrame, label: str, prob: str, max_points: int = MAX_CALIBRATION_POINTS) -> DataFrame:
+def calibration_points(df: DataFrame, label: str, prob: str, bins: int | None = None) -> DataFrame:
     """(prob, label, weight) with equal scores pooled, which leaves an isotonic fit
-    unchanged. Spark's isotonic learner ends on one node, so more distinct scores than
-    ``max_points`` are pooled into equal-count score buckets; every row keeps its weight."""
-    distinct = df.agg(F.approx_count_distinct(prob)).first()[0]
+    unchanged. Spark's isotonic learner ends on one node; ``bins`` pools the scores into so
+    many equal-count buckets, where every row keeps its weight. It is the caller's choice:
+    the number of rows never changes the fit."""
     score, y = F.col(prob).cast("double"), F.col(label).cast("double")
-    if distinct <= max_points:
+    if bins is None:
         return df.groupBy(score.alias("prob")).agg(
             F.avg(y).alias("label"), F.count(F.lit(1)).cast("double").alias("weight")
         )
     rows = df.select(score.alias("prob"), y.alias("label"))
-    bounds = bucket_bounds(rows, "prob", max(1, df.count() // 4096))
+    bounds = bucket_bounds(rows, "prob", max(1, -(-df.count() // bins)))
     return (
         with_bucket(rows, "prob", bounds, "_bucket")
         .groupBy("_bucket")
@@ -55,9 +52,9 @@ def calibration_points(df: DataFrame, label: str, prob: str, max_points: int = M
     )
 
 
-def fit_isotonic(df: DataFrame, label: str, prob: str) -> IsotonicRegressionModel:
+def fit_isotonic(df: DataFrame, label: str, prob: str, bins: int | None = None) -> IsotonicRegressionModel:
     learner = IsotonicRegression(featuresCol="prob", labelCol="label", weightCol="weight")
-    return learner.fit(calibration_points(df, label, prob))
+    return learner.fit(calibration_points(df, label, prob, bins))
 
 
 def apply_isotonic(df: DataFrame, model: IsotonicRegressionModel, prob: str, out: str) -> DataFrame:
@@ -94,6 +91,12 @@ def disagreement(columns: Sequence[str]) -> Column:
     return F.sqrt(sum((F.pow(F.col(c) - mean, 2) for c in columns), F.lit(0.0)) / n)
 
 
+def long_probabilities(df: DataFrame, keep: Sequence[str], columns: dict[str, str]) -> DataFrame:
+    """The kept columns with (member, prob) for each member and its column."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("member"), F.col(c).alias("prob")) for n, c in columns.items()])
+    return df.select(*keep, F.explode(pairs).alias("m")).select(*keep, "m.*")
+
+
 class Ensemble:
     """Weighted mean of calibrated member probabilities."""
 
@@ -105,12 +108,13 @@ class Ensemble:
         seed: int = 42,
         max_rounds: int | None = None,
         parallelism: int = 1,
+        calibration_bins: int | None = None,
     ) -> None:
         self.members = dict(DEFAULT_MEMBERS if members is None else members)
         for config in self.members.values():
             make_learner(config["type"], "label", seed, {})
         self.calibrate, self.calibration_mode, self.seed = calibrate, calibration_mode, seed
-        self.max_rounds, self.parallelism = max_rounds, parallelism
+        self.max_rounds, self.parallelism, self.calibration_bins = max_rounds, parallelism, calibration_bins
         self.weights = {n: 1.0 / len(self.members) for n in self.members}
         self.performance: dict[str, dict[str, float]] = {}
         self.models: dict = {}
@@ -171,7 +175,7 @@ class Ensemble:
                 else:
                     self.failures[name] = error
         if not self.models:
-            raise ValueError(f"No trained models available: {self.failures}")
+            raise ValueError(f"every member failed: {self.failures}")
 
         raw = check
         for name, model in self.models.items():
@@ -192,17 +196,14 @@ class Ensemble:
 
     def _member_metrics(self, scored: DataFrame) -> list:
         """AUC and AP of all members in one job: scores in long form, grouped by member."""
-        pairs = F.array(
-            *[F.struct(F.lit(n).alias("member"), F.col(f"prob_{n}").alias("prob")) for n in self.models]
-        )
-        long = scored.select(self.label, F.explode(pairs).alias("m")).select(self.label, "m.*")
+        long = long_probabilities(scored, [self.label], {n: f"prob_{n}" for n in self.models})
         return ranking_metrics(long, self.label, "prob", ["member"]).collect()
 
     def _calibrate(self, rows: DataFrame, key: str) -> None:
         if self.calibration_mode == "prefit":
             for name, model in self.models.items():
                 scored = with_probability(rows, model, "prob")
-                self.calibrators[name] = [(None, fit_isotonic(scored, self.label, "prob"))]
+                self.calibrators[name] = [(None, fit_isotonic(scored, self.label, "prob", self.calibration_bins))]
             return
         folded = stratified_folds(rows, self.label, key, 3, self.seed)
         for name in self.models:
@@ -210,14 +211,14 @@ class Ensemble:
             for fold in range(3):
                 clone = self._learner(name).fit(folded.where(F.col("fold") != fold))
                 held = with_probability(folded.where(F.col("fold") == fold), clone, "prob")
-                pairs.append((clone, fit_isotonic(held, self.label, "prob")))
+                pairs.append((clone, fit_isotonic(held, self.label, "prob", self.calibration_bins)))
             self.calibrators[name] = pairs
 
     # ------------------------------------------------------------------ scoring
 
     def _combine(self, assembled: DataFrame) -> DataFrame:
         if not self.models:
-            raise ValueError("No trained models available")
+            raise ValueError("the ensemble has no members yet: fit it first")
         out = assembled
         for name, model in self.models.items():
             pairs = self.calibrators.get(name) or [(None, None)]
@@ -241,23 +242,20 @@ class Ensemble:
 
     def contributions(self, df: DataFrame) -> DataFrame:
         """Member probabilities in long form: the input columns with (member, prob)."""
-        scored = self.predict(df)
-        pairs = F.array(*[F.struct(F.lit(n).alias("member"), F.col(f"prob_{n}").alias("prob")) for n in self.models])
-        return scored.select(*df.columns, F.explode(pairs).alias("m")).select(*df.columns, "m.*")
+        return long_probabilities(self.predict(df), df.columns, {n: f"prob_{n}" for n in self.models})
 
     def detect_drift(self, domains: DataFrame) -> DataFrame:
         """Drift of domain 1 against domain 0, or a row that says no validator exists."""
         if self.drift is None:
             return domains.sparkSession.range(1).select(
-                F.lit(False).alias("is_drift_detected"), F.lit("No adversarial validator trained").alias("message")
+                F.lit(False).alias("is_drift_detected"), F.lit("no drift validator was fitted").alias("message")
             )
         return self.drift.predict_drift(domains)
 
     def reweight(self, df: DataFrame, period: str = "period") -> dict[str, float]:
         """Extension: set the weights from the members' AUC and its spread over periods of
         engineered, labelled rows."""
-        pairs = F.array(*[F.struct(F.lit(n).alias("member"), F.col(f"prob_{n}").alias("prob")) for n in self.models])
-        long = self.predict(df).select(self.label, period, F.explode(pairs).alias("m")).select(self.label, period, "m.*")
+        long = long_probabilities(self.predict(df), [self.label, period], {n: f"prob_{n}" for n in self.models})
         per = ranking_metrics(long, self.label, "prob", ["member", period])
         self.weights = {r["member"]: r["weight"] for r in stability_weights(per).collect()}
         return self.weights
@@ -278,8 +276,19 @@ class Ensemble:
         if self.drift is not None:
             self.drift.save(f"{path}/drift")
         fields = (
-            "members calibrate calibration_mode seed max_rounds parallelism weights performance failures features label"
-        ).split()
+            "members",
+            "calibrate",
+            "calibration_mode",
+            "calibration_bins",
+            "seed",
+            "max_rounds",
+            "parallelism",
+            "weights",
+            "performance",
+            "failures",
+            "features",
+            "label",
+        )
         body = {f: getattr(self, f) for f in fields} | {"layout": layout, "has_drift": self.drift is not None}
         spark = SparkSession.active()
         spark.createDataFrame([(json.dumps(body),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/state")

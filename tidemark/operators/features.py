@@ -19,6 +19,8 @@ from tidemark.functions.columns import (
     hour_of_day,
     is_night,
     is_weekend,
+    nan_to_null,
+    null_if_nan,
     plus_one_ratio,
     row_mean,
     row_std,
@@ -31,8 +33,10 @@ from tidemark.operators.profile import category_counts, category_frequencies, nu
 from tidemark.operators.velocity import HOT_ROWS, with_velocity
 from tidemark.params import Roles, family
 from tidemark.session import cut_lineage
+from tidemark.sources.readers import read_optional
 
-BROADCAST_CODES = 500_000
+#: A column's code table is broadcast only below this many bytes.
+BROADCAST_BYTES = 8 << 20
 
 
 def medians(df: DataFrame, columns: Sequence[str], candidates: int = CANDIDATES) -> dict[str, float | None]:
@@ -72,9 +76,10 @@ def unknown_categories(df: DataFrame, columns: Sequence[str], codes: DataFrame)
 
 
 def impute(df: DataFrame, numeric: dict[str, float | None], categorical: dict[str, str | None]) -> DataFrame:
-    """NULL fill with fitted medians and modes; columns fitted as all-NULL are left alone."""
+    """Fill of NULL and NaN with fitted medians and modes; columns fitted as all-NULL are left
+    alone."""
     fills = {
-        c: F.coalesce(F.col(c).cast("double"), F.lit(float(v)))
+        c: F.coalesce(null_if_nan(F.col(c).cast("double")), F.lit(float(v)))
         for c, v in numeric.items()
         if v is not None and c in df.columns
     }
@@ -126,13 +131,22 @@ def engineer(
     return out
 
 
-def encode(df: DataFrame, columns: Sequence[str], codes: DataFrame, n_codes: int, fallback: dict[str, int]) -> DataFrame:
-    """Replace each category by its code. The code table is broadcast only while its
-    counted size allows; beyond that Spark joins it by shuffle and splits hot values."""
+def code_bytes(codes: DataFrame) -> dict[str, int]:
+    """Bytes of each column's code table: values, and 16 for each row."""
+    sizes = codes.groupBy("feature").agg(F.sum(F.octet_length("value") + 16).alias("bytes"))
+    return {r["feature"]: r["bytes"] for r in sizes.collect()}
+
+
+def encode(
+    df: DataFrame, columns: Sequence[str], codes: DataFrame, sizes: dict[str, int], fallback: dict[str, int]
+) -> DataFrame:
+    """Replace each category by its code. A column's table is broadcast only while its own
+    counted bytes (``sizes``) allow; beyond that Spark joins it by shuffle and splits hot
+    values."""
     out = df
     for c in columns:
         table = codes.where(F.col("feature") == c).select(F.col("value").alias("_v"), F.col("code").alias("_code"))
-        if n_codes <= BROADCAST_CODES:
+        if sizes.get(c, 0) <= BROADCAST_BYTES:
             table = F.broadcast(table)
         joined = out.withColumn("_key", F.coalesce(F.col(c), F.lit("nan"))).join(
             table, F.col("_key") == F.col("_v"), "left"
@@ -190,7 +204,7 @@ class FeatureEngineer(Estimator):
         self.candidates = candidates
 
     def _fit(self, df: DataFrame) -> FeatureModel:
-        roles = self.roles
+        roles, df = self.roles, nan_to_null(df)
         numeric, categorical = roles.numeric(df), roles.categorical(df)
         # Medians to impute with and quartiles of the profile from the same scans.
         probs = [0.25, 0.5, 0.75] if self.keep_profile else [0.5]
@@ -201,7 +215,7 @@ class FeatureEngineer(Estimator):
             "amount": None,
             "scaler": {},
             "fallback": {},
-            "n_codes": 0,
+            "code_bytes": {},
         }
         filled = impute(df, state["medians"], state["modes"])
         if roles.amount in df.columns:
@@ -210,7 +224,7 @@ class FeatureEngineer(Estimator):
         codes = None
         if categorical:
             codes = cut_lineage(category_codes(filled, categorical))
-            state["n_codes"] = codes.count()
+            state["code_bytes"] = code_bytes(codes)
             if self.options["unseen"] == "mode":
                 wanted = df.sparkSession.createDataFrame(
                     [(c, v) for c, v in state["modes"].items() if v is not None], "feature string, value string"
@@ -221,8 +235,8 @@ class FeatureEngineer(Estimator):
         if self.keep_profile:
             quartiles = {c: [q[0], q[-1]] for c, q in quantiles.items()}
             profile = (
-                numeric_profile(df, numeric, quartiles=quartiles) if numeric else None,
-                category_frequencies(df, categorical) if categorical else None,
+                cut_lineage(numeric_profile(df, numeric, quartiles=quartiles)) if numeric else None,
+                cut_lineage(category_frequencies(df, categorical)) if categorical else None,
             )
         model = FeatureModel(roles, self.options, state, codes, profile)
         derived = model.derive(df, batch_amount=False)
@@ -252,7 +266,7 @@ class FeatureModel(Model):
         out = engineer(filled, self.roles, amount, self.options["hot_rows"])
         if self.codes is not None:
             cols = [c for c in self.state["modes"] if c in df.columns]
-            out = encode(out, cols, self.codes, self.state["n_codes"], self.state["fallback"])
+            out = encode(out, cols, self.codes, self.state["code_bytes"], self.state["fallback"])
         return out
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -271,6 +285,9 @@ class FeatureModel(Model):
         )
         if self.codes is not None:
             self.codes.write.mode("overwrite").parquet(f"{path}/codes")
+        for name, table in zip(("numeric", "categorical"), self.profile or (None, None)):
+            if table is not None:
+                table.write.mode("overwrite").parquet(f"{path}/profile/{name}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> FeatureModel:
@@ -279,6 +296,7 @@ class FeatureModel(Model):
         state = body["state"]
         state["scaler"] = {c: tuple(v) for c, v in state["scaler"].items()}
         codes = spark.read.parquet(f"{path}/codes") if state["modes"] else None
-        return cls(roles, body["options"], state, codes)
+        profile = tuple(read_optional(spark, f"{path}/profile/{n}", "parquet") for n in ("numeric", "categorical"))
+        return cls(roles, body["options"], state, codes, profile if any(t is not None for t in profile) else None)
 
 

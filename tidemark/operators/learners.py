@@ -31,7 +31,7 @@ _DEFAULTS = {
 
 def make_learner(kind: str, label: str, seed: int, params: dict | None = None) -> Estimator:
     if kind not in _ESTIMATORS:
-        raise ValueError(f"Unsupported model type: {kind}")
+        raise ValueError(f"no learner called {kind!r}; known: {sorted(_DEFAULTS)}")
     settings = {**_DEFAULTS[kind], **(params or {})}
     if kind != "logreg":
         settings.setdefault("seed", seed)
@@ -41,7 +41,7 @@ def make_learner(kind: str, label: str, seed: int, params: dict | None = None) -
 
 def load_learner(kind: str, path: str) -> Model:
     if kind not in _MODELS:
-        raise ValueError(f"Unsupported model type: {kind}")
+        raise ValueError(f"no learner called {kind!r}; known: {sorted(_DEFAULTS)}")
     return _MODELS[kind].load(path)
 
 

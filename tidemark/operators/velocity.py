@@ -3,24 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import safe_div
 from tidemark.operators.order import bucket_bounds, with_bucket
+from tidemark.session import cut_lineage
 
 HOT_ROWS = 5_000_000
-MAX_HOT = 1_024
+BROADCAST_CARDS = 100_000
 
 
-def hot_cards(df: DataFrame, card: str, hot_rows: int = HOT_ROWS) -> list:
-    """Cards too large for one window task, largest first (at most ``MAX_HOT``; a table
-    with more has no single card above a thousandth of its rows among the rest)."""
+def hot_cards(df: DataFrame, card: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Cards with more rows than one window task should hold, as a table of any length."""
     counts = df.where(F.col(card).isNotNull()).groupBy(card).agg(F.count(F.lit(1)).alias("n"))
-    top = counts.where(F.col("n") > hot_rows).orderBy(F.col("n").desc()).limit(MAX_HOT)
-    return [r[card] for r in top.collect()]
+    return counts.where(F.col("n") > hot_rows).select(card)
 
 
 def time_since_previous(
@@ -29,7 +26,6 @@ def time_since_previous(
     time: str,
     key: str,
     name: str = "time_diff",
-    hot: Sequence | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``time`` minus the previous ``time`` of the card; NULL on a card's first row.
@@ -41,12 +37,17 @@ def time_since_previous(
     order = [F.col(time), F.col(key)]
     # Rows without a card get no difference; set apart by key they gather nowhere.
     apart = F.when(F.col(card).isNull(), F.col(key))
-    hot = hot_cards(df, card, hot_rows) if hot is None else list(hot)
-    if not hot:
+    # Written once, as its count decides the plan; a row for each card, not for each event.
+    hot = cut_lineage(hot_cards(df, card, hot_rows).select(F.col(card).alias("_card"), F.lit(True).alias("_hot")))
+    n_hot = hot.count()
+    if not n_hot:
         w = Window.partitionBy(F.col(card), apart).orderBy(*order)
         return _null_cards(df.withColumn(name, F.col(time) - F.lag(time).over(w)), card, name)
 
-    is_hot = F.coalesce(F.col(card).isin(*hot), F.lit(False))
+    marks = F.broadcast(hot) if n_hot <= BROADCAST_CARDS else hot
+    columns = df.columns
+    df = df.join(marks, F.col(card) == F.col("_card"), "left").drop("_card")
+    is_hot = F.coalesce(F.col("_hot"), F.lit(False))
     hot_part = df.where(is_hot).select(F.col(time).alias("_t"), F.col(key).alias("_k"))
     bounds = bucket_bounds(hot_part, "_t", hot_rows)
     runs = sorted({b for i, b in enumerate(bounds) if i and bounds[i - 1] == b})
@@ -83,7 +84,7 @@ def time_since_previous(
     cond = (F.col(card) == F.col("_c")) & (F.col("_tc") == F.col("_ct")) & (F.col("_kc") == F.col("_ck"))
     joined = local.join(carried, cond, "left")
     diff = F.col(time) - F.coalesce(F.col("_previous"), F.col("_carry"))
-    return _null_cards(joined.withColumn(name, diff).select(*df.columns, name), card, name)
+    return _null_cards(joined.withColumn(name, diff).select(*columns, name), card, name)
 
 
 def _null_cards(df: DataFrame, card: str, name: str) -> DataFrame:

@@ -43,11 +43,30 @@ FOREST_SETTING_NAMES = {"n_estimators": "numTrees"}
 FRACTION_NAMES = ("feature_fraction", "colsample_bytree")
 
 
+# Metrics of which less is better; all others are better when they grow.
+LOWER_WORDS = ("ece", "mce", "brier", "hl", "loss", "cost", "alarm", "std", "cv", "chi2", "error", "fpr", "fp", "fn", "disagreement")
+
+
+def direction(metric: str) -> str:
+    """``lower`` or ``higher``: which way a metric meets its target."""
+    return "lower" if set(metric.lower().split("_")) & set(LOWER_WORDS) else "higher"
+
+
+def target_from_config(metric: str, value) -> tuple[float, str]:
+    """A number, or ``{"value": x, "direction": "lower" | "higher"}``."""
+    if not isinstance(value, dict):
+        return float(value), direction(metric)
+    way = value.get("direction", direction(metric))
+    if way not in ("lower", "higher"):
+        raise ValueError(f"target {metric}: direction is lower or higher, not {way!r}")
+    return float(value["value"]), way
+
+
 def member_from_config(name: str, config: dict, patience: int | None) -> dict:
     """One ensemble member; settings Spark ML has no counterpart for are reported."""
     kind = config.get("type") or config.get("model_type") or name
     if kind not in LEARNER_NAMES:
-        raise ValueError(f"Unsupported model type: {kind}")
+        raise ValueError(f"no learner stands in for {kind!r}; known: {sorted(LEARNER_NAMES)}")
     spark_kind = LEARNER_NAMES[kind]
     names = {**SETTING_NAMES, **(FOREST_SETTING_NAMES if spark_kind == "rf" else {})}
     params: dict = {}
@@ -60,7 +79,7 @@ def member_from_config(name: str, config: dict, patience: int | None) -> dict:
             params[names[key]] = value
         else:
             log.warning("member %s: no counterpart for setting %s", name, key)
-    if kind == "lightgbm" and patience:
+    if spark_kind == "gbt" and patience:
         return {"type": spark_kind, "params": params, "early_stopping": patience}
     return {"type": spark_kind, "params": params}
 
@@ -70,7 +89,7 @@ def params_from_config(config: dict) -> tuple[Roles, TrainParams, EvalParams]:
     evaluation and base_models. Keys that set nothing are reported."""
     known = {"training": TRAINING_KEYS, "evaluation": EVALUATION_KEYS, "data": ROLE_KEYS}
     extra = {
-        "training": {"target_column", "early_stopping_rounds", "val_ratio", "test_ratio"},
+        "training": {"target_column", "early_stopping_rounds"},
         "evaluation": {"target_metrics", "drift_threshold"},
         "data": {"data_path"},
     }
@@ -94,9 +113,7 @@ def params_from_config(config: dict) -> tuple[Roles, TrainParams, EvalParams]:
 
     checks = {EVALUATION_KEYS[k]: v for k, v in evaluation.items() if k in EVALUATION_KEYS}
     if "target_metrics" in evaluation:
-        checks["targets"] = {
-            m: (float(t), "lower" if "ece" in m.lower() else "higher") for m, t in evaluation["target_metrics"].items()
-        }
+        checks["targets"] = {m: target_from_config(m, t) for m, t in evaluation["target_metrics"].items()}
     return roles, TrainParams(**fields), EvalParams(**checks)
 
 
