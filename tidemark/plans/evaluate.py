@@ -16,6 +16,7 @@ from tidemark.operators.ranking import ranking_bundle
 from tidemark.operators.stability import period_metrics, stability_summary
 from tidemark.params import EvalParams
 from tidemark.sources.sinks import union_metrics, wide_to_metrics
+from tidemark.session import write_table
 
 
 def standard_metrics(scored: DataFrame, key: str, label: str, params: EvalParams = EvalParams()) -> DataFrame:
@@ -38,7 +39,7 @@ def temporal_metrics(
 ) -> DataFrame:
     """Per-period ranking, its stability and, from one (period, drift_score) row per
     candidate, the quality of the drift detector; in long form."""
-    per = period_metrics(scored, label, "prob", period)
+    per = write_table(period_metrics(scored, label, "prob", period), "period-metrics")
     parts = [wide_to_metrics(per, scope, period, "period_"), wide_to_metrics(stability_summary(per), scope)]
     if drift_scores is not None:
         parts.append(wide_to_metrics(detection_metrics(drift_scores, period), scope))

@@ -8,15 +8,16 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import nan_to_null
 from tidemark.operators.drift import DriftValidator
 from tidemark.operators.ensemble import Ensemble
 from tidemark.operators.features import FeatureEngineer, FeatureModel
 from tidemark.operators.joins import stack_domains
 from tidemark.operators.profile import member_scores
-from tidemark.operators.splits import drift_periods, half_split, stratified_temporal_split
+from tidemark.operators.splits import drift_periods, half_split, stratified_folds, stratified_temporal_split
 from tidemark.params import EvalParams, Roles, TrainParams
 from tidemark.plans.evaluate import full_evaluation, temporal_metrics
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, drop_table, write_table
 from tidemark.sources.readers import read_optional
 from tidemark.sources.sinks import (
     check_targets,
@@ -46,13 +47,25 @@ class Prepared:
 
     @property
     def val(self) -> DataFrame:
-        return self.rows.where(F.col("split") == "val")
+        """Validation rows that calibrate, stop and weight."""
+        return self.rows.where((F.col("split") == "val") & (F.col("fold") < 2)).drop("fold")
+
+    @property
+    def report(self) -> DataFrame:
+        """Validation rows that nothing was fitted on."""
+        return self.rows.where((F.col("split") == "val") & (F.col("fold") == 2))
 
 
 def prepare(df: DataFrame, roles: Roles, params: TrainParams, val: DataFrame | None = None) -> Prepared:
     """Split by time within each class, cut the training rows into periods, fit the
-    features on them and transform both sides. The engineered rows are written once: the
-    learners, the validator and the metrics all read them from there."""
+    features on them and transform both sides.
+
+    The raw rows (often a join) and the engineered rows are each written once as columns:
+    every fit, the learners, the validator and the metrics read a few columns of them. The
+    raw copy is removed at the end. ``fold`` deals the validation rows by class into 0 and 1
+    (calibration, stopping, weights) and 2 (reported metrics only).
+    """
+    df = raw = write_table(nan_to_null(df), "raw-rows")
     if val is None:
         split = stratified_temporal_split(df, roles.time, roles.key, roles.label, params.train_ratio)
         train = split.where(F.col("split") == "train").drop("split")
@@ -62,7 +75,10 @@ def prepare(df: DataFrame, roles: Roles, params: TrainParams, val: DataFrame | N
     model = FeatureEngineer(roles).fit(train)
     train = drift_periods(train, roles.time, roles.key, params.periods).withColumn("split", F.lit("train"))
     val = val.withColumns({"split": F.lit("val"), "period": F.lit(None).cast("int")})
-    rows = cut_lineage(model.transform(train).unionByName(model.transform(val)))
+    val = stratified_folds(val, roles.label, roles.key, 3)
+    train = train.withColumn("fold", F.lit(None).cast("int"))
+    rows = write_table(model.transform(train).unionByName(model.transform(val)), "engineered-rows")
+    drop_table(raw)
     return Prepared(rows, model.feature_columns, model)
 
 
@@ -89,7 +105,7 @@ class DriftAwareScorer:
     def evaluate_drift(self, new: DataFrame, reference: DataFrame) -> DataFrame:
         """Drift of raw new rows against raw reference rows."""
         if self.validator is None:
-            raise ValueError("Adversarial validator not available. Train with drift periods.")
+            raise ValueError("this scorer has no drift validator: train it with two periods or more")
         return self.validator.predict_drift(
             stack_domains(
                 self.features.transform(reference), self.features.transform(new), self.roles.reserved(), (self.roles.key,)
@@ -180,15 +196,16 @@ def train(
 
 
 def _evaluate_run(data: Prepared, ensemble: Ensemble, roles: Roles, params: EvalParams) -> DataFrame:
-    """Validation metrics, per-period stability on the training rows and the drift
-    detector's quality, all from one scored frame that is written once."""
-    scored = ensemble.predict(data.rows, params.threshold)
+    """Metrics on the validation rows that nothing was fitted on, per-period stability on the
+    training rows and the drift detector's quality, all from one scored frame that is
+    written once."""
+    scored = ensemble.predict(data.rows.where("split = 'train' OR fold = 2"), params.threshold)
     names = [f"prob_{n}" for n in ensemble.models]
     if ensemble.drift is not None:
         scored = ensemble.drift.score(scored)
     extra = ["drift_prob"] if ensemble.drift is not None else []
-    scored = cut_lineage(
-        scored.select(roles.key, roles.label, "split", "period", *names, "prob", "pred", *extra)
+    scored = write_table(
+        scored.select(roles.key, roles.label, "split", "period", *names, "prob", "pred", *extra), "scored-rows"
     )
     val, periods = scored.where(F.col("split") == "val"), scored.where(F.col("split") == "train")
     parts = [full_evaluation(val, roles.key, roles.label, params, scope="validation")]
@@ -216,7 +233,7 @@ def evaluate(
     """Standard, drift and calibration evaluation of a fitted scorer on raw labelled rows."""
     roles = scorer.roles
     rows = drift_periods(df, roles.time, roles.key, periods) if periods else df
-    scored = cut_lineage(scorer.predict(rows, params.threshold, drift=periods is not None))
+    scored = write_table(scorer.predict(rows, params.threshold, drift=periods is not None), "scored-rows")
     candidates = None
     if "drift_prob" in scored.columns:
         candidates = _candidate_scores(scored)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +59,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder below the shared checkpoint folder, for tables a job writes and reads back."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}"
+
+
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet below the checkpoint folder and read it back: for rows that
+    are read many times, a few columns each. A checkpoint keeps whole rows instead."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Remove the files of a table that ``write_table`` made."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if folder.toString().split("/")[-2:-1] == [spark.sparkContext.getCheckpointDir().rstrip("/").split("/")[-1]]:
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
