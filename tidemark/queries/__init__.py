@@ -9,6 +9,7 @@ from tidemark.queries import (  # noqa: F401
     ordering,
     projections,
     ranking,
+    robust,
     scans,
 )
 from tidemark.queries.base import QUERIES, SQL

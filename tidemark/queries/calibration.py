@@ -12,7 +12,7 @@ from tidemark.operators.classification import (
     reliability,
     reliability_bins,
 )
-from tidemark.operators.ensemble import apply_isotonic, auc_weights, fit_isotonic, weights_table
+from tidemark.operators.ensemble import apply_isotonic, auc_weights, fit_isotonic, long_probabilities, weights_table
 from tidemark.operators.learners import weighted_mean
 from tidemark.operators.ranking import ranking_metrics
 from tidemark.operators.splits import drift_periods
@@ -226,5 +226,5 @@ def _(spark, d):
     f"WITH {MEMBERS_SQL} SELECT key, member, round(p, 6) AS prob FROM (UNPIVOT members ON m1, m2, m3 INTO NAME member VALUE p)",
 )
 def _(spark, d):
-    pairs = F.array(*[F.struct(F.lit(m).alias("member"), F.col(m).alias("prob")) for m in MEMBERS])
-    return member_rows(spark, d).select("key", F.explode(pairs).alias("m")).select("key", "m.member", r6("m.prob").alias("prob"))
+    long = long_probabilities(member_rows(spark, d), ["key"], {m: m for m in MEMBERS})
+    return long.withColumn("prob", r6("prob"))

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from tidemark.operators.drift import DriftValidator, detection_metrics
 from tidemark.operators.ensemble import Ensemble, disagreement
 from tidemark.operators.features import FeatureEngineer
-from tidemark.operators.learners import assemble, fit_boosted, make_learner
+from tidemark.operators.learners import assemble, fit_boosted, make_learner, weighted_mean
 from tidemark.operators.splits import drift_periods, half_split
 from tidemark.params import EvalParams, Roles, TrainParams
 from tidemark.plans.train import DriftAwareScorer, evaluate, prepare, train
-from tidemark.queries.base import query, rounded, transactions
-from tidemark.session import cut_lineage, scratch_path
+from tidemark.queries.base import TX, query, rounded, transactions
+from tidemark.session import scratch_path, write_table
 
 ROLES = Roles()
 
@@ -35,7 +35,7 @@ def engineered(spark, d):
     model = FeatureEngineer(ROLES, keep_profile=False).fit(tx)
     rows = drift_periods(tx, ROLES.time, ROLES.key, PARAMS.periods)
     columns = [c for c in model.feature_columns if c != ROLES.time]
-    return cut_lineage(model.transform(rows)), columns
+    return write_table(model.transform(rows), "engineered"), columns
 
 
 _TRAINED: dict[tuple[str, str], tuple] = {}
@@ -66,6 +66,53 @@ def _(spark, d):
     )
 
 
+@query(
+    "mdl14_split_and_period_sizes",
+    f"""WITH {TX}, r AS (SELECT "isFraud" AS y, "TransactionDT" AS t, "TransactionID" AS k,
+  row_number() OVER (PARTITION BY "isFraud" ORDER BY "TransactionDT", "TransactionID") AS rn, count(*) OVER (PARTITION BY "isFraud") AS c FROM tx),
+s AS (SELECT *, CASE WHEN rn <= floor(c * {PARAMS.train_ratio}::DOUBLE) THEN 'train' ELSE 'val' END AS split FROM r),
+p AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY t, k) - 1 AS i, count(*) OVER (PARTITION BY split) AS n FROM s)
+SELECT split, CAST(CASE WHEN split = 'train' THEN least(i // (n // 5), 4) END AS INTEGER) AS period, count(*) AS n,
+round(avg(y), 9) AS fraud_rate FROM p GROUP BY 1, 2""",
+)
+def _(spark, d):
+    data = prepare(transactions(spark, d), ROLES, PARAMS)
+    return data.rows.groupBy("split", "period").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col(ROLES.label).cast("double")), 9).alias("fraud_rate")
+    )
+
+
+@query("mdl11_valid_scores", "SELECT count(*) AS n, count(*) AS in_range, count(*) AS is_mean, count(*) AS pred_fits FROM events")
+def _(spark, d):
+    """Of all rows: scored, every probability within [0, 1], the weighted mean of the
+    members, and the prediction its threshold."""
+    scorer, _ = trained(spark, d)
+    scored = scorer.predict(transactions(spark, d))
+    members = [f"prob_{n}" for n in scorer.ensemble.models]
+    mean = weighted_mean(members, [scorer.ensemble.weights[n] for n in scorer.ensemble.models])
+    ranges = F.lit(True)
+    for c in [*members, "prob"]:
+        ranges = ranges & F.col(c).between(0.0, 1.0)
+    return scored.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(ranges).alias("in_range"),
+        F.count_if(F.abs(F.col("prob") - mean) < 1e-12).alias("is_mean"),
+        F.count_if((F.col("prob") > 0.5) == (F.col("pred") == 1)).alias("pred_fits"),
+    )
+
+
+@query("snk2_reloaded_scores", "SELECT count(*) AS n, count(*) AS equal FROM events")
+def _(spark, d):
+    """Save all artifacts, load them, and score every row with both."""
+    scorer, _ = trained(spark, d)
+    path = scratch_path(spark, f"models-{uuid.uuid4().hex}")
+    scorer.save(path, PARAMS)
+    again = DriftAwareScorer.load(spark, path)
+    first, second = (write_table(m.predict(transactions(spark, d)).select(ROLES.key, "prob"), "scores") for m in (scorer, again))
+    both = first.join(second.withColumnRenamed("prob", "again"), ROLES.key)
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("prob") == F.col("again")).alias("equal"))
+
+
 @query("drf1_domain_classifier")
 def _(spark, d):
     rows, columns = engineered(spark, d)
@@ -80,8 +127,7 @@ def _(spark, d):
     domains = rows.withColumn("domain", (F.col("period") > 0).cast("int"))
     validator = DriftValidator("gbt", params=BOOST)
     validator.fit(domains, columns, ROLES.key)
-    last = PARAMS.periods - 1
-    return validator.predict_drift(domains.where(F.col("period").isin(0, last)))
+    return validator.predict_drift(domains)
 
 
 @query("drf3_top1_drift_features")
@@ -120,8 +166,10 @@ def _(spark, d):
 
 @query("drf9_halves_validator")
 def _(spark, d):
-    _, metrics = trained(spark, d)
-    return metrics.where(F.col("metric").startswith("adversarial_"))
+    """Early half against late half, fitted here."""
+    rows, columns = engineered(spark, d)
+    found = DriftValidator("gbt", params=BOOST).fit(half_split(rows, ROLES.time, ROLES.key), columns, ROLES.key)
+    return spark.createDataFrame([(f"adversarial_{k}", v) for k, v in found.items()], "metric string, value double")
 
 
 @query("mdl6_member_metrics")
@@ -155,8 +203,7 @@ def _(spark, d):
 def _(spark, d):
     rows, columns = engineered(spark, d)
     halves = half_split(rows, ROLES.time, ROLES.key)
-    members = {"forest": MEMBERS["forest"]}
-    ensemble = Ensemble(members, calibration_mode="crossfit")
+    ensemble = Ensemble(MEMBERS, max_rounds=5, calibration_mode="crossfit")
     found = ensemble.fit(halves.where("domain = 0"), halves.where("domain = 1"), columns, ROLES.label, ROLES.key)
     return spark.createDataFrame(list(found.items()), "metric string, value double")
 

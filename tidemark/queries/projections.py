@@ -22,6 +22,7 @@ from tidemark.operators.features import (
     FeatureEngineer,
     amount_moments,
     category_codes,
+    code_bytes,
     encode,
     engineer,
     impute,
@@ -190,7 +191,7 @@ SELECT c_custkey, CAST(coalesce(code, 0) AS INTEGER) AS code FROM customer LEFT
 def _(spark, d):
     customer = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("code"))
     known = category_codes(customer.where("code <> 'MACHINERY'"), ["code"])
-    return encode(customer, ["code"], known, known.count(), {})
+    return encode(customer, ["code"], known, code_bytes(known), {})
 
 
 @query(

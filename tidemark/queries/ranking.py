@@ -18,6 +18,7 @@ from tidemark.operators.ranking import (
 from tidemark.operators.stability import period_metrics, stability_summary
 from tidemark.plans.evaluate import full_evaluation
 from tidemark.queries.base import CURVE, SCORED, query, r6, rounded, scored
+from tidemark.session import write_table
 
 BY_PERIOD = f"WITH {SCORED}, {CURVE.format(g='period')}"
 OVERALL = f"WITH {SCORED}, {CURVE.format(g='0')}"
@@ -270,6 +271,6 @@ def _(spark, d):
 @query("met21_full_evaluation")
 def _(spark, d):
     """All bundles in long form; every part has its own SQL check above."""
-    rows = scored(spark, d, periods=True)
+    rows = write_table(scored(spark, d, periods=True), "scored")
     candidates = rows.where("period > 0").groupBy("period").agg(F.avg("prob").alias("drift_score"))
     return full_evaluation(rows, "key", "label", period="period", drift_scores=candidates)

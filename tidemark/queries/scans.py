@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.operators.classification import threshold_metrics
@@ -11,8 +13,9 @@ from tidemark.operators.splits import drift_periods, sample_rows
 from tidemark.operators.stability import pair_periods
 from tidemark.params import Roles
 from tidemark.queries.base import ORDER_ROWS, SCORED, TX, order_rows, query, r6, rounded, scored, table, transactions
+from tidemark.session import scratch_path
 from tidemark.sources.readers import read_optional, read_table
-from tidemark.sources.sinks import check_targets, union_metrics, wide_to_metrics
+from tidemark.sources.sinks import check_targets, read_metrics, union_metrics, wide_to_metrics, write_metrics, write_scores
 
 
 @query("src1_typed_scan", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
@@ -72,12 +75,16 @@ def _(spark, d):
     counts = threshold_metrics(scored(spark, d)).select(
         "true_positives", "false_positives", "false_negatives", "true_negatives"
     )
-    return wide_to_metrics(counts, "test", prefix="test_")
+    path = scratch_path(spark, f"metrics-{uuid.uuid4().hex}")
+    write_metrics(wide_to_metrics(counts, "test", prefix="test_"), path, "run")
+    return read_metrics(spark, path, "run").select("scope", "metric", "value")
 
 
 @query("snk8_scored_rows", f"WITH {SCORED} SELECT key, round(prob, 6) AS prob, pred FROM scored")
 def _(spark, d):
-    return scored(spark, d).select("key", r6("prob").alias("prob"), "pred")
+    path = scratch_path(spark, f"scores-{uuid.uuid4().hex}")
+    write_scores(scored(spark, d).withColumn("prob", r6("prob")), path, "key")
+    return spark.read.parquet(path)
 
 
 @query(
