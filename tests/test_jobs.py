@@ -154,3 +154,43 @@ def test_job_entry_points(spark, run, tmp_path):
     assert spark.read.json(f"{tmp_path}/model/results/targets").count() == 2
     main(["evaluate", *common, "--model-path", f"{tmp_path}/model", "--output-dir", f"{tmp_path}/eval", "--drift-analysis"])
     assert "drift_detection_f1" in {r["metric"] for r in spark.read.json(f"{tmp_path}/eval/metrics").collect()}
+
+
+@pytest.mark.parametrize(
+    "metric,way",
+    [
+        ("auroc", "higher"),
+        ("log_loss", "lower"),
+        ("calibration_brier_score", "lower"),
+        ("calibration_mce", "lower"),
+        ("total_cost", "lower"),
+        ("false_alarm_rate", "lower"),
+        ("tpr_at_fpr_0.1", "higher"),
+        ("temporal_auc_std", "lower"),
+        ("fraud_catch_rate", "higher"),
+    ],
+)
+def test_target_directions(metric, way):
+    from tidemark.plans.config import target_from_config
+
+    assert target_from_config(metric, 0.3) == (0.3, way)
+    assert target_from_config(metric, {"value": 1, "direction": "lower"}) == (1.0, "lower")
+
+
+def test_ignored_keys_are_reported(caplog):
+    from tidemark.plans.config import params_from_config
+
+    params_from_config({"training": {"val_ratio": 0.1, "test_ratio": 0.1}})
+    assert "val_ratio" in caplog.text and "test_ratio" in caplog.text
+
+
+def test_reported_rows_fit_nothing(transactions):
+    from tidemark.params import Roles, TrainParams
+    from tidemark.plans.train import prepare
+
+    roles = Roles()
+    data = prepare(transactions.withColumn("TransactionAmt", F.when(F.col("card1") % 9 == 0, float("nan")).otherwise(F.col("TransactionAmt"))), roles, TrainParams())
+    fitted, reported, rest = data.val.select(roles.key), data.report.select(roles.key), data.train.select(roles.key)
+    assert fitted.intersect(reported).isEmpty() and rest.intersect(reported).isEmpty()
+    assert fitted.count() + reported.count() + rest.count() == transactions.count() and reported.count() > 50
+    assert data.rows.where(F.isnan("TransactionAmt") | F.col("TransactionAmt").isNull()).isEmpty()

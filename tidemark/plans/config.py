@@ -48,8 +48,9 @@ LOWER_WORDS = ("ece", "mce", "brier", "hl", "loss", "cost", "alarm", "std", "cv"
 
 
 def direction(metric: str) -> str:
-    """``lower`` or ``higher``: which way a metric meets its target."""
-    return "lower" if set(metric.lower().split("_")) & set(LOWER_WORDS) else "higher"
+    """``lower`` or ``higher``: which way a metric meets its target. What follows ``_at_`` is
+    the operating point, not the metric."""
+    return "lower" if set(metric.lower().split("_at_")[0].split("_")) & set(LOWER_WORDS) else "higher"
 
 
 def target_from_config(metric: str, value) -> tuple[float, str]:
