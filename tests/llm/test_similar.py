@@ -1,0 +1,76 @@
+"""The pipeline's near-duplicate stage against exact Jaccard similarity of five-word shingles."""
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from tidemark.llm import simhash
+
+SF = "/root/testdata/sf0.01"
+
+
+def shingle_set(text, width=5):
+    words = (text or "").encode().lower().split()
+    w = min(width, len(words))
+    return frozenset(tuple(words[i : i + w]) for i in range(len(words) - w + 1)) if words else frozenset()
+
+
+def similar(x, y):
+    return x == y or 5 * len(x & y) >= 4 * len(x | y)
+
+
+def firsts(docs):
+    """Smallest key of each component; ``docs`` are (key, text)."""
+    docs = sorted(docs)
+    sets = [shingle_set(t) for _, t in docs]
+    parent = list(range(len(docs)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if 5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j])) and similar(sets[i], sets[j]):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return sorted({docs[root(i)][0] for i in range(len(docs))})
+
+
+def test_stage_keeps_one_of_each_similar_group(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).select("doc_id").collect())
+    assert got == firsts([(r.doc_id, r.text) for r in docs.collect()])
+
+
+@pytest.mark.parametrize("shard_rows", [40, 10**6])
+def test_dense_groups_and_small_shards(rows, shard_rows, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_PAIRS", 1 << 12)
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(200)]
+    docs = []
+    for k in range(120):  # one advert of a few words each, and now and then a second one
+        at = int(rng.integers(0, 190))
+        docs.append((k, " ".join(base[:at] + [f"x{k}a", f"x{k}b"] + base[at + 3 :])))
+    docs += [(1000 + k, " ".join(f"v{k}x{i}" for i in range(60))) for k in range(60)]
+    docs += [(2000, None), (2001, ""), (2002, "one two"), (2003, "ONE  two"), (2004, "one three")]
+    df = rows(docs, "doc_id long, text string", 3)
+    kept = simhash.keep_first(df, 5, 18, shard_rows=shard_rows, similarity=0.8)
+    assert sorted(r.doc_id for r in kept.collect()) == firsts(docs)
+
+
+def test_recall_of_candidates_at_the_limit():
+    rng = np.random.default_rng(1)
+    found = []
+    for _ in range(1000):
+        n = int(rng.integers(60, 600))
+        common = rng.integers(0, 1 << 63, n * 8 // 9, dtype=np.uint64)
+        own = [rng.integers(0, 1 << 63, n - len(common), dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
+        a, b = (simhash._simhash(np.concatenate([common * np.uint64(2), x])) for x in own)
+        found.append(((a ^ b) % 2**64).bit_count() <= corpus_pipeline.RADIUS)
+    assert np.mean(found) >= 0.995
+
+
+def test_empty_table(rows):
+    assert simhash.keep_first(rows([], "doc_id long, text string"), 5, 18, similarity=0.8).count() == 0

@@ -12,6 +12,15 @@ cuts are; which pairs are found does not depend on it. Shards give a spanning fo
 links instead of all pairs, and components are closed by rounds of star contraction as Spark
 joins.
 
+With a ``similarity`` the links of ``keep_first`` are exact: documents are sets of shingles,
+fingerprints (of the set, so that a repeated line weighs once) within ``radius`` bits only
+name candidates (two more fingerprints drop most false ones before any text is read), and a
+pair is linked when the Jaccard similarity of its sets reaches the
+limit. Equal sets are one node. Sets whose sizes alone rule the limit out are never compared:
+nodes are classed by size, and one tree joins each class, another it with the next. Where
+candidates are dense, first only those of a few hubs are checked; then all that the links so
+found leave between different components.
+
 Defined results: NULL, empty and blank texts have fingerprint zero and are linked like any
 other; repeated rows are reported for every row; an empty table gives an empty result; a NULL
 key is reported, but never names a component while another key can.
@@ -41,17 +50,21 @@ BLOCK_PAIRS = 1 << 20
 # ------------------------------------------------------------------------ fingerprints
 
 
-def fingerprint(text: str, width: int, seed: int = 42) -> int:
-    """SimHash of the word shingles, as a signed 64-bit integer."""
+def _shingles(text: str, width: int, seed: int = 42) -> np.ndarray:
+    """Hashes of the word shingles, in their order; of all words where they are fewer."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     w = min(width, len(words))
     spans = zip(starts[: len(words) - w + 1].tolist(), ends[w - 1 :].tolist())
-    hashes = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in spans), np.uint64)
+    return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in spans), np.uint64)
+
+
+def _simhash(hashes: np.ndarray) -> int:
+    """The majority of each bit, as a signed 64-bit integer."""
     votes = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         part = hashes[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -60,6 +73,11 @@ def fingerprint(text: str, width: int, seed: int = 42) -> int:
     return int(bits.view("<i8")[0])
 
 
+def fingerprint(text: str, width: int, seed: int = 42) -> int:
+    """SimHash of the word shingles, as a signed 64-bit integer."""
+    return _simhash(_shingles(text, width, seed))
+
+
 def fingerprint_of(text: Column, width: int) -> Column:
     """Fingerprint column of a text column."""
 
@@ -95,12 +113,15 @@ class Branch:
         self.vantage, self.cut, self.below = vantage, cut, below
 
 
-def plan_shards(sample: np.ndarray, total: int, radius: int, shard_rows: int = SHARD_ROWS) -> tuple[Branch | int, int]:
-    """The upper levels, from a sample that stands for ``total`` fingerprints, and the number
-    of shards. A set that its cut does not make smaller stays whole."""
+def plan_shards(
+    sample: np.ndarray, total: int, radius: int, shard_rows: int = SHARD_ROWS, other: np.ndarray | None = None, first: int = 0
+) -> tuple[Branch | int, int]:
+    """The upper levels, from a sample that stands for ``total`` fingerprints (with ``other``,
+    of both sets), and the number of the next shard. A set that its cut does not make smaller
+    stays whole."""
     rng = np.random.default_rng(42)
-    scale = total / max(1, len(sample))
-    shards = 0
+    scale = total / max(1, len(sample) + (0 if other is None else len(other)))
+    shards = first
 
     def build(a: np.ndarray, b: np.ndarray | None):
         nonlocal shards
@@ -119,7 +140,7 @@ def plan_shards(sample: np.ndarray, total: int, radius: int, shard_rows: int = S
         shards += 1
         return shards - 1
 
-    return build(sample, None), shards
+    return build(sample, other), shards
 
 
 def _sides(fps: np.ndarray, vantage: np.uint64, cut: int, radius: int) -> tuple[np.ndarray, ...]:
@@ -129,7 +150,7 @@ def _sides(fps: np.ndarray, vantage: np.uint64, cut: int, radius: int) -> tuple[
     return inner, ~inner, inner & (d > cut - radius), ~inner & (d <= cut + radius)
 
 
-def deal(tree: Branch | int, fps: np.ndarray, radius: int) -> Iterator[tuple[int, int, np.ndarray]]:
+def deal(tree: Branch | int, fps: np.ndarray, radius: int, as_side: int = 2) -> Iterator[tuple[int, int, np.ndarray]]:
     """(shard, side, positions) of every shard that must see some of ``fps``. Side 0 is a set
     or the first of a pair, side 1 the second of a pair, 2 a set joined with itself."""
 
@@ -151,7 +172,7 @@ def deal(tree: Branch | int, fps: np.ndarray, radius: int) -> Iterator[tuple[int
             yield from go(node.below[2], low if side == 0 else high, side)
             yield from go(node.below[3], high if side == 0 else low, side)
 
-    yield from go(tree, np.arange(len(fps)), 2)
+    yield from go(tree, np.arange(len(fps)), as_side)
 
 
 def _block(a: np.ndarray, b: np.ndarray, fps: np.ndarray, radius: int, same: bool) -> np.ndarray:
@@ -176,7 +197,9 @@ def _block(a: np.ndarray, b: np.ndarray, fps: np.ndarray, radius: int, same: boo
     return links[links[:, 0] != links[:, 1]]
 
 
-def _join(a: np.ndarray, b: np.ndarray | None, fps: np.ndarray, radius: int, rng: np.random.Generator, out: list) -> None:
+def _join(
+    a: np.ndarray, b: np.ndarray | None, fps: np.ndarray, radius: int, rng: np.random.Generator, out: list, block=_block
+) -> None:
     """Links within positions ``a``, or between ``a`` and ``b``, by the lower levels."""
     if not len(a) or (b is not None and not len(b)):
         return
@@ -192,18 +215,18 @@ def _join(a: np.ndarray, b: np.ndarray | None, fps: np.ndarray, radius: int, rng
         work = sum(len(x) * len(x if y is None else y) for x, y in parts)
         if work < 0.98 * len(a) * len(other):
             for x, y in parts:
-                _join(x, y, fps, radius, rng, out)
+                _join(x, y, fps, radius, rng, out, block)
             return
     step = max(1, BLOCK_PAIRS // len(other))
     for k in range(0, len(a), step):
         rows = a[k : k + step]
         if b is None:
-            out.append(_block(rows, rows, fps, radius, True))
+            out.append(block(rows, rows, fps, radius, True))
             rest = a[k + step :]
         else:
             rest = b
         for j in range(0, len(rest), max(1, BLOCK_PAIRS // len(rows))):
-            out.append(_block(rows, rest[j : j + max(1, BLOCK_PAIRS // len(rows))], fps, radius, False))
+            out.append(block(rows, rest[j : j + max(1, BLOCK_PAIRS // len(rows))], fps, radius, False))
 
 
 def _forest(links: np.ndarray) -> np.ndarray:
@@ -314,18 +337,202 @@ def near_duplicates(
     )
 
 
+# ------------------------------------------------------------------ exact similarity
+
+
+def _set_of(text: Column, width: int) -> Column:
+    """Of the text's set of shingles: ``fp``, two more fingerprints, its size ``n`` and a
+    ``digest``."""
+
+    def prints(x: np.ndarray) -> tuple[int, int, int]:
+        if not len(x):
+            return 0, 0, 0
+        y = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        z = (y ^ (y >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        return _simhash(x), _simhash(y ^ (y >> np.uint64(29))), _simhash(z ^ (z >> np.uint64(33)))
+
+    @F.pandas_udf("fp long, fp2 long, fp3 long, n long, digest binary")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        sets = [np.unique(_shingles(t, width)) for t in texts]
+        rows = [(*prints(x), len(x), xxhash.xxh128_digest(x.astype("<u8").tobytes())) for x in sets]
+        return pd.DataFrame(rows, columns=["fp", "fp2", "fp3", "n", "digest"])
+
+    return run(text)
+
+
+def _hashes_of(text: Column, width: int) -> Column:
+    @F.pandas_udf("array<long>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(_shingles(t, width)).view(np.int64) for t in texts], dtype=object)
+
+    return run(text)
+
+
+def shard_candidates(
+    fps: np.ndarray, more: np.ndarray, side: np.ndarray, sizes: np.ndarray, groups: np.ndarray, radius: int, similarity: float, thin: bool
+) -> tuple[np.ndarray, bool]:
+    """Pairs of positions of one shard within ``radius`` bits, and within three times as many
+    with the fingerprints ``more`` (two columns), of different groups and of sizes that allow
+    the similarity; and whether some were left out, where ``thin`` and dense."""
+    left_out = False
+
+    def block(a: np.ndarray, b: np.ndarray, bits: np.ndarray, radius: int, same: bool) -> np.ndarray:
+        nonlocal left_out
+        near = np.bitwise_count(bits[a][:, None] ^ bits[b][None, :]) <= radius
+        if same:
+            near = np.triu(near, 1)
+        i, j = np.nonzero(near)
+        x, y = a[i], b[j]
+        fit = (groups[x] != groups[y]) & (np.minimum(sizes[x], sizes[y]) >= similarity * np.maximum(sizes[x], sizes[y]) - 1e-9)
+        i, j, x, y = i[fit], j[fit], x[fit], y[fit]
+        far = np.bitwise_count(bits[x] ^ bits[y]) + np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int64)
+        fit = far <= 3 * radius
+        if not thin or fit.sum() <= 4 * (len(a) + len(b)):
+            return np.stack([x[fit], y[fit]], axis=1)
+        left_out = True
+        near[:] = False
+        near[i[fit], j[fit]] = True
+        if same:
+            near |= near.T
+        out = []
+        while near.any():
+            hub = int(near.sum(axis=1).argmax())
+            of = np.flatnonzero(near[hub])
+            out.append(np.stack([np.full(len(of), a[hub]), b[of]], axis=1))
+            near[:, of] = False
+            if same:
+                near[of] = False
+        return np.concatenate(out)
+
+    found: list[np.ndarray] = []
+    rng = np.random.default_rng(zlib.crc32(fps.tobytes()))
+    bits, wide = fps.view(np.uint64), more.view(np.uint64)
+    own = np.flatnonzero(side == 2)
+    _join(own, None, bits, radius, rng, found, block)
+    _join(np.flatnonzero(side == 0), np.flatnonzero(side == 1), bits, radius, rng, found, block)
+    return (np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)), left_out
+
+
+def _similar(nodes: DataFrame, sets_of, radius: int, similarity: float, shard_rows: int) -> DataFrame:
+    """``node`` and ``root`` for links of at least ``similarity`` between ``nodes`` (``node``,
+    ``fp``, ``fp2``, ``fp3``, ``n``, ``class``); ``sets_of`` gives the shingles of the nodes asked for."""
+    spark = nodes.sparkSession
+    counts = {r["class"]: r["count"] for r in nodes.where("n > 0").groupBy("class").count().collect()}  # log(longest text)
+    total = sum(counts.values())
+    share = int(min(1.0, SAMPLE / max(1, total)) * (1 << 30))
+    sample: dict[int, list[int]] = {c: [] for c in counts}
+    for r in nodes.where(F.col("n") > 0).where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) <= share).select("fp", "class").limit(4 * SAMPLE).collect():
+        sample[r["class"]].append(r.fp)
+    bits = {c: np.sort(np.array(x, np.int64)).view(np.uint64) for c, x in sample.items()}
+    trees: list[tuple[int, int, Branch | int]] = []  # class, side, tree
+    shards = 0
+    for c in sorted(counts):
+        tree, shards = plan_shards(bits[c], counts[c], radius, shard_rows, first=shards)
+        trees.append((c, 2, tree))
+        if c + 1 in counts:
+            tree, shards = plan_shards(bits[c], counts[c] + counts[c + 1], radius, shard_rows, bits[c + 1], shards)
+            trees += [(c, 0, tree), (c + 1, 1, tree)]
+
+    columns = ["node", "fp", "fp2", "fp3", "n", "root"]
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for c, rows in batch.groupby("class"):
+                fps = rows["fp"].to_numpy(np.int64).view(np.uint64)
+                for _, side, tree in (t for t in trees if t[0] == c):
+                    for shard, of, at in deal(tree, fps, radius, side):
+                        yield rows.iloc[at].assign(shard=shard, side=of)[["shard", "side", *columns]]
+
+    def candidates(rooted: DataFrame, thin: bool, only: list[int] | None = None) -> DataFrame:
+        def find(rows: pd.DataFrame) -> pd.DataFrame:
+            node, fps, sizes, groups = (rows[c].to_numpy(np.int64) for c in ("node", "fp", "n", "root"))
+            more = np.ascontiguousarray(rows[["fp2", "fp3"]].to_numpy(np.int64))
+            at, left_out = shard_candidates(fps, more, rows["side"].to_numpy(), sizes, groups, radius, similarity, thin)
+            pairs = np.sort(node[at], axis=1)
+            if left_out:
+                pairs = np.concatenate([pairs, np.full((1, 2), -1)])
+            return pd.DataFrame({"shard": rows["shard"].iloc[0], "a": pairs[:, 0], "b": pairs[:, 1]})
+
+        dealt = rooted.where("n > 0").mapInPandas(spread, "shard int, side int, " + ", ".join(f"{c} long" for c in columns))
+        if only is not None:
+            dealt = dealt.where(F.col("shard").isin(only))
+        found = dealt.repartition(max(1, shards), "shard").groupBy("shard").applyInPandas(find, "shard int, a long, b long")
+        return written(found, "candidate-pairs")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.where("a >= 0").select("a", "b").distinct()
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = written(sets_of(ends), "shingle-sets")
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(
+            sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b"
+        )
+        common = F.size(F.array_intersect("x", "y"))
+        return both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
+
+    first = candidates(nodes.withColumn("root", F.col("node")), True)
+    links = written(linked(first), "similar-pairs")
+    dense = [r.shard for r in first.where("a < 0").select("shard").distinct().collect()]  # at most the number of shards
+    if dense:
+        closed = components(links)
+        rooted = written(nodes.join(closed, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted-nodes")
+        rest = candidates(rooted, False, dense).join(first.select("a", "b"), ["a", "b"], "left_anti")
+        links = links.union(written(linked(rest), "similar-pairs"))
+    return components(links)
+
+
+def _first_of_similar(
+    rows: DataFrame, number: str, width: int, radius: int, similarity: float, key: str, text: str, shard_rows: int
+) -> DataFrame:
+    """The numbers of the rows that stay: of each component of similar documents the row with
+    the smallest key."""
+    if not 0 < similarity < 1:
+        raise ValueError("similarity must lie between 0 and 1")
+    of_row = rows.select(F.col(key).alias("k"), F.col(number).alias("r"), _set_of(text_of(text), width).alias("s"))
+    base = 1.001 * float(-np.log(similarity))  # a little wider, so that rounding loses no pair
+    nodes = written(
+        of_row.groupBy("s.digest").agg(
+            F.min("r").alias("node"),
+            F.min("s.fp").alias("fp"),
+            F.min("s.fp2").alias("fp2"),
+            F.min("s.fp3").alias("fp3"),
+            F.min("s.n").alias("n"),
+            F.min(F.struct(F.col("k").isNull().alias("n"), "k", "r")).alias("best"),
+        ).select("node", "fp", "fp2", "fp3", "n", "best", F.floor(F.log(F.greatest("n", F.lit(1))) / base).cast("int").alias("class")),
+        "shingle-nodes",
+    )
+
+    def sets_of(ends: DataFrame) -> DataFrame:
+        own = rows.select(F.col(number).alias("node"), text_of(text).alias("t")).join(ends, "node", "left_semi")
+        return own.select("node", _hashes_of(F.col("t"), width).alias("hashes"))
+
+    closed = _similar(nodes.drop("best"), sets_of, radius, similarity, shard_rows)
+    placed = nodes.join(closed, "node", "left")
+    best = placed.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
+    return best.select(F.col("best.r").alias(number))
+
+
 def keep_first(
-    docs: DataFrame, width: int = 4, radius: int = 4, key: str = "doc_id", text: str = "text", shard_rows: int = SHARD_ROWS
+    docs: DataFrame,
+    width: int = 4,
+    radius: int = 4,
+    key: str = "doc_id",
+    text: str = "text",
+    shard_rows: int = SHARD_ROWS,
+    similarity: float | None = None,
 ) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the
     smallest key stays, unchanged. Rows that repeat that key collapse to one; of a component
-    without any key one row stays.
+    without any key one row stays. With a ``similarity`` fingerprints within ``radius`` bits are
+    only candidates, and shingle sets of at least that Jaccard similarity are linked.
 
     The rows are written once with a number; one number for each component is picked among
     narrow rows, and the written rows are read again to keep those.
     """
     number = fresh(docs, "_row")
     rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered-documents")
+    if similarity is not None:
+        kept = _first_of_similar(rows, number, width, radius, similarity, key, text, shard_rows)
+        return rows.join(kept, number, "left_semi").select(*map(quoted, docs.columns))
     prints = written(
         rows.select(F.col(key).alias("k"), F.col(number).alias("r"), fingerprint_of(text_of(text), width).alias("fp")),
         "fingerprints",
