@@ -5,8 +5,9 @@ classes (mean over documents) and of its ``COMMON_WORDS`` most frequent words (m
 share). A document fails when the Jensen-Shannon distance (base 2, 0 to 1) of its own
 histogram to a reference passes a limit. Short texts have noisy histograms, so each test has a
 minimum length below which it says nothing, and the word limit is what a distance may have
-beyond the distance that drawing that many words from the reference would give. Languages with fewer than ``MIN_DOCUMENTS``
-documents, and those past the ``MAX_LANGUAGES`` largest, use the reference of all documents.
+beyond the distance that drawing that many words from the reference would give. A language with fewer than ``MIN_DOCUMENTS``
+documents has no reference: its distances are NULL and the base rules alone decide. References
+are a written table; it is broadcast when counted small, else joined by language.
 
 Defined results: NULL and empty texts have no words and fail the base rules; a NULL language
 is one of its own; repeated rows are judged for every row; an empty table gives an empty
@@ -16,6 +17,7 @@ result.
 from __future__ import annotations
 
 import functools
+import json
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,11 +27,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_of, written
+from tidemark.llm import common
+from tidemark.llm.common import maybe_broadcast, text_of, written
 
 COMMON_WORDS = 100
 MIN_DOCUMENTS = 50
-MAX_LANGUAGES = 500
 #: Limits of the distances, and the least length at which they are tested.
 CLASS_LIMIT, CLASS_MIN_CHARS = 0.22, 500
 WORD_LIMIT, WORD_MIN_WORDS = 0.15, 100
@@ -37,6 +39,8 @@ WORD_LIMIT, WORD_MIN_WORDS = 0.15, 100
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
 _ALL = "*"
+#: Bytes of one reference: its words, their shares and the classes.
+_REFERENCE_BYTES = 32 * COMMON_WORDS
 #: Texts whose distinct words are counted before they are passed on.
 _CHUNK_WORDS = 500_000
 
@@ -154,39 +158,58 @@ def _statistics(docs: DataFrame, lang: str, text: str) -> DataFrame:
     return narrow.mapInPandas(run, "lang string, word string, n double, classes array<double>")
 
 
-def references(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[str, Reference]:
-    """References by language, from all documents: bounded by languages times common words."""
-    sums = written(
+def _sums(docs: DataFrame, lang: str, text: str) -> DataFrame:
+    """The statistics of whole languages, written once."""
+    return written(
         _statistics(docs, lang, text).groupBy("lang", "word").agg(
             F.sum("n").alias("n"), F.array(*[F.sum(F.col("classes")[i]) for i in range(9)]).alias("classes")
         ),
         "language-statistics",
     )
-    heads = sums.where(F.col("word").isNull())
-    large = heads.where(F.col("n") >= MIN_DOCUMENTS).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES).collect()
-    total = heads.agg(F.sum("n").alias("n"), *[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(9)]).first()
-    if not total["n"]:
-        return {}
-    counted = sums.where(F.col("word").isNotNull())
-    own = counted.where(F.col("lang").isin([r["lang"] for r in large])) if large else counted.limit(0)
-    # The words' total over languages needs only words that some language or all share.
-    pooled = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(COMMON_WORDS).collect()
+
+
+def _table(heads: DataFrame, counted: DataFrame) -> DataFrame:
+    """A row for each of ``heads``: ``lang``, ``classes``, ``words``, ``counts`` of the common
+    words, most frequent first, and ``size``, the sum over all words."""
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
-    tops = own.select("lang", "word", "n", rank.alias("rank")).where(F.col("rank") <= COMMON_WORDS).collect()
-    size = {r["lang"]: r["s"] for r in own.groupBy("lang").agg(F.sum("n").alias("s")).collect()}
-    size[_ALL] = counted.agg(F.sum("n")).first()[0] or 0
-    by: dict[str, list] = defaultdict(list)
-    for r in sorted(tops, key=lambda r: (r["lang"], r["rank"])):
-        by[r["lang"]].append((r["word"], r["n"]))
-    by[_ALL] = [(r["word"], r["n"]) for r in pooled]
-    heads_of = {r["lang"]: np.array(r["classes"]) for r in large} | {_ALL: np.array([total[f"c{i}"] for i in range(9)])}
+    tops = counted.select("lang", "word", "n", rank.alias("rank")).where(F.col("rank") <= COMMON_WORDS)
+    top = F.sort_array(F.collect_list(F.struct("rank", "word", "n")))
+    words = tops.groupBy("lang").agg(top.alias("top"))
+    sizes = counted.groupBy("lang").agg(F.sum("n").alias("size"))
+    return heads.join(words, "lang", "left").join(sizes, "lang", "left").select(
+        "lang", "classes", F.col("top.word").alias("words"), F.col("top.n").alias("counts"), "size"
+    )
+
 
-    def reference(k: str) -> Reference:
-        counts = np.array([n for _, n in by[k]] + [size.get(k, 0) - sum(n for _, n in by[k])], float)
-        classes = heads_of[k] / max(1e-300, heads_of[k].sum())
-        return Reference(classes, {w.encode(): i for i, (w, _) in enumerate(by[k])}, counts / max(1.0, counts.sum()))
+def _reference_table(sums: DataFrame) -> tuple[DataFrame, int]:
+    """References of the languages with enough documents, written, and their number."""
+    heads = sums.where(F.col("word").isNull() & (F.col("n") >= MIN_DOCUMENTS)).select("lang", "classes")
+    few = maybe_broadcast(heads.select("lang"), heads.count(), 64)
+    counted = sums.where(F.col("word").isNotNull()).join(few, "lang", "left_semi")
+    table = written(_table(heads, counted), "language-references")
+    return table, table.count()
 
-    return {k: reference(k) for k in heads_of}
+
+def _reference(row) -> Reference:
+    row = {"words": None, "counts": None, "size": None} | (row if isinstance(row, dict) else row.asDict())
+    words, counts = row["words"], row["counts"]
+    counts = np.array([] if counts is None else counts, float)
+    shares = np.append(counts, (row["size"] or 0.0) - counts.sum())
+    classes = np.array(row["classes"], float)
+    places = {w.encode(): i for i, w in enumerate([] if words is None else words)}
+    return Reference(classes / max(1e-300, classes.sum()), places, shares / max(1.0, shares.sum()))
+
+
+def references(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[str, Reference]:
+    """The references by language, and of all documents (``*``, which judges none), on the
+    driver: to look at; the operator does not collect them unless counted small."""
+    sums = _sums(docs, lang, text)
+    heads = sums.where(F.col("word").isNull())
+    everything = F.array(*[F.sum(F.col("classes")[i]) for i in range(9)])
+    pooled = heads.groupBy(F.lit(_ALL).alias("lang")).agg(everything.alias("classes"))
+    words = sums.where(F.col("word").isNotNull()).groupBy(F.lit(_ALL).alias("lang"), "word").agg(F.sum("n").alias("n"))
+    rows = _reference_table(sums)[0].collect() + _table(pooled, words).collect()
+    return {r["lang"]: _reference(r) for r in rows}
 
 
 def divergences(text: str, ref: Reference) -> tuple[float | None, float | None]:
@@ -219,15 +242,21 @@ _COLUMNS = {
 
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row for each row of ``docs``: base counts, both distances and the verdict."""
-    refs = docs.sparkSession.sparkContext.broadcast(references(docs, lang, text))  # bounded, see above
+    table, languages = _reference_table(_sums(docs, lang, text))
+    small = languages * _REFERENCE_BYTES <= common.BROADCAST_BYTES
+    refs = docs.sparkSession.sparkContext.broadcast({r["lang"]: _reference(r) for r in table.collect()} if small else None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = refs.value
         for batch in batches:
+            if small:
+                known = refs.value
+            else:
+                own = batch[batch["_ref"].notna()].drop_duplicates("_lang")
+                known = {k: _reference(r) for k, r in zip(own["_lang"], map(json.loads, own["_ref"]))}
             rows = []
             for k, t in zip(batch["_lang"], batch["_text"]):
                 n, chars, symbols, lines, repeated = base_counts(t)
-                by_class, by_word = divergences(t, known.get(k) or known[_ALL])
+                by_class, by_word = divergences(t, known[k]) if k in known else (None, None)
                 failed = n < 50 or 100 * repeated > 50 * n
                 odd = (by_class or 0.0) > CLASS_LIMIT or (by_word or 0.0) > WORD_LIMIT
                 rows.append((n, chars, symbols, lines, repeated, by_class, by_word, failed, not failed and not odd))
@@ -238,4 +267,8 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
 
     kind = docs.schema[key].dataType.simpleString()
     narrow = docs.select(F.col(key), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("_lang"), text_of(text).alias("_text"))
+    if not small:
+        # As JSON: a reference is read once for each language of a batch.
+        packed = table.select(F.col("lang").alias("_lang"), F.to_json(F.struct("classes", "words", "counts", "size")).alias("_ref"))
+        narrow = narrow.join(packed, "_lang", "left")
     return narrow.mapInPandas(run, f"`{key}` {kind}, " + ", ".join(f"{c} {t}" for c, t in _COLUMNS.items()))
