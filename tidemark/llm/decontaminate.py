@@ -4,14 +4,18 @@ Texts are read as words (letters and digits in lower case). The CGK random walk
 emits it, and moves on by a random bit that depends on the step and the word; two sequences
 at a small edit distance fall into step again after an edit, so their outputs differ in few
 places: edit distance becomes Hamming distance. Each repetition has its own random bits and
-samples ``SAMPLED`` steps of the walk; equal samples make a candidate. Walks start at every
-``stride``-th word of a document and at every word of an item, so a passage offers many
-starts and an undisturbed stretch of a few words is enough. A candidate places the item in
-the document, and the exact edit distance to the item-sized window there decides.
+samples some steps of the walk; equal samples make a candidate. Walks start at every word of
+documents and items. ``n`` words with ``0.2 n`` edits, evenly spread, leave undisturbed
+stretches of four words at best (three or two in the shortest items), so walks are as short
+as that, by the length class of the item: other items change nothing. Walks of an item that
+sample too few of its words say nothing and are left out. A candidate places the item in the
+document; where the words that they share allow it, the exact edit distance to the item-sized
+window there decides.
 
 A document leaks an item when some window of it is within ``max_share`` word edits of the
 whole item, that is at a similarity of 0.8 or more. Recall of the candidates is measured in
-the tests (at least 0.95 at one edit in ten words). Items with fewer than ``min_words`` words
+the tests for each length, with ``0.2 n`` edits at random and evenly spread places (at least
+0.98). Items with fewer than ``min_words`` words
 are no evidence and never leak.
 
 Defined results: NULL and empty texts and items never leak; equal items are all reported;
@@ -33,9 +37,9 @@ from tidemark.llm.common import text_of
 
 #: Items that are indexed at a time; a larger benchmark takes one scan for each block.
 BLOCK_ITEMS = 5_000
-#: Steps sampled by a repetition, and the repetitions.
-SAMPLED = 9
-REPETITIONS = 8
+#: Length classes: least words of an item, steps of a walk, how many of them are sampled, how
+#: many words of an item they must see, and the repetitions.
+CLASSES = ((12, 8, 7, 3, 12), (8, 6, 6, 3, 16), (0, 4, 4, 2, 12))
 #: Words of documents that are walked at once.
 CHUNK_WORDS = 200_000
 
@@ -43,7 +47,7 @@ _TO_WORDS = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: After these samples (counted from 0) a document's walk goes on only if an item's walk began
 #: with the same samples, looked up in a table of so many bits.
-NARROWED = (1, 3, 5)
+NARROWED = (1, 2, 3, 5)
 _TABLE_BITS = 20
 
 
@@ -58,6 +62,7 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 
 @dataclass
 class Repetition:
+    of: np.ndarray  # places of the items of its length class
     steps: list[int]  # sampled steps, ascending
     bits: np.ndarray  # one odd multiplier for each step: the walk's random bits
     tables: dict[int, np.ndarray] = field(default_factory=dict)  # packed: samples that items begin with
@@ -72,18 +77,22 @@ def _slot(key: np.ndarray) -> np.ndarray:
 
 def _walk(
     words: np.ndarray, at: np.ndarray, rep: Repetition, tables: dict[int, np.ndarray] | None = None
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray]]:
     """Walk from the starts ``at``; returns the surviving starts (as places in ``at``), their
-    samples' keys, their last positions, and without ``tables`` the keys at ``NARROWED``. With
+    samples' keys, their last positions, how many words were sampled, and without ``tables`` the keys at ``NARROWED``. With
     them a walk ends once no item begins its samples so: it could only end without a match."""
     place, here, key = np.arange(len(at)), at.copy(), np.zeros(len(at), np.uint64)
     begun: dict[int, np.ndarray] = {}
+    seen, before = np.zeros(len(at), np.int64), np.full(len(at), -1)
     done = 0
     for step in range(rep.steps[-1] + 1):
         value = words[here]
         if step == rep.steps[done]:
             key = (key ^ value) * _MIX
             key ^= key >> np.uint64(29)
+            if tables is None:
+                seen += here != before
+                before = here
             if step == rep.steps[-1]:
                 break
             if done in NARROWED and tables is None:
@@ -93,13 +102,13 @@ def _walk(
                 place, here, key, value = place[known], here[known], key[known], value[known]
             done += 1
         here = here + ((value * rep.bits[step]) >> np.uint64(63)).astype(np.int64)
-    return place, key, here, begun
+    return place, key, here, seen, begun
 
 
 class Matcher:
     """The index over one block of items, and exact matching of texts against it."""
 
-    def __init__(self, items: list[tuple], max_share: float = 0.2, min_words: int = 5, repetitions: int = REPETITIONS):
+    def __init__(self, items: list[tuple], max_share: float = 0.2, min_words: int = 5):
         self.items, words_of_items = [], []
         for item_id, text in items:
             words = words_of(text or "")
@@ -109,38 +118,43 @@ class Matcher:
                     masks[w] = masks.get(w, 0) | 1 << i
                 self.items.append((item_id, len(words), masks, int(max_share * len(words))))
                 words_of_items.append(words)
-        shortest = min((n for _, n, *_ in self.items), default=min_words)
-        self.stride = max(1, min(4, shortest // 4))
-        self.span = max(4, min(18, 2 * (shortest - self.stride) - 2))
-        self.pad = np.zeros(self.span + 2, np.uint64)
-        self.repetitions = [self._index(r, words_of_items) for r in range(repetitions)] if self.items else []
+        self.pad = np.zeros(max(span for _, span, *_ in CLASSES) + 2, np.uint64)
+        lengths = np.array([n for _, n, *_ in self.items], np.int64)
+        self.repetitions: list[Repetition] = []
+        above = np.inf
+        for least, *shape, repetitions in CLASSES:
+            own = np.flatnonzero((lengths >= least) & (lengths < above))
+            above = least
+            if len(own):
+                texts = [words_of_items[i] for i in own]
+                self.repetitions += [self._index(r, own, texts, *shape) for r in range(repetitions)]
         self._tables: list[dict[int, np.ndarray]] | None = None
 
-    def _stream(self, texts: list[list[bytes]], stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _stream(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of all words with padding behind each text, the starts of walks, and where
         each text begins."""
         parts, starts, begins, total = [], [], [], 0
         for words in texts:
             parts += [_hashes(words), self.pad]
             begins.append(total)
-            starts.append(np.arange(total, total + len(words), stride))
+            starts.append(np.arange(total, total + len(words)))
             total += len(words) + len(self.pad)
         return np.concatenate(parts), np.concatenate(starts), np.array(begins)
 
-    def _index(self, number: int, texts: list[list[bytes]]) -> Repetition:
+    def _index(self, number: int, of: np.ndarray, texts: list[list[bytes]], span: int, sampled: int, least: int) -> Repetition:
         rng = np.random.default_rng(1000 + number)
-        steps = np.sort(rng.choice(self.span, min(SAMPLED, self.span), replace=False))
-        odd = rng.integers(0, 1 << 63, self.span, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        rep = Repetition(steps.tolist(), odd)
-        stream, at, begin = self._stream(texts, 1)
-        _, key, last, begun = _walk(stream, at, rep)
-        inside = stream[last] != 0  # walks that left the item say nothing
+        steps = np.sort(rng.choice(span, sampled, replace=False))
+        odd = rng.integers(0, 1 << 63, span, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        rep = Repetition(of, steps.tolist(), odd)
+        stream, at, begin = self._stream(texts)
+        _, key, last, seen, begun = _walk(stream, at, rep)
+        inside = (stream[last] != 0) & (seen >= least)  # walks that left the item say nothing
         for done, keys in begun.items():
             table = np.zeros(1 << _TABLE_BITS, bool)
             table[_slot(keys[inside])] = True
             rep.tables[done] = np.packbits(table)
-        item = np.searchsorted(begin, at, "right") - 1
-        key, item, offset = key[inside], item[inside], (at - begin[item])[inside]
+        item = of[np.searchsorted(begin, at, "right") - 1]
+        key, item, offset = key[inside], item[inside], (at - begin[np.searchsorted(begin, at, "right") - 1])[inside]
         order = np.argsort(key, kind="stable")
         rep.keys, rep.item, rep.offset = key[order], item[order], offset[order]
         return rep
@@ -169,7 +183,7 @@ class Matcher:
         if not self.items:
             yield from ([] for _ in docs)
             return
-        stream, at, begin = self._stream(docs, self.stride)
+        stream, at, begin = self._stream(docs)
         found: list[np.ndarray] = []
         for rep, tables in zip(self.repetitions, self._unpacked()):
             place, key, *_ = _walk(stream, at, rep, tables)
@@ -190,8 +204,9 @@ class Matcher:
             seen = best[doc].get(i)
             if seen is not None and seen[0] <= start <= seen[1]:
                 continue
-            words = docs[doc]
-            edits = _least_edits(words[max(0, start - 2 * most - 1) : start + n + 2 * most + 1], n, masks)
+            window = docs[doc][max(0, start - 2 * most - 1) : start + n + 2 * most + 1]
+            # An edit takes away at most one of the item's different words.
+            edits = _least_edits(window, n, masks) if len(masks.keys() & set(window)) >= len(masks) - most else n
             least = edits if seen is None else min(edits, seen[2])
             best[doc][i] = (start, start + most, least)
         for rows in best:
