@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_of
+from tidemark.llm.common import map_keeping, text_of
 
 #: Bytes of a word up to which the rank array is scanned.
 SHORT_WORD = 64
@@ -338,22 +338,21 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     """
     more = ", ids array<int>, decoded string" if with_ids else ""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batch: pd.DataFrame) -> dict[str, list]:
         bpe = encoder(path)
-        for batch in batches:
-            rows = []
-            for ids in bpe.encode_all(batch["_text"]):
-                back = bpe.decode(ids)
-                row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
-                rows.append(row + ((np.frombuffer(ids, "<i4"), back) if with_ids else ()))
-            names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
-            out = pd.DataFrame(rows, columns=names)
-            out.insert(0, key, batch[key].to_numpy())
-            yield out
-
-    kind = docs.schema[key].dataType.simpleString()
+        out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
+        for ids in bpe.encode_all(batch["_text"]):
+            back = bpe.decode(ids)
+            out["n_tokens"].append(len(ids) // 4)
+            out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(back.encode()).hexdigest())
+            if with_ids:
+                out["ids"].append(np.frombuffer(ids, "<i4"))
+                out["decoded"].append(back)
+        return out
+
     narrow = docs.select(F.col(key), text_of(text).alias("_text"))
-    return narrow.mapInPandas(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    return map_keeping(narrow, [key], work, f"n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
 
 
 def decode_ids(rows: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:

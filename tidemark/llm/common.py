@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidemark.session import ensure_checkpoint_dir, scratch_path
 
@@ -58,3 +63,31 @@ def fresh(df: DataFrame, name: str) -> str:
 def quoted(name: str) -> Column:
     """A top-level column by its exact name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def map_keeping(
+    rows: DataFrame,
+    kept: Sequence[str],
+    work: Callable[[pd.DataFrame], Mapping | tuple[Sequence[int], Mapping]],
+    made: str,
+) -> DataFrame:
+    """A narrow map whose ``kept`` columns stay in Arrow, so that a key of any type comes out
+    as it went in (pandas would turn a long beside NULL into a double). ``work`` gets the other
+    columns of a batch and gives those of the DDL ``made``, by name: a value for each row, or
+    rows at the positions it names."""
+    kinds = StructType.fromDDL(made)
+    schema = StructType([rows.schema[k] for k in kept] + kinds.fields)
+    arrow = to_arrow_schema(kinds)
+    free = [c for c in rows.columns if c not in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = work(batch.select(free).to_pandas())
+            held = [batch.column(k) for k in kept]
+            if isinstance(out, tuple):
+                at, out = out
+                held = [c.take(pa.array(at, pa.int64())) for c in held]
+            new = [pa.array(out[f.name], type=f.type, from_pandas=True) for f in arrow]
+            yield pa.RecordBatch.from_arrays([*held, *new], names=[*kept, *arrow.names])
+
+    return rows.mapInArrow(run, schema)

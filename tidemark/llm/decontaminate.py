@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_of
+from tidemark.llm.common import map_keeping, text_of
 
 #: Items that are indexed at a time; a larger benchmark takes one scan for each block.
 BLOCK_ITEMS = 5_000
@@ -258,19 +258,22 @@ def leaks(
     """One row for each document row and item it leaks: ``key``, ``item_id``, ``n_edits`` and
     ``item_words``. A narrow map over the documents for each block of items."""
     sc = docs.sparkSession.sparkContext
-    kind, item_kind = (df.schema[c].dataType.simpleString() for df, c in ((docs, key), (items, item_key)))
-    schema = f"`{key}` {kind}, item_id {item_kind}, n_edits long, item_words long"
+    made = f"item_id {items.schema[item_key].dataType.simpleString()}, n_edits long, item_words long"
     narrow = docs.select(F.col(key), text_of(text).alias("_text"))
-    out = docs.sparkSession.createDataFrame([], schema)
+    out = None
     for block in _blocks(items, item_key, item_text):
         held = sc.broadcast(Matcher(block, max_share, min_words))  # at most BLOCK_ITEMS items
 
-        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                rows = [(k, *hit) for k, hits in zip(batch[key], held.value.match(batch["_text"])) for hit in hits]
-                yield pd.DataFrame(rows, columns=[key, "item_id", "n_edits", "item_words"])
+        def work(batch: pd.DataFrame, held=held) -> tuple[list[int], dict[str, list]]:
+            rows = [(at, *hit) for at, hits in enumerate(held.value.match(batch["_text"])) for hit in hits]
+            at, ids, edits, words = ([r[i] for r in rows] for i in range(4))
+            return at, {"item_id": ids, "n_edits": edits, "item_words": words}
 
-        out = out.union(narrow.mapInPandas(run, schema))
+        found = map_keeping(narrow, [key], work, made)
+        out = found if out is None else out.union(found)
+    if out is None:  # no items
+        none = ("item_id", items.schema[item_key].dataType), ("n_edits", "long"), ("item_words", "long")
+        return docs.limit(0).select(F.col(key), *[F.lit(None).cast(kind).alias(name) for name, kind in none])
     return out
 
 

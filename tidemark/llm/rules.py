@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
-from tidemark.llm.common import maybe_broadcast, text_of, written
+from tidemark.llm.common import map_keeping, maybe_broadcast, text_of, written
 
 COMMON_WORDS = 100
 MIN_DOCUMENTS = 50
@@ -246,29 +246,24 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
     small = languages * _REFERENCE_BYTES <= common.BROADCAST_BYTES
     refs = docs.sparkSession.sparkContext.broadcast({r["lang"]: _reference(r) for r in table.collect()} if small else None)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if small:
-                known = refs.value
-            else:
-                own = batch[batch["_ref"].notna()].drop_duplicates("_lang")
-                known = {k: _reference(r) for k, r in zip(own["_lang"], map(json.loads, own["_ref"]))}
-            rows = []
-            for k, t in zip(batch["_lang"], batch["_text"]):
-                n, chars, symbols, lines, repeated = base_counts(t)
-                by_class, by_word = divergences(t, known[k]) if k in known else (None, None)
-                failed = n < 50 or 100 * repeated > 50 * n
-                odd = (by_class or 0.0) > CLASS_LIMIT or (by_word or 0.0) > WORD_LIMIT
-                rows.append((n, chars, symbols, lines, repeated, by_class, by_word, failed, not failed and not odd))
-            out = pd.DataFrame(rows, columns=list(_COLUMNS))
-            out[["class_distance", "word_distance"]] = out[["class_distance", "word_distance"]].astype(float)
-            out.insert(0, key, batch[key].to_numpy())
-            yield out
-
-    kind = docs.schema[key].dataType.simpleString()
+    def work(batch: pd.DataFrame) -> dict[str, list]:
+        if small:
+            known = refs.value
+        else:
+            own = batch[batch["_ref"].notna()].drop_duplicates("_lang")
+            known = {k: _reference(r) for k, r in zip(own["_lang"], map(json.loads, own["_ref"]))}
+        rows = []
+        for k, t in zip(batch["_lang"], batch["_text"]):
+            n, chars, symbols, lines, repeated = base_counts(t)
+            by_class, by_word = divergences(t, known[k]) if k in known else (None, None)
+            failed = n < 50 or 100 * repeated > 50 * n
+            odd = (by_class or 0.0) > CLASS_LIMIT or (by_word or 0.0) > WORD_LIMIT
+            rows.append((n, chars, symbols, lines, repeated, by_class, by_word, failed, not failed and not odd))
+        return {c: [r[i] for r in rows] for i, c in enumerate(_COLUMNS)}
+
     narrow = docs.select(F.col(key), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("_lang"), text_of(text).alias("_text"))
     if not small:
         # As JSON: a reference is read once for each language of a batch.
         packed = table.select(F.col("lang").alias("_lang"), F.to_json(F.struct("classes", "words", "counts", "size")).alias("_ref"))
         narrow = narrow.join(packed, "_lang", "left")
-    return narrow.mapInPandas(run, f"`{key}` {kind}, " + ", ".join(f"{c} {t}" for c, t in _COLUMNS.items()))
+    return map_keeping(narrow, [key], work, ", ".join(f"{c} {t}" for c, t in _COLUMNS.items())).select(key, *_COLUMNS)
