@@ -83,7 +83,7 @@ def test_empty_table(rows):
     assert warc.round_trip(rows([], SCHEMA)).count() == 0
 
 
-def zip64_package(path, index=True):
+def zip64_package(path, index=True, comment=b"a comment with PK\x05\x06 inside it and more"):
     """A package whose central directory and end record hold ZIP64 fields only."""
     data, name = warc.gzip.compress(warc.warc_record(5, "u", b"hello", hashlib.sha1(b"hello").hexdigest(), None, "2000")), b"archive/a.warc.gz"
     line = b'u 2000 {"filename": "a.warc.gz", "offset": 0, "length": %d}\n' % len(data)
@@ -99,16 +99,16 @@ def zip64_package(path, index=True):
     end = out.tell()
     out.write(struct.pack("<4sQHHIIQQQQ", b"PK\x06\x06", 44, 45, 45, 0, 0, 2, 2, len(central), start))
     out.write(struct.pack("<4sIQI", b"PK\x06\x07", 0, end, 1))
-    comment = b"a comment with PK\x05\x06 inside it and more"
     out.write(struct.pack("<4sHHHHIIH", b"PK\x05\x06", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, len(comment)) + comment)
     with open(path, "wb") as f:
         f.write(out.getvalue())
 
 
 def test_zip64(spark, tmp_path):
-    path = str(tmp_path / "p.zip")
+    path, plain = str(tmp_path / "p.zip"), str(tmp_path / "plain.zip")
     zip64_package(path)
-    with zipfile.ZipFile(path) as z:
+    zip64_package(plain, comment=b"")  # Python's reader takes the end mark inside the comment for the end
+    with zipfile.ZipFile(plain) as z:
         assert z.testzip() is None
     got = warc.read_packages(spark, spark.createDataFrame([(f"file://{path}",)], "path string")).collect()
     assert [(r.page_id, r.payload_bytes, r.record_type) for r in got] == [(5, 5, "response")]
