@@ -11,6 +11,7 @@ from tidemark.llm.bpe import encode_decode
 from tidemark.llm.common import new_folder, read
 from tidemark.llm.decontaminate import leaks
 from tidemark.llm.html_text import main_text
+from tidemark.llm.merkle import manifest, tampered_leaf
 from tidemark.llm.quality import score, train
 from tidemark.llm.rules import quality_rules
 from tidemark.llm.secret_scan import find_secrets
@@ -102,3 +103,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html_main_text")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(read(spark, sf_dir, "pages"))
+
+
+@query("op13_merkle_manifest")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(read(spark, sf_dir, "documents"), claimed=tampered_leaf())
