@@ -13,6 +13,7 @@ from tidemark.llm.decontaminate import leaks
 from tidemark.llm.html_text import main_text
 from tidemark.llm.merkle import manifest, tampered_leaf
 from tidemark.llm.quality import score, train
+from tidemark.llm.ranked_search import search
 from tidemark.llm.rules import quality_rules
 from tidemark.llm.secret_scan import find_secrets
 from tidemark.llm.sharding import balanced_shards
@@ -108,3 +109,42 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_merkle_manifest")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(read(spark, sf_dir, "documents"), claimed=tampered_leaf())
+
+
+@query(
+    "op11_ranked_search",
+    r"""
+    WITH words AS (
+        SELECT doc_id, row_number() OVER () AS r, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM documents
+    ), tfs AS (
+        SELECT doc_id, r, term, count(*) AS tf FROM words GROUP BY ALL
+    ), lens AS (
+        SELECT r, sum(tf)::BIGINT AS n FROM tfs GROUP BY r
+    ), whole AS (
+        SELECT count(*) AS c, sum(n)::BIGINT AS l FROM lens
+    ), dfs AS (
+        SELECT term, count(*) AS df FROM tfs GROUP BY term
+    ), asked AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark
+    ), scored AS (
+        SELECT item_id, doc_id, r,
+               sum(floor(1000 * ln((2 * c + 2)::DOUBLE / (2 * df + 1)))::BIGINT
+                   * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * c) // l))))::BIGINT AS score
+        FROM asked JOIN dfs USING (term) JOIN tfs USING (term) JOIN lens USING (r) CROSS JOIN whole
+        GROUP BY item_id, doc_id, r
+    ), ranked AS (
+        SELECT item_id, doc_id, score,
+               (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank
+        FROM scored WHERE score > 0
+    )
+    SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), top=50)
