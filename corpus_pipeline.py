@@ -17,9 +17,9 @@ from tidemark.llm.simhash import keep_first
 #: Stages on learned models, fingerprints and a tokenizer: SQL cannot express their rows.
 ORACLE_SQL = None
 
-#: Near-duplicates: Jaccard similarity of sets of five-word shingles. Fingerprints at the limit
-#: are 10 bits apart on average; the radius finds 99.9 % of random pairs there, and more above.
-WIDTH, SIMILARITY, RADIUS = 5, 0.8, 18
+#: Near-duplicates: words of a shingle and bits that linked fingerprints may differ in, as in
+#: the operator's own query.
+WIDTH, RADIUS = 4, 4
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return keep_first(docs, WIDTH, RADIUS, similarity=SIMILARITY)
+    return keep_first(docs, WIDTH, RADIUS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
