@@ -19,6 +19,7 @@ from tidemark.llm.secret_scan import find_secrets
 from tidemark.llm.sharding import balanced_shards
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.token_counts import token_counts
+from tidemark.llm.url_filter import Rule, judge, mine, rule_labels
 from tidemark.llm.warc import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +28,15 @@ SQL: dict[str, str] = {}
 #: The tokenizer file of the queries; the operators take any path.
 TOKENIZER = "byte_bpe_50k.json"
 
+#: The given rules of the url filter.
+URL_RULES = [
+    Rule("org/", block=False),
+    Rule("example.org/es/", block=True),
+    Rule("example.org/en/1", block=True),
+    Rule("com/fr/", block=False),
+    Rule("com/de/", block=True),
+]
+
 
 def query(name: str, sql: str | None = None):
     def register(fn):
@@ -148,3 +158,9 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), top=50)
+
+
+@query("op12_url_filter")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return judge(pages, URL_RULES, mine(rule_labels(pages, URL_RULES)))
