@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.drift import DriftValidator, detection_metrics, sweep_thresholds
 from tidemark.operators.learners import best_round, fit_boosted, make_learner, assemble
 
-SMALL = {"maxDepth": 3, "maxIter": 5}
+SMALL = {"grow": "leaf", "leaves": 8, "rounds": 5, "rate": 0.3}
 
 
 def domains(rows, shift, n=800):
@@ -39,10 +39,10 @@ def test_unfitted_and_unknown_learner(spark, rows):
         DriftValidator("svm").fit(domains(rows, 0.0), ["a"], "TransactionID")
 
 
-@pytest.mark.parametrize("kind", ["rf", "logreg"])
+@pytest.mark.parametrize("kind", ["rf", "logreg", "gbt", "boost"])
 def test_other_learners_and_reload(spark, rows, tmp_path, kind):
     df = domains(rows, 3.0)
-    params = {"numTrees": 5, "maxDepth": 3} if kind == "rf" else {"maxIter": 5}
+    params = {"rf": {"numTrees": 5, "maxDepth": 3}, "boost": {"rounds": 5}}.get(kind, {"maxIter": 5})
     validator = DriftValidator(kind, params=params)
     assert validator.fit(df, ["a", "b"], "TransactionID")["val_auc"] > 0.9
     validator.save(f"{tmp_path}/v")

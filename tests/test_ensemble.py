@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.ensemble import Ensemble, apply_isotonic, auc_weights, calibration_points, disagreement, fit_isotonic
 
 MEMBERS = {
-    "boost": {"type": "gbt", "params": {"maxDepth": 3, "maxIter": 4}, "early_stopping": 2},
+    "boost": {"type": "boost", "params": {"grow": "depth", "depth": 3, "rounds": 8, "rate": 0.3}, "early_stopping": 2},
     "forest": {"type": "rf", "params": {"numTrees": 5, "maxDepth": 4}},
 }
 
@@ -67,6 +67,15 @@ def test_crossfit_and_uncalibrated(spark, fitted, tmp_path):
     assert raw.calibrators == {}
 
 
+def test_crossfit_of_boosted_members_takes_the_rounds_that_were_kept(fitted):
+    df, _, _ = fitted
+    halves = df.where("TransactionID < 800"), df.where("TransactionID >= 800")
+    cross = Ensemble({"boost": MEMBERS["boost"]}, calibration_mode="crossfit")
+    cross.fit(*halves, ["a", "b"], "isFraud", "TransactionID")
+    kept = cross.models["boost"].best_round
+    assert [clone.grown for clone, _ in cross.calibrators["boost"]] == [kept] * 3
+
+
 def test_bad_members(fitted):
     df, _, _ = fitted
     with pytest.raises(ValueError, match="no learner"):

@@ -7,12 +7,14 @@ from tidemark.operators.splits import half_split
 from tidemark.params import EvalParams, Roles, TrainParams
 from tidemark.plans.config import params_from_config, read_config
 from tidemark.plans.train import DriftAwareScorer, evaluate, train
-from tidemark.queries.drift_models import MEMBERS
 from tidemark.sources.sinks import read_metrics
 
-PARAMS = TrainParams(
-    members={k: MEMBERS[k] for k in ("boost_leafwise", "forest")}, max_rounds=3, drift_rounds=3, periods=3
-)
+MEMBERS = {
+    "boost_leafwise": {"type": "boost", "params": {"grow": "leaf", "leaves": 7, "rate": 0.3}, "early_stopping": 2},
+    "boost_oblivious": {"type": "boost", "params": {"grow": "oblivious", "depth": 3, "l2": 3.0, "rate": 0.3}},
+    "forest": {"type": "rf", "params": {"numTrees": 10, "maxDepth": 5, "minInstancesPerNode": 2}},
+}
+PARAMS = TrainParams(members=MEMBERS, max_rounds=3, drift_rounds=3, periods=3)
 
 
 @pytest.fixture(scope="module")
@@ -128,8 +130,8 @@ def test_configuration_is_read_and_honoured(spark, tmp_path):
     roles, params, checks = params_from_config(read_config(spark, f"{tmp_path}/c.json"))
     assert (params.seed, params.train_ratio, params.periods, params.drift_threshold) == (7, 0.75, 3, 0.7)
     assert params.members["lightgbm"] == {
-        "type": "gbt",
-        "params": {"stepSize": 0.3, "maxIter": 3, "featureSubsetStrategy": "0.9"},
+        "type": "boost",
+        "params": {"grow": "leaf", "leaves": 31, "rate": 0.3, "rounds": 3, "column_share": 0.9},
         "early_stopping": 2,
     }
     assert params.members["forest"]["params"] == {"numTrees": 4, "maxDepth": 3, "minInstancesPerNode": 2}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import ratio_or_zero
 from tidemark.operators.classification import one_row
-from tidemark.operators.learners import assemble, importance_table, load_learner, make_learner, with_probability
+from tidemark.operators.learners import assemble, importance_table, load_learner, make_learner, save_learner, with_probability
 from tidemark.operators.ranking import ranking_metrics
 from tidemark.operators.splits import random_holdout
 
@@ -29,7 +29,7 @@ NOT_FITTED = "Model not fitted"
 class DriftValidator:
     """Domain classifier over a frame with ``domain`` 0 (reference) and 1 (new)."""
 
-    def __init__(self, learner: str = "gbt", seed: int = 42, threshold: float = 0.6, params: dict | None = None) -> None:
+    def __init__(self, learner: str = "boost", seed: int = 42, threshold: float = 0.6, params: dict | None = None) -> None:
         self.learner, self.seed, self.threshold, self.params = learner, seed, threshold, params or {}
         self.model = None
         self.features: list[str] = []
@@ -86,7 +86,7 @@ class DriftValidator:
 
     def save(self, path: str) -> None:
         self._require()
-        self.model.write().overwrite().save(f"{path}/model")
+        save_learner(self.model, f"{path}/model")
         body = {k: getattr(self, k) for k in ("learner", "seed", "threshold", "params", "features")}
         spark = SparkSession.active()
         spark.createDataFrame([(json.dumps(body),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/state")

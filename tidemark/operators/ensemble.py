@@ -1,4 +1,4 @@
-"""Ensemble of Spark ML classifiers: fit, calibrate, weight, combine."""
+"""Ensemble of classifiers: fit, calibrate, weight, combine."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import json
 import logging
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,7 @@ from tidemark.operators.learners import (
     fit_boosted,
     load_learner,
     make_learner,
+    save_learner,
     weighted_mean,
     with_probability,
 )
@@ -131,12 +133,25 @@ class Ensemble:
         params = dict(config.get("params", {}))
         if config["type"] == "gbt" and self.max_rounds is not None:
             params["maxIter"] = min(self.max_rounds, params.get("maxIter", self.max_rounds))
+        if config["type"] == "boost" and self.max_rounds is not None:
+            params["rounds"] = min(self.max_rounds, params.get("rounds", self.max_rounds))
         offset = list(self.members).index(name)
         return make_learner(config["type"], self.label, self.seed + offset, params)
 
+    def _clone(self, name: str):
+        """A learner like the fitted member's, with as many rounds as that one kept."""
+        learner, model = self._learner(name), self.models[name]
+        if self.members[name]["type"] == "boost":
+            learner.params = replace(learner.params, rounds=max(1, model.best_round))
+        elif self.members[name]["type"] == "gbt":
+            learner.setMaxIter(model.getNumTrees)
+        return learner
+
     def _fit_member(self, name: str, train: DataFrame, val: DataFrame):
         learner, config = self._learner(name), self.members[name]
         patience = config.get("early_stopping")
+        if config["type"] == "boost":
+            return learner.fit(train, val if patience else None, patience)
         if patience and config["type"] == "gbt" and learner.getMaxIter() > 1:
             return fit_boosted(learner, train, val, patience)[0]
         return learner.fit(train)
@@ -209,7 +224,7 @@ class Ensemble:
         for name in self.models:
             pairs = []
             for fold in range(3):
-                clone = self._learner(name).fit(folded.where(F.col("fold") != fold))
+                clone = self._clone(name).fit(folded.where(F.col("fold") != fold))
                 held = with_probability(folded.where(F.col("fold") == fold), clone, "prob")
                 pairs.append((clone, fit_isotonic(held, self.label, "prob", self.calibration_bins)))
             self.calibrators[name] = pairs
@@ -263,15 +278,15 @@ class Ensemble:
     # -------------------------------------------------------------- persistence
 
     def save(self, path: str) -> None:
-        """Members and calibrators with Spark ML writers, the rest as one JSON row."""
+        """Members and calibrators with their own writers, the rest as one JSON row."""
         layout = {}
         for name, model in self.models.items():
-            model.write().overwrite().save(f"{path}/members/{name}")
+            save_learner(model, f"{path}/members/{name}")
             layout[name] = []
             for i, (clone, isotonic) in enumerate(self.calibrators.get(name, [])):
                 isotonic.write().overwrite().save(f"{path}/calibrators/{name}_{i}")
                 if clone is not None:
-                    clone.write().overwrite().save(f"{path}/clones/{name}_{i}")
+                    save_learner(clone, f"{path}/clones/{name}_{i}")
                 layout[name].append(clone is not None)
         if self.drift is not None:
             self.drift.save(f"{path}/drift")

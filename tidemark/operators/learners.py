@@ -1,4 +1,5 @@
-"""Spark ML learners by type name, and the helpers both model families share."""
+"""Learners by type name, and the helpers all model families share: boosted trees over
+histograms (``boost``), and Spark ML's gradient-boosted trees, forest and logistic regression."""
 
 from __future__ import annotations
 
@@ -15,23 +16,29 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.boosting import BoostedTrees, HistogramBooster, booster
+
 _ESTIMATORS = {"gbt": GBTClassifier, "rf": RandomForestClassifier, "logreg": LogisticRegression}
 _MODELS = {"gbt": GBTClassificationModel, "rf": RandomForestClassificationModel, "logreg": LogisticRegressionModel}
 
 # Learner settings used when a configuration gives none.
 _DEFAULTS = {
+    "boost": {"grow": "leaf", "leaves": 31, "rounds": 100, "rate": 0.05, "row_share": 0.8, "row_every": 5, "column_share": 0.9},
     "gbt": {"maxDepth": 5, "maxIter": 100, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.9"},
     "rf": {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 2},
     "logreg": {"maxIter": 50, "regParam": 0.01},
 }
 
 
-def make_learner(kind: str, label: str, seed: int, params: dict | None = None) -> Estimator:
-    if kind not in _ESTIMATORS:
+def make_learner(kind: str, label: str, seed: int, params: dict | None = None) -> Estimator | HistogramBooster:
+    if kind not in _DEFAULTS:
         raise ValueError(f"no learner called {kind!r}; known: {sorted(_DEFAULTS)}")
+    if kind == "boost":
+        # Settings of one way to grow are no defaults of another.
+        return booster(label, seed, {**(_DEFAULTS[kind] if "grow" not in (params or {}) else {}), **(params or {})})
     settings = {**_DEFAULTS[kind], **(params or {})}
     if kind != "logreg":
         settings.setdefault("seed", seed)
@@ -39,9 +46,18 @@ def make_learner(kind: str, label: str, seed: int, params: dict | None = None) -
     return _ESTIMATORS[kind](featuresCol="features", labelCol=label, **settings)
 
 
-def load_learner(kind: str, path: str) -> Model:
-    if kind not in _MODELS:
+def save_learner(model: Model | BoostedTrees, path: str) -> None:
+    if isinstance(model, BoostedTrees):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
+
+
+def load_learner(kind: str, path: str) -> Model | BoostedTrees:
+    if kind not in _DEFAULTS:
         raise ValueError(f"no learner called {kind!r}; known: {sorted(_DEFAULTS)}")
+    if kind == "boost":
+        return BoostedTrees.load(SparkSession.active(), path)
     return _MODELS[kind].load(path)
 
 
@@ -49,8 +65,10 @@ def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
 
 
-def with_probability(df: DataFrame, model: Model, name: str) -> DataFrame:
+def with_probability(df: DataFrame, model: Model | BoostedTrees, name: str) -> DataFrame:
     """Add the class-1 probability as a double column and drop the model's own columns."""
+    if isinstance(model, BoostedTrees):
+        return model.score(df, name)
     scratch = {
         model.getParam("probabilityCol"): "_probability",
         model.getParam("rawPredictionCol"): "_raw",
@@ -63,7 +81,8 @@ def with_probability(df: DataFrame, model: Model, name: str) -> DataFrame:
 def fit_boosted(
     learner: GBTClassifier, train: DataFrame, val: DataFrame, patience: int, first_rounds: int | None = None
 ) -> tuple[GBTClassificationModel, int]:
-    """Early stopping with patience on the validation loss.
+    """Early stopping with patience on the validation loss, for Spark ML's boosted trees.
+    (``HistogramBooster.fit`` stops without fitting anything twice.)
 
     Rounds are doubled until the best one lies ``patience`` rounds back, so a learner
     that stops early never pays for all rounds. The same seed grows the same trees, so
@@ -103,7 +122,7 @@ def weighted_mean(columns: Sequence[str], weights: Sequence[float]) -> Column:
     return out
 
 
-def importance_table(model: Model, features: Sequence[str]) -> list[tuple[str, float]]:
+def importance_table(model: Model | BoostedTrees, features: Sequence[str]) -> list[tuple[str, float]]:
     """(feature, importance), highest first, ties by position; one entry per feature."""
     values = [float(v) for v in model.featureImportances.toArray()]
     ranked = sorted(range(len(values)), key=lambda i: (-values[i], i))

@@ -54,28 +54,19 @@ def family(df: DataFrame, prefix: str) -> list[str]:
 # The member set and learner settings the ensemble starts from.
 DEFAULT_MEMBERS: dict[str, dict] = {
     "boost_leafwise": {
-        "type": "gbt",
-        "params": {
-            "maxDepth": 5,
-            "stepSize": 0.05,
-            "subsamplingRate": 0.8,
-            "featureSubsetStrategy": "0.9",
-        },
+        "type": "boost",
+        "params": {"grow": "leaf", "leaves": 31, "rate": 0.05, "row_share": 0.8, "row_every": 5, "column_share": 0.9},
         "early_stopping": 50,
     },
     "boost_depth6": {
-        "type": "gbt",
-        "params": {
-            "maxDepth": 6,
-            "stepSize": 0.05,
-            "subsamplingRate": 0.8,
-            "featureSubsetStrategy": "0.9",
-        },
+        "type": "boost",
+        "params": {"grow": "depth", "depth": 6, "rate": 0.05, "row_share": 0.8, "min_rows": 1, "min_hessian": 1.0, "l2": 1.0},
         "early_stopping": 50,
     },
-    "forest": {
-        "type": "rf",
-        "params": {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 2},
+    "boost_oblivious": {
+        "type": "boost",
+        "params": {"grow": "oblivious", "depth": 6, "rate": 0.05, "l2": 3.0},
+        "early_stopping": 50,
     },
 }
 
@@ -102,7 +93,7 @@ class TrainParams:
     max_rounds: int = 1000
     calibrate: bool = True
     calibration_mode: str = "prefit"
-    drift_learner: str = "gbt"
+    drift_learner: str = "boost"
     drift_rounds: int = 100
     drift_holdout: float = 0.2
     drift_threshold: float = 0.6

@@ -26,21 +26,56 @@ EVALUATION_KEYS = {
 }
 ROLE_KEYS = {"time_column": "time", "id_column": "key", "target_column": "label"}
 
-# Learner names and settings of the common boosting libraries, and the Spark
-# ML learner and setting that stand in for them.
-LEARNER_NAMES = {"lightgbm": "gbt", "xgboost": "gbt", "catboost": "gbt", "rf": "rf", "gbt": "gbt", "logreg": "logreg"}
+# Learner names and settings of the common boosting libraries, and the learner
+# and setting here that answer to them.
+LEARNER_NAMES = {
+    "lightgbm": ("boost", {"grow": "leaf", "leaves": 31}),
+    "xgboost": ("boost", {"grow": "depth", "depth": 6, "min_rows": 1, "min_hessian": 1.0, "l2": 1.0}),
+    "catboost": ("boost", {"grow": "oblivious", "depth": 6, "l2": 3.0}),
+    "boost": ("boost", {}),
+    "gbt": ("gbt", {}),
+    "rf": ("rf", {}),
+    "logreg": ("logreg", {}),
+}
 SETTING_NAMES = {
-    "learning_rate": "stepSize",
-    "n_estimators": "maxIter",
-    "iterations": "maxIter",
-    "max_depth": "maxDepth",
-    "depth": "maxDepth",
-    "subsample": "subsamplingRate",
-    "bagging_fraction": "subsamplingRate",
-    "min_samples_leaf": "minInstancesPerNode",
+    "boost": {
+        "learning_rate": "rate",
+        "n_estimators": "rounds",
+        "iterations": "rounds",
+        "num_leaves": "leaves",
+        "max_depth": "depth",
+        "depth": "depth",
+        "subsample": "row_share",
+        "bagging_fraction": "row_share",
+        "bagging_freq": "row_every",
+        "feature_fraction": "column_share",
+        "colsample_bytree": "column_share",
+        "l2_leaf_reg": "l2",
+        "reg_lambda": "l2",
+        "min_child_samples": "min_rows",
+        "min_data_in_leaf": "min_rows",
+        "min_child_weight": "min_hessian",
+        "max_bin": "bins",
+    },
+    "gbt": {
+        "learning_rate": "stepSize",
+        "n_estimators": "maxIter",
+        "max_depth": "maxDepth",
+        "subsample": "subsamplingRate",
+        "min_samples_leaf": "minInstancesPerNode",
+        "feature_fraction": "featureSubsetStrategy",
+    },
+    "rf": {
+        "n_estimators": "numTrees",
+        "max_depth": "maxDepth",
+        "subsample": "subsamplingRate",
+        "min_samples_leaf": "minInstancesPerNode",
+        "feature_fraction": "featureSubsetStrategy",
+    },
+    "logreg": {},
 }
-FOREST_SETTING_NAMES = {"n_estimators": "numTrees"}
-FRACTION_NAMES = ("feature_fraction", "colsample_bytree")
+# Settings that Spark ML takes as text.
+TEXT_SETTINGS = ("featureSubsetStrategy",)
 
 
 # Metrics of which less is better; all others are better when they grow.
@@ -64,25 +99,22 @@ def target_from_config(metric: str, value) -> tuple[float, str]:
 
 
 def member_from_config(name: str, config: dict, patience: int | None) -> dict:
-    """One ensemble member; settings Spark ML has no counterpart for are reported."""
+    """One ensemble member; settings the learner has no counterpart for are reported."""
     kind = config.get("type") or config.get("model_type") or name
     if kind not in LEARNER_NAMES:
         raise ValueError(f"no learner stands in for {kind!r}; known: {sorted(LEARNER_NAMES)}")
-    spark_kind = LEARNER_NAMES[kind]
-    names = {**SETTING_NAMES, **(FOREST_SETTING_NAMES if spark_kind == "rf" else {})}
-    params: dict = {}
+    own, preset = LEARNER_NAMES[kind]
+    names, params = SETTING_NAMES[own], dict(preset)
     for key, value in config.get("params", {}).items():
-        if kind in ("gbt", "rf", "logreg") and key not in names and key not in FRACTION_NAMES:
-            params[key] = value
-        elif key in FRACTION_NAMES:
-            params["featureSubsetStrategy"] = str(value)
-        elif key in names:
-            params[names[key]] = value
-        else:
+        setting = names.get(key, key if kind == own else None)
+        if setting is None:
             log.warning("member %s: no counterpart for setting %s", name, key)
-    if spark_kind == "gbt" and patience:
-        return {"type": spark_kind, "params": params, "early_stopping": patience}
-    return {"type": spark_kind, "params": params}
+        else:
+            params[setting] = str(value) if setting in TEXT_SETTINGS else value
+    member = {"type": own, "params": params}
+    if own in ("boost", "gbt") and patience:
+        member["early_stopping"] = patience
+    return member
 
 
 def params_from_config(config: dict) -> tuple[Roles, TrainParams, EvalParams]:

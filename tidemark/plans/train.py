@@ -174,7 +174,7 @@ def train(
             learner=params.drift_learner,
             seed=params.seed,
             threshold=params.drift_threshold,
-            params={"maxIter": params.drift_rounds} if params.drift_learner == "gbt" else {},
+            params={"boost": {"rounds": params.drift_rounds}, "gbt": {"maxIter": params.drift_rounds}}.get(params.drift_learner, {}),
         )
         first_vs_rest = data.train.withColumn("domain", (F.col("period") > 0).cast("int"))
         ensemble.drift = DriftValidator(**learner)
