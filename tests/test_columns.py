@@ -13,8 +13,8 @@ from tidemark.functions.columns import (
     plus_one_ratio,
     risk_score,
     row_mean,
-    row_std,
     row_sum,
+    with_row_std,
     safe_div,
     stable_hash,
     standardise,
@@ -48,7 +48,7 @@ def test_division_by_zero_is_null(rows):
 def test_row_families(rows):
     df = rows([(1.0, 2.0, 3.0), (1.0, None, None), (None, None, None), (1e9, 1e9 + 1, 1e9 + 2)], "V1 double, V2 double, V3 double")
     cols = ["V1", "V2", "V3"]
-    got = values(df, row_sum(cols), row_mean(cols), row_std(cols))
+    got = values(with_row_std(df, cols, "std"), row_sum(cols), row_mean(cols), F.col("std"))
     assert got[0] == (6.0, 2.0, 1.0)
     assert got[1] == (1.0, 1.0, None)
     assert got[2] == (0.0, None, None)
@@ -132,7 +132,7 @@ def test_wide_families_plan_and_agree(rows, width):
     values = [[None if (i + r) % 4 == 0 else float((i * 7 + r) % 13) for i in range(width)] for r in range(3)] + [[None] * width]
     names = [f"V{i}" for i in range(width)]
     df = rows([tuple(v) for v in values], ", ".join(f"{n} double" for n in names))
-    got = df.select(row_sum(names).alias("s"), row_mean(names).alias("m"), row_std(names).alias("d")).collect()
+    got = with_row_std(df, names, "d").select(row_sum(names).alias("s"), row_mean(names).alias("m"), "d").collect()
     for v, r in zip(values, got):
         own = [x for x in v if x is not None]
         assert r["s"] == sum(own)

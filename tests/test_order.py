@@ -8,11 +8,11 @@ from tidemark.operators.order import (
     RankRequest,
     bucket_bounds,
     cut_points,
-    exact_quantiles,
     order_statistics,
     row_index,
     running_totals,
 )
+from tidemark.operators.quantiles import exact_quantiles, ordered_bits, value_of, values_at_ranks
 
 
 def shapes():
@@ -85,10 +85,45 @@ def test_quantiles_match_pandas(rows):
     df = rows(data, "a double, b double", 5)
     pdf = pd.DataFrame(data, columns=["a", "b"])
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    for candidates in (20, 200_000):
-        got = exact_quantiles(df, {"a": F.col("a"), "b": F.col("b")}, probs, candidates)
-        for c in ("a", "b"):
-            assert got[c] == pytest.approx(pdf[c].quantile(probs).tolist())
+    got = exact_quantiles(df, {"a": F.col("a"), "b": F.col("b")}, probs)
+    for c in ("a", "b"):
+        assert got[c] == pytest.approx(pdf[c].quantile(probs).tolist())
+
+
+@pytest.mark.parametrize("name", list(shapes()))
+def test_values_at_ranks_are_exact(rows, name):
+    x = shapes()[name]
+    ranks = [1, 2, 77, len(x) // 2, len(x)]
+    n, got = values_at_ranks(rows([(float(v),) for v in x], "x double", 7), {"x": F.col("x")}, lambda n: ranks)["x"]
+    assert n == len(x) and got == [np.sort(x)[r - 1] for r in ranks]
+
+
+def test_words_keep_the_order():
+    x = np.array([-np.inf, -1e300, -2.5, -5e-324, -0.0, 0.0, 5e-324, 1.0, np.nextafter(1, 2), np.inf])
+    words = ordered_bits(x)
+    assert (np.diff(words.astype(object)) >= 0).all() and words[4] == words[5]
+    assert [value_of(int(w), False) for w in words] == x.tolist()
+    i = np.array([-(2**63), -1, 0, 2**53 + 1, 2**63 - 1])
+    assert [value_of(int(w), True) for w in ordered_bits(i)] == i.tolist()
+
+
+def test_four_hundred_columns_in_one_plan(rows):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.lognormal(0, 3, size=(60, 400)), 3)
+    x[:, 7] = 2**53  # one value
+    big = [int(v) for v in 2**60 + rng.permutation(60)]
+    data = [(*map(float, r), b, None if i % 2 else float(i)) for i, (r, b) in enumerate(zip(x, big))]
+    df = rows(data, ", ".join(f"c{i} double" for i in range(400)) + ", big long, half double", 3)
+    got = exact_quantiles(df, {c: F.col(c) for c in df.columns}, [0.25, 0.5, 0.75])
+    want = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+    for i in range(400):
+        assert got[f"c{i}"] == pytest.approx(want[:, i].tolist(), rel=1e-12)
+    assert got["half"] == [14.5, 29.0, 43.5]
+    ranked = values_at_ranks(df, {"big": F.col("big")}, lambda n: [1, 30, 60])["big"]
+    assert ranked == (60, [sorted(big)[r - 1] for r in (1, 30, 60)])
+    assert values_at_ranks(df, {}, lambda n: [1]) == {}
+    with pytest.raises(ValueError, match="outside"):
+        values_at_ranks(df, {"c0": F.col("c0")}, lambda n: [61])
 
 
 def test_even_median_and_all_null(rows):
@@ -170,11 +205,8 @@ def test_order_plans_do_not_gather_rows(spark, transactions):
 
 
 def test_nan_is_missing(rows):
-    from tidemark.operators.order import exact_quantiles
-
     data = [(float(i),) for i in range(1000)] + [(float("nan"),)] * 3
-    for candidates in (10, 10_000):
-        assert exact_quantiles(rows(data, "x double", 4), {"x": F.col("x")}, [0.25, 0.5, 0.75], candidates)["x"] == [249.75, 499.5, 749.25]
+    assert exact_quantiles(rows(data, "x double", 4), {"x": F.col("x")}, [0.25, 0.5, 0.75])["x"] == [249.75, 499.5, 749.25]
     assert exact_quantiles(rows([(float("nan"),)], "x double"), {"x": F.col("x")}, [0.5])["x"] == [None]
 
 

@@ -61,40 +61,40 @@ def null_if_nan(x: Column | str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def _values(cols: Sequence[str]) -> Column:
-    """The values of one row as an array, NULLs left out. A family may have hundreds of
-    columns, so its sums are folds over an array: a chain of additions would be as deep."""
-    return F.array_compact(F.array(*[F.col(c).cast("double") for c in cols]))
+def _balanced(terms: Sequence[Column]) -> Column:
+    """The sum of many terms as a balanced tree: a family may have hundreds of columns, whose
+    chain of additions would be as deep."""
+    terms = list(terms)
+    while len(terms) > 1:
+        terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) - len(terms) % 2 :]
+    return terms[0]
 
 
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
+def _double(c: str) -> Column:
+    return F.col(c).cast("double")
 
 
 def row_sum(cols: Sequence[str]) -> Column:
     """Sum over columns of one row; NULLs are skipped, an all-NULL row gives 0."""
-    return _total(_values(cols))
+    return _balanced([F.coalesce(_double(c), F.lit(0.0)) for c in cols])
 
 
-def row_mean(cols: Sequence[str]) -> Column:
-    values = _values(cols)
-    return safe_div(_total(values), F.size(values))
-
+def row_count(cols: Sequence[str]) -> Column:
+    """Columns of one row that are not NULL."""
+    return _balanced([F.col(c).isNotNull().cast("double") for c in cols])
 
-def row_std(cols: Sequence[str]) -> Column:
-    """Sample deviation over columns of one row, by updates of mean and squared distance so
-    that large values keep precision and the mean is not computed again for each term."""
-    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
 
-    def add(s: Column, x: Column) -> Column:
-        n = s["n"] + 1
-        mean = s["mean"] + (x - s["mean"]) / n
-        return F.struct(n.alias("n"), mean.alias("mean"), (s["m2"] + (x - s["mean"]) * (x - mean)).alias("m2"))
+def row_mean(cols: Sequence[str]) -> Column:
+    return safe_div(row_sum(cols), row_count(cols))
 
-    def finish(s: Column) -> Column:
-        return F.when(s["n"] >= 2, F.sqrt(safe_div(s["m2"], s["n"] - 1)))
 
-    return F.aggregate(_values(cols), start, add, finish)
+def with_row_std(df, cols: Sequence[str], name: str):
+    """Add the sample deviation over columns of one row, NULL for fewer than two values. Mean
+    and count are a projection of their own, which every squared distance then refers to."""
+    mean, n = f"_mean_{name}", f"_n_{name}"
+    squares = [F.coalesce((_double(c) - F.col(mean)) * (_double(c) - F.col(mean)), F.lit(0.0)) for c in cols]
+    std = F.when(F.col(n) >= 2, F.sqrt(safe_div(_balanced(squares), F.col(n) - 1)))
+    return df.withColumns({mean: row_mean(cols), n: row_count(cols)}).withColumn(name, std).drop(mean, n)
 
 
 def stable_hash(key: Column | str, seed: int = 0) -> Column:

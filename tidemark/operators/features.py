@@ -23,13 +23,14 @@ from tidemark.functions.columns import (
     null_if_nan,
     plus_one_ratio,
     row_mean,
-    row_std,
     row_sum,
     standardise,
+    with_row_std,
     zscore,
 )
-from tidemark.operators.order import CANDIDATES, exact_quantiles, row_index
+from tidemark.operators.order import row_index
 from tidemark.operators.profile import category_counts, category_frequencies, numeric_profile
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.velocity import HOT_ROWS, with_velocity
 from tidemark.params import Roles, family
 from tidemark.session import cut_lineage
@@ -39,10 +40,10 @@ from tidemark.sources.readers import read_optional
 BROADCAST_BYTES = 8 << 20
 
 
-def medians(df: DataFrame, columns: Sequence[str], candidates: int = CANDIDATES) -> dict[str, float | None]:
+def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     if not columns:
         return {}
-    found = exact_quantiles(df, {c: F.col(c) for c in columns}, [0.5], candidates)
+    found = exact_quantiles(df, {c: F.col(c) for c in columns}, [0.5])
     return {c: v[0] for c, v in found.items()}
 
 
@@ -104,6 +105,7 @@ def engineer(
     z-score uses the moments of the table at hand."""
     has = set(df.columns)
     new: dict[str, Column] = {}
+    wide: dict[str, list[str]] = {}
     if roles.amount in has:
         if amount_stats is None:
             mean, std = amount_moments(df, roles.amount)
@@ -124,8 +126,13 @@ def engineer(
         cols = family(df, prefix)
         if len(cols) >= least:
             new[f"{prefix}_sum"] = row_sum(cols)
-            new[f"{prefix}_{second}"] = row_mean(cols) if second == "mean" else row_std(cols)
+            if second == "mean":
+                new[f"{prefix}_mean"] = row_mean(cols)
+            else:
+                wide[f"{prefix}_std"] = cols
     out = df.withColumns(new) if new else df
+    for name, cols in wide.items():
+        out = with_row_std(out, cols, name)
     if {roles.card, roles.time, roles.key} <= has:
         out = with_velocity(out, roles.card, roles.time, roles.key, hot_rows=hot_rows)
     return out
@@ -188,7 +195,6 @@ class FeatureEngineer(Estimator):
         null_fill: float | None = 0.0,
         keep_profile: bool = True,
         hot_rows: int = HOT_ROWS,
-        candidates: int = CANDIDATES,
     ) -> None:
         super().__init__()
         if zscore_stats not in ("fitted", "batch") or unseen not in ("first", "mode"):
@@ -201,14 +207,13 @@ class FeatureEngineer(Estimator):
             "hot_rows": hot_rows,
         }
         self.keep_profile = keep_profile
-        self.candidates = candidates
 
     def _fit(self, df: DataFrame) -> FeatureModel:
         roles, df = self.roles, nan_to_null(df)
         numeric, categorical = roles.numeric(df), roles.categorical(df)
         # Medians to impute with and quartiles of the profile from the same scans.
         probs = [0.25, 0.5, 0.75] if self.keep_profile else [0.5]
-        quantiles = exact_quantiles(df, {c: F.col(c) for c in numeric}, probs, self.candidates)
+        quantiles = exact_quantiles(df, {c: F.col(c) for c in numeric}, probs)
         state = {
             "medians": {c: q[len(q) // 2] for c, q in quantiles.items()},
             "modes": modes(df, categorical),

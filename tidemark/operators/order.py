@@ -314,36 +314,6 @@ def _cumulated(values: DataFrame, spans: list[_Bracket], brackets: dict) -> list
     return counts.withColumn("upto", F.sum("equal").over(upto)).where(_any(hits)).collect()
 
 
-def exact_quantiles(
-    df: DataFrame, columns: dict[str, Column], probs: Sequence[float], candidates: int = CANDIDATES
-) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles; an all-NULL column gives NULLs."""
-
-    def ranks(n: int) -> list[int]:
-        out = []
-        for p in probs:
-            at = math.floor((n - 1) * p) + 1
-            out += [at, min(at + 1, n)]
-        return out if n else []
-
-    found = order_statistics(
-        df, {name: RankRequest(expr, ranks) for name, expr in columns.items()}, candidates
-    )
-    out: dict[str, list[float | None]] = {}
-    for name in columns:
-        stats = found[name]
-        if not stats:
-            out[name] = [None] * len(probs)
-            continue
-        values = []
-        for j, p in enumerate(probs):
-            h = (stats[0].n - 1) * p
-            low, high = float(stats[2 * j].value), float(stats[2 * j + 1].value)
-            values.append(low + (high - low) * (h - math.floor(h)))
-        out[name] = values
-    return out
-
-
 # ---------------------------------------------------------------------- cut points
 
 

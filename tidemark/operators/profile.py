@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.bins import left_closed_bin, right_closed_bin
 from tidemark.functions.columns import hour_of_day, safe_div
-from tidemark.operators.order import CANDIDATES, exact_quantiles
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.params import Roles
 
 
@@ -49,7 +49,6 @@ def numeric_profile(
     df: DataFrame,
     columns: Sequence[str],
     approx: bool = False,
-    candidates: int = CANDIDATES,
     quartiles: dict[str, list[float | None]] | None = None,
 ) -> DataFrame:
     """Mean, sample deviation, range and quartiles per column. Quartiles are exact and
@@ -63,7 +62,7 @@ def numeric_profile(
         }
         return _wide_to_long(df, columns, stats)
     if quartiles is None:
-        quartiles = exact_quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.75], candidates)
+        quartiles = exact_quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.75])
     at = {p: F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(quartiles[c][i]).cast("double"))]) for i, p in enumerate(("q25", "q75"))}
     return _wide_to_long(df, columns, stats).withColumns({p: at[p][F.col("feature")] for p in at})
 

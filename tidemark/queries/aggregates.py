@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.classification import confusion
 from tidemark.operators.features import category_codes, medians, modes_table, scaler_stats, unknown_categories
-from tidemark.operators.order import exact_quantiles
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.profile import (
     category_frequencies,
     correlations,

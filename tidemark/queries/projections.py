@@ -13,8 +13,8 @@ from tidemark.functions.columns import (
     plus_one_ratio,
     risk_score,
     row_mean,
-    row_std,
     row_sum,
+    with_row_std,
     zscore,
 )
 from tidemark.operators.classification import min_max_normalised
@@ -32,7 +32,7 @@ from tidemark.operators.features import (
     scaler_stats,
 )
 from tidemark.operators.joins import left_join_identity
-from tidemark.operators.order import exact_quantiles
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.profile import with_time_bin
 from tidemark.operators.splits import drift_periods
 from tidemark.params import Roles, family
@@ -164,8 +164,8 @@ round(list_aggregate(list_filter([v1, v2, v3], lambda x: x IS NOT NULL), 'stddev
 def _(spark, d):
     df = lines(spark, d)
     cols = family(df, "V")
-    return df.select(
-        "l_orderkey", "l_linenumber", r6(row_sum(cols)).alias("V_sum"), F.round(row_std(cols), 4).alias("V_std")
+    return with_row_std(df, cols, "V_std").select(
+        "l_orderkey", "l_linenumber", r6(row_sum(cols)).alias("V_sum"), F.round("V_std", 4).alias("V_std")
     )
 
 

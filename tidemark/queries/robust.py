@@ -5,9 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import row_mean, row_std, row_sum
+from tidemark.functions.columns import row_mean, row_sum, with_row_std
 from tidemark.operators.features import category_codes, code_bytes, encode
-from tidemark.operators.order import exact_quantiles
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.splits import drift_periods, temporal_split
 from tidemark.queries.base import query, table
 
@@ -70,8 +70,35 @@ def _(spark, d):
     names = [f"V{i}" for i in range(WIDE)]
     lines = table(spark, d, "lineitem")
     wide = lines.select("l_orderkey", "l_linenumber", *[F.expr(_wide(i)).alias(n) for i, n in enumerate(names)])
-    values = {"v_sum": row_sum(names), "v_mean": row_mean(names), "v_std": row_std(names)}
-    return wide.select("l_orderkey", "l_linenumber", *[F.round(v, 6).alias(n) for n, v in values.items()])
+    values = {"v_sum": row_sum(names), "v_mean": row_mean(names), "v_std": F.col("v_std")}
+    out = with_row_std(wide, names, "v_std")
+    return out.select("l_orderkey", "l_linenumber", *[F.round(v, 6).alias(n) for n, v in values.items()])
+
+
+MANY = 400
+
+
+def _one(i: int) -> str:
+    """One of many columns: fractions, whole numbers, few values, and NULLs."""
+    return (
+        f"CASE WHEN (event_id + {i}) % 7 <> 0 THEN CAST("
+        + [f"value * {i + 1}", f"(event_id * {i + 3} + user_id) % 101", f"user_id % {i % 5 + 1}", f"value - {i}"][i % 4]
+        + " AS DOUBLE) END"
+    )
+
+
+@query(
+    "agg5_quartiles_of_400_columns",
+    f"""WITH q AS (SELECT {", ".join(f"quantile_cont({_one(i)}, [0.25, 0.5, 0.75]) AS c{i}" for i in range(MANY))} FROM events),
+u AS (UNPIVOT q ON {", ".join(f"c{i}" for i in range(MANY))} INTO NAME feature VALUE v)
+SELECT feature, round(v[1], 6) AS q25, round(v[2], 6) AS q50, round(v[3], 6) AS q75 FROM u""",
+)
+def _(spark, d):
+    """Exact quartiles of hundreds of columns in one plan."""
+    many = {f"c{i}": F.expr(_one(i)) for i in range(MANY)}
+    found = exact_quantiles(table(spark, d, "events"), many, [0.25, 0.5, 0.75])
+    rows = [(c, *(round(v, 6) for v in q)) for c, q in found.items()]
+    return spark.createDataFrame(rows, "feature string, q25 double, q50 double, q75 double")
 
 
 @query(

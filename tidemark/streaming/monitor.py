@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.operators.ensemble import disagreement
-from tidemark.operators.order import CANDIDATES, exact_quantiles
+from tidemark.operators.quantiles import exact_quantiles
 
 
-def retrain_threshold(validation: DataFrame, members: Sequence[str], quantile: float = 0.95, candidates: int = CANDIDATES) -> float:
+def retrain_threshold(validation: DataFrame, members: Sequence[str], quantile: float = 0.95) -> float:
     """Disagreement that a ``quantile`` share of the validation rows stays under."""
-    found = exact_quantiles(validation, {"d": disagreement(members)}, [quantile], candidates)
+    found = exact_quantiles(validation, {"d": disagreement(members)}, [quantile])
     return found["d"][0]
 
 
