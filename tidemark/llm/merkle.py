@@ -218,7 +218,8 @@ def manifest(
         F.col(key).alias("k"), text_of(group).alias("grp"), absent.alias("absent"), (~absent).alias("named"), leaf.alias("leaf"),
         F.when(given != leaf, given).alias("claimed"),
     )
-    numbered = row_index(leaves, ["k", "leaf"], ["named", "grp"])
+    # Written first: sorting reads its input twice, and texts are to be hashed once.
+    numbered = row_index(written(leaves, "merkle-unsorted"), ["k", "leaf"], ["named", "grp"])
     numbered = written(numbered.withColumn("b", F.floor((F.col("position") - 1) / fanout**LEVELS)).drop("named"), "merkle-leaves")
     state = _exchange(written(_block_roots(numbered, fanout), "merkle-blocks"), fanout)
 
