@@ -122,7 +122,7 @@ def test_null_rows_are_imputed(rows):
 def test_model_in_pipeline_save_and_load(spark, transactions, tmp_path):
     model = Pipeline(stages=[FeatureEngineer(unseen="mode")]).fit(transactions).stages[0]
     model.save(f"{tmp_path}/features")
-    again = FeatureModel.load(spark, f"{tmp_path}/features")
+    again = FeatureModel.load(f"{tmp_path}/features")
     a = model.transform(transactions).orderBy("TransactionID").toPandas()
     b = again.transform(transactions).orderBy("TransactionID").toPandas()
     assert a.equals(b)
@@ -179,3 +179,29 @@ def test_stack_domains(rows):
     assert common_columns(a, b) == ["f", "isFraud"]
     with pytest.raises(ValueError):
         stack_domains(b, a, ("isFraud", "TransactionID"))
+
+
+def test_saved_pipeline_scores_the_same(spark, transactions, tmp_path):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    features = ["TransactionAmt", "TransactionAmt_log", "ProductCD", "velocity", "hour"]
+    stages = [
+        FeatureEngineer(unseen="mode", null_fill=1.0),
+        VectorAssembler(inputCols=features, outputCol="features"),
+        LogisticRegression(labelCol="isFraud", maxIter=5),
+    ]
+    pipeline = Pipeline(stages=stages)
+    pipeline.write().overwrite().save(f"{tmp_path}/plan")
+    model = Pipeline.load(f"{tmp_path}/plan").fit(transactions)
+    assert model.stages[0].options["unseen"] == "mode" and model.stages[0].options["null_fill"] == 1.0
+    model.write().overwrite().save(f"{tmp_path}/fitted")
+    again = PipelineModel.load(f"{tmp_path}/fitted")
+    assert [s.uid for s in again.stages] == [s.uid for s in model.stages]
+    first, second = (
+        {r["TransactionID"]: r["probability"][1] for r in m.transform(transactions).select("TransactionID", "probability").collect()}
+        for m in (model, again)
+    )
+    assert first == second and len(set(first.values())) > 10
+    assert again.stages[0].profile is not None

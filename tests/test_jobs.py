@@ -141,6 +141,23 @@ def test_configuration_is_read_and_honoured(spark, tmp_path):
         params_from_config({"base_models": {"x": {"type": "svm"}}})
 
 
+def test_a_broken_save_leaves_the_published_run(spark, run, tmp_path, monkeypatch):
+    from tidemark.operators.drift import DriftValidator
+
+    df, _, scorer, _ = run
+    first = scorer.save(f"{tmp_path}/m")
+    monkeypatch.setattr(DriftValidator, "save", lambda self, path: (_ for _ in ()).throw(OSError("disk full")))
+    with pytest.raises(OSError):
+        scorer.save(f"{tmp_path}/m")
+    assert json.loads((tmp_path / "m" / "latest.json").read_text())["run_id"] == first
+    again = DriftAwareScorer.load(spark, f"{tmp_path}/m")
+    assert again.predict(df).count() == df.count()
+    monkeypatch.undo()
+    second = scorer.save(f"{tmp_path}/m")
+    assert json.loads((tmp_path / "m" / "latest.json").read_text())["run_id"] == second != first
+    assert not list((tmp_path / "m").glob("*.tmp"))
+
+
 def test_job_entry_points(spark, run, tmp_path):
     from tidemark.__main__ import main
 

@@ -1,7 +1,7 @@
 """Feature engineering: impute, derive, encode, scale.
 
-``FeatureEngineer`` is an Estimator and ``FeatureModel`` its Model, so both fit into a
-Spark ML ``Pipeline``. What is learned stays small (medians, modes, means) except the
+``FeatureEngineer`` is an Estimator and ``FeatureModel`` its Model; both are stages of a Spark
+ML ``Pipeline`` and are saved and loaded with it. What is learned stays small (medians, modes, means) except the
 category codes, which stay a table and are joined.
 """
 
@@ -11,6 +11,7 @@ import json
 from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Model
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -182,7 +183,7 @@ def scale(df: DataFrame, stats: dict[str, tuple[float, float]], null_fill: float
     return df.withColumns(exprs)
 
 
-class FeatureEngineer(Estimator):
+class FeatureEngineer(Estimator, MLWritable, MLReadable):
     """Learns the feature state. ``zscore_stats``: "fitted" scores new rows against the
     training amounts, "batch" against their own table. ``unseen``: code of an unknown
     category, "first" in sort order or the "mode" of the training rows."""
@@ -208,6 +209,21 @@ class FeatureEngineer(Estimator):
         }
         self.keep_profile = keep_profile
 
+    def write(self) -> MLWriter:
+        return _Writer(self)
+
+    def _write(self, path: str) -> None:
+        _write_state({"roles": self.roles.__dict__, "options": self.options, "keep_profile": self.keep_profile}, path)
+
+    @classmethod
+    def _read(cls, spark: SparkSession, path: str) -> FeatureEngineer:
+        body = _read_state(spark, path)
+        return cls(_roles(body["roles"]), keep_profile=body["keep_profile"], **body["options"])
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _Reader(cls)
+
     def _fit(self, df: DataFrame) -> FeatureModel:
         roles, df = self.roles, nan_to_null(df)
         numeric, categorical = roles.numeric(df), roles.categorical(df)
@@ -253,7 +269,7 @@ class FeatureEngineer(Estimator):
         return model
 
 
-class FeatureModel(Model):
+class FeatureModel(Model, MLWritable, MLReadable):
     def __init__(self, roles: Roles, options: dict, state: dict, codes: DataFrame | None, profile=None) -> None:
         super().__init__()
         self.roles, self.options, self.state = roles, options, state
@@ -282,12 +298,15 @@ class FeatureModel(Model):
         cols = [c for c in self.state["modes"] if c in df.columns]
         return unknown_categories(impute(df, {}, self.state["modes"]), cols, self.codes)
 
+    def write(self) -> MLWriter:
+        return _Writer(self)
+
     def save(self, path: str) -> None:
-        spark = SparkSession.active()
+        self.write().overwrite().save(path)
+
+    def _write(self, path: str) -> None:
         body = {"roles": self.roles.__dict__, "options": self.options, "state": self.state}
-        spark.createDataFrame([(json.dumps(body),)], "value string").coalesce(1).write.mode("overwrite").text(
-            f"{path}/state"
-        )
+        _write_state(body, path)
         if self.codes is not None:
             self.codes.write.mode("overwrite").parquet(f"{path}/codes")
         for name, table in zip(("numeric", "categorical"), self.profile or (None, None)):
@@ -295,13 +314,54 @@ class FeatureModel(Model):
                 table.write.mode("overwrite").parquet(f"{path}/profile/{name}")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> FeatureModel:
-        body = json.loads(spark.read.text(f"{path}/state").first()["value"])
-        roles = Roles(**{k: tuple(v) if isinstance(v, list) else v for k, v in body["roles"].items()})
+    def _read(cls, spark: SparkSession, path: str) -> FeatureModel:
+        body = _read_state(spark, path)
         state = body["state"]
         state["scaler"] = {c: tuple(v) for c, v in state["scaler"].items()}
         codes = spark.read.parquet(f"{path}/codes") if state["modes"] else None
         profile = tuple(read_optional(spark, f"{path}/profile/{n}", "parquet") for n in ("numeric", "categorical"))
-        return cls(roles, body["options"], state, codes, profile if any(t is not None for t in profile) else None)
+        return cls(_roles(body["roles"]), body["options"], state, codes, profile if any(t is not None for t in profile) else None)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _Reader(cls)
+
+
+# --------------------------------------------------------------------------- persistence
+
 
+def _write_state(body: dict, path: str) -> None:
+    spark = SparkSession.active()
+    spark.createDataFrame([(json.dumps(body),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
 
+
+def _read_state(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/state").first()["value"])
+
+
+def _roles(body: dict) -> Roles:
+    return Roles(**{k: tuple(v) if isinstance(v, list) else v for k, v in body.items()})
+
+
+class _Writer(MLWriter):
+    """Spark ML's metadata, by which a pipeline finds the class, beside the stage's own files."""
+
+    def __init__(self, stage: FeatureEngineer | FeatureModel):
+        super().__init__()
+        self.stage = stage
+
+    def saveImpl(self, path: str) -> None:  # noqa: N802  Spark ML's name
+        DefaultParamsWriter.saveMetadata(self.stage, path, self.sparkSession)
+        self.stage._write(path)
+
+
+class _Reader(MLReader):
+    def __init__(self, kind: type):
+        super().__init__()
+        self.kind = kind
+
+    def load(self, path: str) -> FeatureEngineer | FeatureModel:
+        out = self.kind._read(self.sparkSession, path)
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        out._resetUid(metadata["uid"])
+        return out

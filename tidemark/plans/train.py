@@ -23,6 +23,7 @@ from tidemark.sources.sinks import (
     check_targets,
     dict_to_metrics,
     new_run_id,
+    publish,
     read_json,
     union_metrics,
     wide_to_metrics,
@@ -113,7 +114,8 @@ class DriftAwareScorer:
         )
 
     def save(self, path: str, params: TrainParams | None = None) -> str:
-        """Write a versioned run folder and point ``latest`` at it; returns the run id."""
+        """Write a versioned run folder whole, then publish it as the latest in one step; returns
+        the run id. A save that breaks off leaves the run published before."""
         spark = SparkSession.active()
         run_id = new_run_id()
         base = f"{path}/run_id={run_id}"
@@ -122,14 +124,14 @@ class DriftAwareScorer:
         if self.validator is not None:
             self.validator.save(f"{base}/validator")
         write_json(spark, {"params": asdict(params) if params else None, "roles": asdict(self.roles)}, f"{base}/config")
-        write_json(spark, {"run_id": run_id, "validator": self.validator is not None}, f"{path}/latest")
+        publish(spark, {"run_id": run_id, "validator": self.validator is not None}, f"{path}/latest.json")
         return run_id
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, run_id: str | None = None) -> DriftAwareScorer:
-        run_id = run_id or read_json(spark, f"{path}/latest")["run_id"]
+        run_id = run_id or read_json(spark, f"{path}/latest.json")["run_id"]
         base = f"{path}/run_id={run_id}"
-        features = FeatureModel.load(spark, f"{base}/features")
+        features = FeatureModel.load(f"{base}/features")
         has_validator = read_optional(spark, f"{base}/validator/state", "text") is not None
         return cls(
             features.roles,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
@@ -75,6 +76,25 @@ def read_json(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path).first()["value"])
 
 
+def publish(spark: SparkSession, body: dict, path: str) -> None:
+    """Put ``body`` at ``path`` as one JSON file in one step: written beside it first, then
+    renamed over it. A reader finds the old file or the new one, never a part."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, beside = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    conf = spark._jsc.hadoopConfiguration()
+    out = target.getFileSystem(conf).create(beside)
+    try:
+        out.write(bytearray(json.dumps(body, default=str).encode()))
+    finally:
+        out.close()
+    overwrite = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    overwrite[0] = hadoop.Options.Rename.OVERWRITE
+    files = target.getFileSystem(conf)
+    hadoop.FileContext.getFileContext(files.makeQualified(target).toUri(), conf).rename(
+        files.makeQualified(beside), files.makeQualified(target), overwrite
+    )
+
+
 def check_targets(metrics: DataFrame, targets: dict[str, tuple[float, str]]) -> DataFrame:
     """(metric, target, direction, value, met). A metric that was not computed counts as
     not met, whichever the direction."""
