@@ -123,7 +123,7 @@ def as_paths(tree):
 def test_trees_equal_brute_force(data, params, monkeypatch):
     x, y, df = data
     if params.grow != "leaf":
-        monkeypatch.setattr(bo, "FEW_TASKS", 0)  # cells summed by a grouped aggregate
+        monkeypatch.setattr(bo, "FEW_TASKS", 0)  # histograms summed by a tree of tasks
         monkeypatch.setattr(bo, "TASK_ROWS", 300)
     model = HistogramBooster("y", params).fit(df)
     known = ids_of(df)

@@ -1,10 +1,11 @@
 """Gradient-boosted trees over binned features, for labels 0 and 1.
 
 Features are cut into at most ``bins`` bins once; a row is its bins (one byte each), its label
-and its margin. Trees grow from histograms: sums of gradient and hessian and a count for every
-(node, feature, bin). A histogram pass is one Spark job: every task adds up its rows into one
-array for all asked nodes, cells are summed by a grouped aggregate, and only cells (nodes x
-features x bins, whatever the rows) come to the driver, which picks the splits.
+and its margin, and rows are written in blocks. Trees grow from histograms: sums of gradient
+and hessian and a count for every (node, feature, bin). A histogram pass is one Spark job: every
+task adds up its blocks into one array for all asked nodes, arrays are summed by a tree of
+tasks, and one array (nodes x features x bins, whatever the rows) comes to the driver, which
+picks the splits.
 
 - ``grow="leaf"``: best first, the leaf of the highest gain is split next, up to ``leaves``.
   One pass asks for the children of every leaf that could still be split, so a tree takes about
@@ -14,8 +15,8 @@ features x bins, whatever the rows) come to the driver, which picks the splits.
 
 Of two children only the one with fewer rows is counted, the other is parent minus child.
 
-Early stopping grows one tree a round and nothing twice: margins stay in the table, trees since
-the last write are added on the fly and written every ``refresh`` rounds. The first pass of a
+Early stopping grows one tree a round and nothing twice: each tree is added to the margins that
+are kept, and every ``refresh`` rounds they are written, which cuts the lineage. The first pass of a
 round also sums the loss of the rows held out, so stopping costs no job. The model keeps the
 trees up to the best round; exactly ``patience`` more were grown.
 
@@ -25,6 +26,7 @@ the order of rows or partitions, so a fit is reproducible and survives lost exec
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field
@@ -32,6 +34,7 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,10 +44,11 @@ from tidemark.session import drop_table, write_table
 #: Unit of the summed gradients, hessians and losses.
 SCALE = 1 << 20
 
-#: Rows of a task; and tasks up to which the driver adds up their cells itself, without a
-#: shuffle. The sums are the same.
+#: Rows of a task; tasks and bytes up to which the driver adds up their histograms itself, not
+#: by a tree of tasks. The sums are the same.
 TASK_ROWS = 25_000
 FEW_TASKS = 32
+FEW_BYTES = 32 << 20
 
 _GROWTH = ("leaf", "depth", "oblivious")
 
@@ -139,18 +143,46 @@ def losses(margin: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.rint((np.logaddexp(0, margin) - y * margin) * SCALE)
 
 
-def _columns_of(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, ...]:
-    packed = batch.column("bins")
-    start, end = packed.offset, packed.offset + len(packed)
-    offsets = np.frombuffer(packed.buffers()[1], np.int32)[start : end + 1]
-    body = packed.buffers()[2]
-    flat = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body is not None else np.empty(0, np.uint8)
-    ids, y, held = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "y", "held"))
-    return flat.reshape(len(packed), width), ids, y, held.astype(bool), np.array(batch.column("margin"), float)
+#: A block of rows: bins (a row each), ids, labels, whether held out, margins.
+Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+_KINDS = {"bins": np.uint8, "id": np.int64, "y": np.float64, "held": np.bool_, "margin": np.float64}
+_BLOCKS = "bins binary, id binary, y binary, held binary, margin binary"
+
+
+def _packed(block: Block) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in block], names=list(_KINDS))
+
+
+def _unpacked(row, width: int) -> Block:
+    bins, *rest = (np.frombuffer(bytes(row[c]), kind) for c, kind in _KINDS.items())
+    return bins.reshape(-1, width), *rest
+
+
+def _blocks(table: DataFrame, width: int) -> RDD:
+    """The written blocks as arrays, kept in the executors. An RDD, since a pass is a loop over
+    arrays, and planning a SQL query for each of thousands of passes took longer than the pass."""
+    return table.rdd.map(lambda row: _unpacked(row, width)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _grown(blocks: RDD, tree: Tree) -> RDD:
+    """The blocks with the margins of one more tree, kept once they are read."""
+
+    def more(block: Block) -> Block:
+        *rest, margin = block
+        margin = margin.copy()
+        tree.add_to(margin, rest[0])
+        return *rest, margin
+
+    return blocks.map(more).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _add(a: tuple, b: tuple) -> tuple:
+    return a[0] + b[0], a[1] + b[1], a[2] + b[2]
 
 
 def _histograms(
-    table: DataFrame, tasks: int, width: int, params: BoostParams, round_: int, pending: list[Tree], work: Tree, asked: Sequence[int], columns: np.ndarray
+    blocks: RDD, tasks: int, params: BoostParams, round_: int, work: Tree, asked: Sequence[int], columns: np.ndarray
 ) -> tuple[np.ndarray, float | None]:
     """Histograms (gradient, hessian, rows by feature and bin) of the asked nodes of ``work``
     over the rows drawn, and the mean loss of the rows held out."""
@@ -158,13 +190,10 @@ def _histograms(
     slot_of[list(asked)] = np.arange(len(asked))
     bins, shape = params.bins, (len(asked), len(columns), params.bins, 3)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(part: Iterator[Block]) -> Iterator[tuple[np.ndarray, int, int]]:
         total = np.zeros(shape, np.int64)
         loss = rows = 0
-        for batch in batches:
-            own, ids, y, held, margin = _columns_of(batch, width)
-            for tree in pending:
-                tree.add_to(margin, own)
+        for own, ids, y, held, margin in part:
             loss += int(losses(margin[held], y[held]).sum())
             rows += int(held.sum())
             use = np.flatnonzero(~held & drawn(ids, params, round_))
@@ -176,22 +205,14 @@ def _histograms(
                 for k, weight in enumerate((g, h, None)):
                     found = np.bincount(cell, weight, len(asked) * bins)
                     total[:, j, :, k] += found.reshape(len(asked), bins).astype(np.int64)
-        flat = total.reshape(-1, 3)
-        at = np.flatnonzero(flat[:, 2])
-        values = [np.append(flat[at, 0], loss), np.append(flat[at, 1], 0), np.append(flat[at, 2], rows)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), *map(pa.array, values)], names=["cell", "g", "h", "n"])
-
-    cells = table.mapInArrow(run, "cell long, g long, h long, n long")
-    if tasks > FEW_TASKS:
-        cells = cells.groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")])
-    got = cells.toArrow()
-    cell, *sums = (got.column(c).to_numpy() for c in ("cell", "g", "h", "n"))
-    out = np.zeros((shape[0] * shape[1] * shape[2], 3), np.int64)
-    inner = cell >= 0
-    for k, values in enumerate(sums):
-        np.add.at(out[:, k], cell[inner], values[inner])
-    loss, held = (int(x[~inner].sum()) for x in (sums[0], sums[2]))
-    return out.reshape(shape), loss / SCALE / held if held else None
+        yield total, loss, rows
+
+    parts = blocks.mapPartitions(run)
+    if tasks <= FEW_TASKS and tasks * np.prod(shape) * 8 <= FEW_BYTES:
+        total, loss, rows = functools.reduce(_add, parts.collect())
+    else:
+        total, loss, rows = parts.treeReduce(_add)
+    return total, loss / SCALE / rows if rows else None
 
 
 # ------------------------------------------------------------------------------ on the driver
@@ -464,17 +485,15 @@ class HistogramBooster:
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                if not batch.num_rows:
+                    continue
                 x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(cuts))
-                rows = binned(x, cuts)
-                bins = pa.array([r.tobytes() for r in rows], pa.binary())
-                margin = pa.array(np.full(batch.num_rows, base))
-                kept = [batch.column(c) for c in ("id", "y", "held")]
-                yield pa.RecordBatch.from_arrays([*kept, bins, margin], names=["id", "y", "held", "bins", "margin"])
+                ids, y, held = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "y", "held"))
+                yield _packed((binned(x, cuts), ids.astype(np.int64), y.astype(float), held.astype(bool), np.full(len(ids), base)))
 
         rows = own if held is None else own.unionByName(narrow(held, True))
-        packed = rows.mapInArrow(pack, "id long, y double, held boolean, bins binary, margin double")
         tasks = -(-n // TASK_ROWS)
-        return write_table(packed.repartition(tasks), "boost-rows").persist(), tasks, cuts, base
+        return write_table(rows.repartition(tasks).mapInArrow(pack, _BLOCKS), "boost-rows"), tasks, cuts, base
 
     def fit(self, train: DataFrame, held: DataFrame | None = None, patience: int | None = None) -> BoostedTrees:
         """Grow up to ``rounds`` trees; with rows ``held`` out and a ``patience``, stop after so
@@ -482,6 +501,8 @@ class HistogramBooster:
         p = self.params
         table, tasks, cuts, base = self._table(train, held)
         width = len(cuts)
+        blocks = _blocks(table, width)
+        kept = [blocks]
         model = BoostedTrees(cuts, base, [], [0.0] * width)
         pending: list[Tree] = []
         gained: list[dict[int, float]] = []
@@ -503,7 +524,7 @@ class HistogramBooster:
             over = []
 
             def count(tree: Tree, asked: Sequence[int]) -> np.ndarray:
-                found, loss = _histograms(table, tasks, width, p, round_, pending, tree, asked, columns)
+                found, loss = _histograms(blocks, tasks, p, round_, tree, asked, columns)
                 if not over:
                     over.append(note(loss))
                     if over[0]:
@@ -518,12 +539,20 @@ class HistogramBooster:
             model.trees.append(tree)
             pending.append(tree)
             gained.append(grower.gain)
+            for old in kept[:-1]:  # the next margins are made from the last ones
+                old.unpersist()
+            kept = kept[-1:]
             if len(pending) == p.refresh:
-                table, pending = self._refreshed(table, pending, width), []
+                old_table, table, pending = table, self._refreshed(table, pending, width), []
+                self._drop(old_table, kept)
+                kept = [_blocks(table, width)]
+            else:
+                kept.append(_grown(blocks, tree))
+            blocks = kept[-1]
         else:
             if held is not None:
-                note(_histograms(table, tasks, width, p, p.rounds, pending, empty, [], np.arange(0))[1])
-        self._drop(table)
+                note(_histograms(blocks, tasks, p, p.rounds, empty, [], np.arange(0))[1])
+        self._drop(table, kept)
         model.grown = len(model.trees)
         if patience is not None and at:
             model.trees = model.trees[:at]
@@ -533,23 +562,24 @@ class HistogramBooster:
         return model
 
     @staticmethod
-    def _drop(table: DataFrame) -> None:
-        table.unpersist()
+    def _drop(table: DataFrame, kept: list[RDD]) -> None:
+        for blocks in kept:
+            blocks.unpersist()
         drop_table(table)
 
     def _refreshed(self, table: DataFrame, pending: list[Tree], width: int) -> DataFrame:
-        """The rows with the margins of all trees so far, written anew."""
+        """The blocks with the margins of all trees so far, written anew."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                bins, _, _, _, margin = _columns_of(batch, width)
-                for tree in pending:
-                    tree.add_to(margin, bins)
-                yield batch.set_column(batch.schema.get_field_index("margin"), "margin", pa.array(margin))
-
-        new = write_table(table.mapInArrow(run, table.schema), "boost-rows").persist()
-        self._drop(table)
-        return new
+                for row in batch.to_pylist():
+                    *rest, margin = _unpacked(row, width)
+                    margin = margin.copy()
+                    for tree in pending:
+                        tree.add_to(margin, rest[0])
+                    yield _packed((*rest, margin))
+
+        return write_table(table.mapInArrow(run, _BLOCKS), "boost-rows")
 
 
 def booster(label: str, seed: int, params: dict) -> HistogramBooster:
