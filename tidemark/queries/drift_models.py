@@ -10,23 +10,19 @@ from pyspark.sql import functions as F
 from tidemark.operators.drift import DriftValidator, detection_metrics
 from tidemark.operators.ensemble import Ensemble, disagreement
 from tidemark.operators.features import FeatureEngineer
-from tidemark.operators.learners import assemble, fit_boosted, make_learner, weighted_mean
+from tidemark.operators.learners import assemble, make_learner, weighted_mean
 from tidemark.operators.splits import drift_periods, half_split
-from tidemark.params import EvalParams, Roles, TrainParams
+from tidemark.params import DEFAULT_MEMBERS, EvalParams, Roles, TrainParams
 from tidemark.plans.train import DriftAwareScorer, evaluate, prepare, train
-from tidemark.queries.base import TX, query, rounded, transactions
+from tidemark.queries.base import TX, query, rounded, table, transactions
 from tidemark.session import scratch_path, write_table
 
 ROLES = Roles()
 
-# Small learners: the queries show the dataflow on every row, not model quality.
-BOOST = {"maxDepth": 3, "maxIter": 5}
-MEMBERS = {
-    "boost_leafwise": {"type": "gbt", "params": {"maxDepth": 3}, "early_stopping": 2},
-    "boost_depth6": {"type": "gbt", "params": {"maxDepth": 4}},
-    "forest": {"type": "rf", "params": {"numTrees": 10, "maxDepth": 5, "minInstancesPerNode": 2}},
-}
-PARAMS = TrainParams(members=MEMBERS, max_rounds=5, drift_rounds=5)
+# The default members and validators with fewer rounds: the README gives the time of full runs.
+ROUNDS = 8
+PARAMS = TrainParams(max_rounds=ROUNDS, drift_rounds=ROUNDS)
+BOOST = {"rounds": ROUNDS}
 
 
 def engineered(spark, d):
@@ -38,24 +34,14 @@ def engineered(spark, d):
     return write_table(model.transform(rows), "engineered"), columns
 
 
-_TRAINED: dict[tuple[str, str], tuple] = {}
-
-
 def trained(spark, d):
-    """One training run per session and table folder, shared by the queries that only use
-    its result."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _TRAINED:
-        _TRAINED[key] = train(transactions(spark, d), ROLES, PARAMS)
-    return _TRAINED[key]
+    return train(transactions(spark, d), ROLES, PARAMS)
 
 
 @query("mdl13_end_to_end_training")
 def _(spark, d):
     """Splits, features, members, calibration, weights, validators and all metrics."""
-    run = train(transactions(spark, d), ROLES, PARAMS)
-    _TRAINED[spark.sparkContext.applicationId, d] = run
-    return run[1]
+    return trained(spark, d)[1]
 
 
 @query("mdl14_prepared_rows")
@@ -117,7 +103,7 @@ def _(spark, d):
 def _(spark, d):
     rows, columns = engineered(spark, d)
     first_vs_rest = rows.withColumn("domain", (F.col("period") > 0).cast("int"))
-    found = DriftValidator("gbt", params=BOOST).fit(first_vs_rest, columns, ROLES.key)
+    found = DriftValidator("boost", params=BOOST).fit(first_vs_rest, columns, ROLES.key)
     return spark.createDataFrame(list(found.items()), "metric string, value double")
 
 
@@ -125,7 +111,7 @@ def _(spark, d):
 def _(spark, d):
     rows, columns = engineered(spark, d)
     domains = rows.withColumn("domain", (F.col("period") > 0).cast("int"))
-    validator = DriftValidator("gbt", params=BOOST)
+    validator = DriftValidator("boost", params=BOOST)
     validator.fit(domains, columns, ROLES.key)
     return validator.predict_drift(domains)
 
@@ -143,7 +129,7 @@ def _(spark, d):
     rows, columns = engineered(spark, d)
     halves = half_split(rows, ROLES.time, ROLES.key)
     out = []
-    for kind, params in (("gbt", BOOST), ("rf", {"numTrees": 10, "maxDepth": 5}), ("logreg", {"maxIter": 10})):
+    for kind, params in (("boost", BOOST), ("gbt", {"maxIter": ROUNDS}), ("rf", {"numTrees": 10, "maxDepth": 5}), ("logreg", {})):
         found = DriftValidator(kind, params=params).fit(halves, columns, ROLES.key)
         out += [(kind, name, value) for name, value in found.items()]
     return spark.createDataFrame(out, "learner string, metric string, value double")
@@ -159,7 +145,7 @@ def _(spark, d):
 @query("drf8_model_detection")
 def _(spark, d):
     rows, columns = engineered(spark, d)
-    validator = DriftValidator("gbt", params=BOOST)
+    validator = DriftValidator("boost", params=BOOST)
     validator.fit(rows.withColumn("domain", (F.col("period") > 0).cast("int")), columns, ROLES.key)
     return detection_metrics(validator.period_scores(rows.where(F.col("period") > 0)))
 
@@ -168,7 +154,7 @@ def _(spark, d):
 def _(spark, d):
     """Early half against late half, fitted here."""
     rows, columns = engineered(spark, d)
-    found = DriftValidator("gbt", params=BOOST).fit(half_split(rows, ROLES.time, ROLES.key), columns, ROLES.key)
+    found = DriftValidator("boost", params=BOOST).fit(half_split(rows, ROLES.time, ROLES.key), columns, ROLES.key)
     return spark.createDataFrame([(f"adversarial_{k}", v) for k, v in found.items()], "metric string, value double")
 
 
@@ -176,20 +162,87 @@ def _(spark, d):
 def _(spark, d):
     rows, columns = engineered(spark, d)
     halves = half_split(rows, ROLES.time, ROLES.key)
-    ensemble = Ensemble(MEMBERS, max_rounds=5, calibrate=False)
+    ensemble = Ensemble(PARAMS.members, max_rounds=ROUNDS, calibrate=False)
     found = ensemble.fit(halves.where("domain = 0"), halves.where("domain = 1"), columns, ROLES.label, ROLES.key)
     return spark.createDataFrame(list(found.items()), "metric string, value double")
 
 
-@query("mdl7_early_stopping")
+@query(
+    "mdl7_early_stopping",
+    "SELECT count(*) AS n, TRUE AS stopped, TRUE AS best_is_lowest, TRUE AS grew_no_more, TRUE AS learned FROM events",
+)
 def _(spark, d):
+    """The default leaf-wise member with its default patience and up to 1,000 rounds: it stops,
+    keeps the trees up to the lowest loss, and grew exactly ``patience`` more."""
     rows, columns = engineered(spark, d)
-    halves = assemble(half_split(rows, ROLES.time, ROLES.key), columns).select("features", ROLES.label, "domain")
-    learner = make_learner("gbt", ROLES.label, 42, {"maxDepth": 3, "maxIter": 8})
-    train_rows, val_rows = halves.where("domain = 0"), halves.where("domain = 1")
-    model, best = fit_boosted(learner, train_rows, val_rows, patience=2)
-    losses = model.evaluateEachIteration(val_rows)
-    return spark.createDataFrame([(i, best, v) for i, v in enumerate(losses, 1)], "round int, best_round int, loss double")
+    halves = assemble(half_split(rows, ROLES.time, ROLES.key), columns).select(ROLES.key, "features", ROLES.label, "domain")
+    config = DEFAULT_MEMBERS["boost_leafwise"]
+    learner = make_learner("boost", ROLES.label, 42, {**config["params"], "rounds": TrainParams().max_rounds})
+    patience = config["early_stopping"]
+    model = learner.fit(halves.where("domain = 0"), halves.where("domain = 1"), patience)
+    facts = (
+        model.grown < learner.params.rounds,
+        model.losses[model.best_round - 1] == min(model.losses),
+        model.grown == model.best_round + patience == len(model.losses),
+        len(model.trees[0].feature) > 1,
+    )
+    return rows.agg(F.count(F.lit(1)).alias("n")).select(
+        "n", *[F.lit(bool(f)).alias(n) for f, n in zip(facts, ("stopped", "best_is_lowest", "grew_no_more", "learned"))]
+    )
+
+
+# Features of few values, so that every value is a cut: the hour, the customer's nation, the
+# parity of the user.
+SPLIT_FEATURES = {"hour": "hour(ts)", "nation": "c_nationkey", "user_digit": "user_id % 10"}
+
+
+def first_split_sql(grow: str) -> str:
+    """Best first split of boosted trees, from sums of gradients and hessians by value."""
+    features = " UNION ALL ".join(
+        f"SELECT {i} AS i, '{name}' AS feature, ({expr})::DOUBLE AS x, y FROM e" for i, (name, expr) in enumerate(SPLIT_FEATURES.items())
+    )
+    l2, side = (3.0, "true") if grow == "oblivious" else (0.0, "nl >= 20 AND n - nl >= 20")
+    return f"""WITH e AS (SELECT *, (event_type = 'error')::INTEGER AS y FROM events JOIN customer ON user_id = c_custkey),
+p AS (SELECT avg(y) AS p FROM e), x AS ({features}),
+v AS (SELECT i, feature, x, count(*) AS n, sum(round((p - y) * 1048576)) / 1048576 AS g, count(*) * round(p * (1 - p) * 1048576) / 1048576 AS h
+  FROM x, p GROUP BY i, feature, x, p),
+c AS (SELECT *, sum(n) OVER w AS nl, sum(g) OVER w AS gl, sum(h) OVER w AS hl FROM v WINDOW w AS (PARTITION BY i ORDER BY x)),
+t AS (SELECT i, sum(n) AS n, sum(g) AS g, sum(h) AS h, max(x) AS top FROM v GROUP BY i),
+s AS (SELECT c.i, feature, x AS cut, nl, gl * gl / (hl + {l2}) + (t.g - gl) ** 2 / (t.h - hl + {l2}) - t.g ** 2 / (t.h + {l2}) AS gain,
+  -0.05 * gl / (hl + {l2}) AS left_value, -0.05 * (t.g - gl) / (t.h - hl + {l2}) AS right_value
+  FROM c JOIN t ON c.i = t.i JOIN (SELECT n FROM t LIMIT 1) ON true WHERE x < top AND ({side.replace('n -', 't.n -')}))
+SELECT '{grow}' AS grow, feature, cut, round(left_value, 6) AS left_value, round(right_value, 6) AS right_value
+FROM s ORDER BY gain DESC, i, cut LIMIT 1"""
+
+
+def first_split(spark, d, grow: str):
+    events, customer = table(spark, d, "events"), table(spark, d, "customer")
+    rows = events.join(customer, events["user_id"] == customer["c_custkey"]).select(
+        "event_id", (F.col("event_type") == "error").cast("int").alias("y"), *[F.expr(x).cast("double").alias(n) for n, x in SPLIT_FEATURES.items()]
+    )
+    names = list(SPLIT_FEATURES)
+    params = {"grow": grow, "rounds": 1, "leaves": 2, "depth": 1, "l2": 3.0 if grow == "oblivious" else 0.0}
+    model = make_learner("boost", "y", 42, params).fit(assemble(rows, names).select("event_id", "y", "features"))
+    tree = model.trees[0]
+    feature = int(tree.feature[0])
+    values = [round(float(v), 6) for v in tree.value[1:3]]
+    row = (grow, names[feature], float(model.cuts[feature][tree.cut[0]]), *values)
+    return spark.createDataFrame([row], "grow string, feature string, cut double, left_value double, right_value double")
+
+
+@query("mdl1_leafwise_first_split", first_split_sql("leaf"))
+def _(spark, d):
+    return first_split(spark, d, "leaf")
+
+
+@query("mdl2_depthwise_first_split", first_split_sql("depth"))
+def _(spark, d):
+    return first_split(spark, d, "depth")
+
+
+@query("mdl3_oblivious_first_split", first_split_sql("oblivious"))
+def _(spark, d):
+    return first_split(spark, d, "oblivious")
 
 
 @query("mdl11_member_probabilities")
@@ -203,7 +256,7 @@ def _(spark, d):
 def _(spark, d):
     rows, columns = engineered(spark, d)
     halves = half_split(rows, ROLES.time, ROLES.key)
-    ensemble = Ensemble(MEMBERS, max_rounds=5, calibration_mode="crossfit")
+    ensemble = Ensemble(PARAMS.members, max_rounds=ROUNDS, calibration_mode="crossfit")
     found = ensemble.fit(halves.where("domain = 0"), halves.where("domain = 1"), columns, ROLES.label, ROLES.key)
     return spark.createDataFrame(list(found.items()), "metric string, value double")
 
