@@ -3,6 +3,7 @@ say the same thing."""
 
 from tidemark.queries import (  # noqa: F401
     aggregates,
+    artifacts,
     calibration,
     drift_models,
     monitoring,
