@@ -56,7 +56,20 @@ def ranking_metrics(
 ) -> DataFrame:
     """ROC AUC, average precision (step sum) and the KS distance between the classes,
     per group. A group with one class has no ranking and is left out."""
-    c = cumulative_points(df, label, prob, group, rows_per_bucket).where(_both_classes())
+    return _ranking_of(cumulative_points(df, label, prob, group, rows_per_bucket), group)
+
+
+def point_metrics(points: DataFrame, group: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """``ranking_metrics`` of rows that were collapsed to ``score_points`` before; points are
+    unique by group and score."""
+    bounds = bucket_bounds(points, "score", rows_per_bucket)
+    totals = running_totals(points, group, "score", ["pos", "neg"], bounds)
+    names = {"cum_pos": "tp", "cum_neg": "fp", "all_pos": "n_pos", "all_neg": "n_neg"}
+    return _ranking_of(totals.withColumnsRenamed(names), group)
+
+
+def _ranking_of(cumulative: DataFrame, group: Sequence[str]) -> DataFrame:
+    c = cumulative.where(_both_classes())
     pos, neg, tp, fp = (F.col(x) for x in ("pos", "neg", "tp", "fp"))
     n_pos, n_neg = F.col("n_pos"), F.col("n_neg")
     scored = c.groupBy(*group).agg(
