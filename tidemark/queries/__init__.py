@@ -6,12 +6,14 @@ from tidemark.queries import (  # noqa: F401
     artifacts,
     calibration,
     drift_models,
+    live,
     monitoring,
     ordering,
     projections,
     ranking,
     robust,
     scans,
+    searches,
 )
 from tidemark.queries.base import QUERIES, SQL
 
