@@ -136,3 +136,15 @@ def test_damage_is_an_error(tmp_path, harm):
     with pytest.raises(ValueError):
         with warc.Package(f"file://{path}") as package:
             list(package.index())
+
+
+def test_reading_tasks_grow_with_the_archives(spark, rows, monkeypatch):
+    import os as system
+
+    pages = rows([(i, "http://a.example/", system.urandom(40_000).hex()) for i in range(60)], SCHEMA)
+    packages = warc.write_packages(pages, new_folder(spark, "warc-tasks"))
+    few = warc.read_packages(spark, packages)
+    assert few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and few.count() == 60
+    monkeypatch.setattr(warc, "TASK_BYTES", 100_000)
+    many = warc.read_packages(spark, packages)
+    assert many.rdd.getNumPartitions() > 20 and many.count() == 60

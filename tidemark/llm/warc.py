@@ -41,8 +41,9 @@ from tidemark.llm.common import maybe_broadcast, new_folder, text_of, written
 #: Bytes of a member before the next one begins, and of members before the next package does.
 MEMBER_BYTES = 16 << 20
 PACKAGE_BYTES = 1 << 30
-#: Bytes that a reader fetches at once, unless one record is larger.
+#: Bytes that a reader fetches at once, unless one record is larger; and those of a reading task.
 RANGE_BYTES = 1 << 20
+TASK_BYTES = 64 << 20
 
 INDEX_NAME = "indexes/index.cdxj"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -359,8 +360,13 @@ def read_packages(spark: SparkSession, packages: DataFrame, key_type: str = "lon
 
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *(["payload"] if with_payload else [])]
     schema = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string"
-    places = packages.select("path").mapInPandas(ranges, "path string, start long, lengths array<long>")
-    spread = places.repartition("path", "start")
+    found = packages.select("path").mapInPandas(ranges, "path string, start long, lengths array<long>")
+    places = written(found, "package-ranges")
+    # By the bytes of the archives: adaptive execution would see only those of this list.
+    size = F.aggregate("lengths", F.lit(0).cast("long"), lambda total, n: total + n)
+    held = places.agg(F.sum(size)).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-held // TASK_BYTES))
+    spread = places.repartition(tasks, "path", "start")
     records = spread.mapInPandas(fetch, schema + ", payload binary" * with_payload)
     return records.withColumns({c: F.col(c).cast(key_type) for c in ("page_id", "refers_to")})
 
