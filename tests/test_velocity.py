@@ -63,3 +63,13 @@ def test_rows_without_card_do_not_gather(rows):
         got = collected(out)
         assert all(got[i] is None for i in range(1, 400, 2))
         assert [got[i] for i in range(2, 400, 2)] == [2.0] * 199
+
+
+def test_long_card_names_are_not_broadcast(rows, monkeypatch):
+    from tidemark.operators import velocity
+
+    data = [(i, f"{i % 3}" * 200, float(i)) for i in range(300)]
+    df = rows(data, "k bigint, card string, t double", 4)
+    monkeypatch.setattr(velocity, "BROADCAST_BYTES", 500)
+    got = collected(time_since_previous(df, "card", "t", "k", hot_rows=50))
+    assert got == {i: 3.0 if i > 2 else None for i in range(300)}

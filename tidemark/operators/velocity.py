@@ -11,7 +11,8 @@ from tidemark.operators.order import bucket_bounds, with_bucket
 from tidemark.session import cut_lineage
 
 HOT_ROWS = 5_000_000
-BROADCAST_CARDS = 100_000
+#: Counted bytes of the hot cards up to which their table is broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def hot_cards(df: DataFrame, card: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -39,12 +40,12 @@ def time_since_previous(
     apart = F.when(F.col(card).isNull(), F.col(key))
     # Written once, as its count decides the plan; a row for each card, not for each event.
     hot = cut_lineage(hot_cards(df, card, hot_rows).select(F.col(card).alias("_card"), F.lit(True).alias("_hot")))
-    n_hot = hot.count()
+    n_hot, size = hot.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col("_card").cast("string")) + 16)).first()
     if not n_hot:
         w = Window.partitionBy(F.col(card), apart).orderBy(*order)
         return _null_cards(df.withColumn(name, F.col(time) - F.lag(time).over(w)), card, name)
 
-    marks = F.broadcast(hot) if n_hot <= BROADCAST_CARDS else hot
+    marks = F.broadcast(hot) if size <= BROADCAST_BYTES else hot
     columns = df.columns
     df = df.join(marks, F.col(card) == F.col("_card"), "left").drop("_card")
     is_hot = F.coalesce(F.col("_hot"), F.lit(False))
