@@ -94,6 +94,27 @@ def test_matching_equals_the_textbook_recursion():
         assert all(x.label == y.label for x, y in pairs)
 
 
+def test_long_runs_take_the_same_table(monkeypatch):
+    import random
+
+    rng = random.Random(3)
+
+    def page(n):
+        return "".join(rng.choice(("<h2>x</h2>", "<p>y</p>", "<ul><li>z</ul>", "<ul><li>z<li>z<p>w</ul>", "<pre>v</pre>")) for _ in range(n))
+
+    # Over 40,000 pairs of regions, most of them out of step by more than 50.
+    a, b = (ht.regions_of(ht.parse(f"<body>{x}</body>")) for x in ("<h3>s</h3>" + "<hr><table><tr><td>1</table>" * 60 + page(320), page(330) + "<h4>t</h4>"))
+    size, pairs = ht.align(a, b)
+    assert len(a.below) * len(b.below) > 40_000 and size == brute_match(a, b) == len(pairs)
+    place = [{id(r): i for i, r in enumerate(t.below)} for t in (a, b)]
+    order = sorted((place[0][id(r)], place[1][id(s)]) for r, s in pairs if id(r) in place[0])
+    assert order == sorted(order, key=lambda p: p[1]) and all(r.label == s.label for r, s in pairs)
+    # What is held of the table at once does not show.
+    monkeypatch.setattr(ht, "TABLE_CELLS", 700)
+    again = ht.align(a, b)
+    assert again[0] == size and [(id(r), id(s)) for r, s in again[1]] == [(id(r), id(s)) for r, s in pairs]
+
+
 def test_deep_and_long_pages_align_in_a_query(rows):
     deep = "<body>" + "<div>" * 20_000 + "x"
     long = "<body>" + "".join(f"<h2>{i}</h2><p>{i}" for i in range(10_000))

@@ -36,6 +36,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -360,83 +361,132 @@ def _ends(a: Region, b: Region) -> tuple[int, int, int]:
     return head, tail, size
 
 
-def _table(x: list[Region], y: list[Region], sizes: dict) -> list[list[int]]:
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i, r in enumerate(x):
-        for j, s in enumerate(y):
-            both = r.size if r.shape == s.shape else sizes.get((r.shape, s.shape), 0)
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + both)
-    return best
+#: Cells of a table that a walk back through it keeps at once.
+TABLE_CELLS = 1 << 20
 
 
-def _in_order(x: list[Region], y: list[Region]) -> list[tuple[int, int]]:
-    """Pairs of equal labels in order, for runs too long for a table: each region takes the
-    next one of its label among a few."""
-    pairs, j = [], 0
-    for i, r in enumerate(x):
-        for k in range(j, min(j + 50, len(y))):
-            if y[k].label == r.label:
-                pairs.append((i, k))
-                j = k + 1
-                break
-    return pairs
+class _Table:
+    """The table of simple tree matching over two runs of regions, a row at a time: only the
+    last row and the rows of a short stretch are ever held, whatever the lengths. Regions whose
+    label the other run lacks match nothing and have no row or column."""
 
+    def __init__(self, x: list[Region], y: list[Region], sizes: dict):
+        common = {r.label for r in x} & {s.label for s in y}
+        self.x, self.y, self.sizes = [r for r in x if r.label in common], [s for s in y if s.label in common], sizes
+        self.by_label: dict = defaultdict(dict)
+        codes: dict[int, int] = {}
+        for s in self.y:
+            self.by_label[s.label][s.shape] = codes.setdefault(s.shape, len(codes))
+        self.codes, self.width = np.array([codes[s.shape] for s in self.y], np.int64), len(codes)
+        self.kept: dict[int, np.ndarray] = {}
 
-#: Cells of a table of differing regions; longer runs are paired in order.
-TABLE_CELLS = 40_000
+    def _matches(self, r: Region) -> np.ndarray:
+        """Size of what ``r`` matches of every shape of the other run."""
+        found = self.kept.get(r.shape)
+        if found is None:
+            found = np.zeros(self.width, np.int64)
+            for shape, code in self.by_label[r.label].items():
+                found[code] = r.size if r.shape == shape else self.sizes[r.shape, shape]
+            if len(self.kept) * self.width < TABLE_CELLS:
+                self.kept[r.shape] = found
+        return found
+
+    def _next(self, row: np.ndarray, i: int) -> np.ndarray:
+        out = row.copy()
+        np.maximum(row[1:], row[:-1] + self._matches(self.x[i])[self.codes[: len(row) - 1]], out=out[1:])
+        return np.maximum.accumulate(out)
+
+    def _first(self) -> np.ndarray:
+        return np.zeros(len(self.y) + 1, np.int64)
+
+    def best(self) -> int:
+        row = self._first()
+        for i in range(len(self.x)):
+            row = self._next(row, i)
+        return int(row[-1])
+
+    def pairs(self) -> list[tuple[Region, Region]]:
+        """The matched regions, last first; of equal choices the earlier region's is taken."""
+        out: list[tuple[Region, Region]] = []
+
+        def back(low: int, high: int, row: np.ndarray, j: int) -> int:
+            """Walk from row ``high`` to ``low``, whose first cells are ``row``; the column reached."""
+            if not j or low == high:
+                return j
+            row = row[: j + 1]
+            if high - low == 1 or (high - low) * len(row) <= TABLE_CELLS:
+                rows = [row]
+                for i in range(low, high):
+                    rows.append(self._next(rows[-1], i))
+                i = high
+                while i > low and j:
+                    if rows[i - low][j] == rows[i - low - 1][j]:
+                        i -= 1
+                    elif rows[i - low][j] == rows[i - low][j - 1]:
+                        j -= 1
+                    else:
+                        i, j = i - 1, j - 1
+                        out.append((self.x[i], self.y[j]))
+                return j
+            middle, half = (low + high) // 2, row
+            for i in range(low, middle):
+                half = self._next(half, i)
+            return back(low, middle, row, back(middle, high, half, j))
+
+        back(0, len(self.x), self._first(), len(self.y))
+        return out
+
+
+def _unlike(x: list[Region], y: list[Region]) -> Iterator[tuple[Region, Region]]:
+    """Pairs of equal label and different shape, each pair of shapes once."""
+    shapes: dict = defaultdict(dict)
+    for s in y:
+        shapes[s.label][s.shape] = s
+    for r in {r.shape: r for r in x if r.label in shapes}.values():
+        for shape, s in shapes[r.label].items():
+            if shape != r.shape:
+                yield r, s
+
+
+def _between(r: Region, s: Region) -> tuple[list[Region], list[Region], int, int, int]:
+    """The regions of both between their like ends, and those ends as ``_ends`` gives them."""
+    head, tail, size = _ends(r, s)
+    return r.below[head : len(r.below) - tail], s.below[head : len(s.below) - tail], head, tail, size
 
 
 def align(a: Region, b: Region) -> tuple[int, list[tuple[Region, Region]]]:
     """Simple tree matching: size of the largest common tree, and its pairs. First and last
-    regions of equal shape are matched before the table, whose entries are kept by shape."""
+    regions of equal shape are matched before the table, whose entries are kept by shape. Runs
+    of any length take the table; its time is the product of their lengths, its memory a row."""
     sizes: dict[tuple[int, int], int] = {}
-    stack = [(a, b)]
+    stack = [(a, b, None)]
     while stack:
-        r, s = stack[-1]
-        if (r.shape, s.shape) in sizes:
-            stack.pop()
-            continue
-        if r.label != s.label or r.shape == s.shape:
-            sizes[r.shape, s.shape] = r.size if r.label == s.label else 0
-            stack.pop()
-            continue
-        head, tail, size = _ends(r, s)
-        x, y = r.below[head : len(r.below) - tail], s.below[head : len(s.below) - tail]
-        long = len(x) * len(y) > TABLE_CELLS
-        inner = [(x[i], y[j]) for i, j in _in_order(x, y)] if long else [(p, q) for p in x for q in y if p.label == q.label]
-        needed = [(p, q) for p, q in inner if p.shape != q.shape and (p.shape, q.shape) not in sizes]
-        if needed:
-            stack += needed
+        r, s, inner = stack.pop()
+        if inner is None:
+            if (r.shape, s.shape) in sizes:
+                continue
+            if r.label != s.label or r.shape == s.shape:
+                sizes[r.shape, s.shape] = r.size if r.label == s.label else 0
+                continue
+            inner = _unlike(*_between(r, s)[:2])
+        needed = next(((p, q) for p, q in inner if (p.shape, q.shape) not in sizes), None)
+        if needed is not None:
+            stack += [(r, s, inner), (*needed, None)]
             continue
-        if long:
-            size += sum(p.size if p.shape == q.shape else sizes[p.shape, q.shape] for p, q in inner)
-        else:
-            size += _table(x, y, sizes)[-1][-1]
-        sizes[r.shape, s.shape] = 1 + size
-        stack.pop()
+        x, y, _, _, size = _between(r, s)
+        sizes[r.shape, s.shape] = 1 + size + (_Table(x, y, sizes).best() if x and y else 0)
     if a.label != b.label:
         return 0, []
     pairs, stack = [], [(a, b)]
     while stack:
         r, s = stack.pop()
         pairs.append((r, s))
-        head, tail, _ = _ends(r, s)
+        x, y, head, tail, _ = _between(r, s)
         m, n = len(r.below), len(s.below)
         stack += [(r.below[i], s.below[i]) for i in range(head)]
         stack += [(r.below[m - 1 - i], s.below[n - 1 - i]) for i in range(tail)]
-        x, y = r.below[head : m - tail], s.below[head : n - tail]
-        if len(x) * len(y) > TABLE_CELLS:
-            stack += [(x[i], y[j]) for i, j in _in_order(x, y)]
-            continue
-        best, i, j = _table(x, y, sizes), len(x), len(y)
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                stack.append((x[i], y[j]))
+        if x and y:
+            stack += _Table(x, y, sizes).pairs()
     return sizes[a.shape, b.shape] if a.shape != b.shape else a.size, pairs
 
 
