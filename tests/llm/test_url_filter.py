@@ -97,6 +97,29 @@ def test_mining_equals_counting_subsets(rows, seed):
     assert got == brute_mine(data, 0.02, 0.8) and len(got) > 3
 
 
+def test_no_token_of_a_url_is_left_out(rows):
+    """Eleven tokens or more a url, the telling ones among the least telling by themselves."""
+    rng = random.Random(4)
+    data = []
+    for _ in range(300):
+        parts = [f"p{i}{rng.randint(0, 1)}" for i in range(6)]
+        block = parts[4] == "p41" and parts[5] == "p51"
+        data.append((f"http://a.one.com/{'/'.join(parts)}/same-words-here", block))
+    want = Counter()
+    sets = [(frozenset(uf.tokens_of(u)), b) for u, b in data]
+    assert min(len(t) for t, _ in sets) > 11
+    got = as_dict(uf.mine(rows(data, "url string, block boolean", 3), 0.05, 0.95))
+    assert got[("part:p41", "part:p51"), uf.BLOCK] == (1.0, sum(b for _, b in data))
+    for (tokens, label), (confidence, hits) in got.items():
+        fit = [b for t, b in sets if t.issuperset(tokens)]
+        n = sum(b == (label == uf.BLOCK) for b in fit)
+        assert (n / len(fit), n) == (confidence, hits)
+        want[label] += 1
+    assert want[uf.ALLOW] and want[uf.BLOCK]
+    free = sorted({t for x, _ in sets for t in x if t.startswith("part:p")})
+    assert [t for t in free if ((t,), uf.ALLOW) in got] == ["part:p40", "part:p50"]
+
+
 def test_given_rules():
     book = uf.RuleBook([uf.Rule("org/", False), uf.Rule("a.org/x", True), uf.Rule("org/xy", False), uf.Rule("org/xyza/", False)])
     assert book.find("b.a.org", "/x").text == "a.org/x"
