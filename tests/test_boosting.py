@@ -187,3 +187,38 @@ def test_odd_tables(spark, data):
     for bad in ({"grow": "wide"}, {"bins": 1}, {"rounds": 0}, {"leaves": 1}):
         with pytest.raises(ValueError):
             BoostParams(**bad)
+
+
+def test_a_pass_looks_only_at_the_way_to_the_asked_nodes():
+    rng = np.random.default_rng(2)
+    n = bo.COUNT_ROWS + 5_000  # more rows than one exact sum takes
+    bins = np.asfortranarray(rng.integers(0, 8, (n, 3)).astype(np.uint8))
+    tree = bo.Tree(*(np.array(x) for x in ([0, 1, -1, -1, 2, -1, -1], [3, 5, 0, 0, 1, 0, 0], [1, 3, -1, -1, 5, -1, -1])), np.zeros(7))
+    leaf = [2 if r[0] > 3 else 3 if r[1] <= 5 else 5 if r[2] <= 1 else 6 for r in bins.tolist()]
+    assert tree.leaf_of(bins).tolist() == leaf
+    rows = np.arange(0, n, 3)
+    found = {node: own.tolist() for node, own in tree.rows_at(bins, rows, [6, 3])}
+    assert found == {k: [i for i in rows.tolist() if leaf[i] == k] for k in (3, 6)}
+
+    class Parts:
+        def __init__(self, blocks):
+            self.blocks = blocks
+
+        def mapPartitions(self, run):  # noqa: N802  as Spark's
+            return Parts(list(run(iter(self.blocks))))
+
+        def collect(self):
+            return self.blocks
+
+    y, margin, held = rng.integers(0, 2, n).astype(float), rng.normal(size=n), rng.random(n) < 0.1
+    blocks = Parts([(bins, np.arange(n), y, held, margin)])
+    hist, _ = bo._histograms(blocks, 1, BoostParams(bins=8), 0, tree, [6, 2], np.array([0, 2]))
+    g, h = bo.derivatives(margin, y)
+    want = np.zeros((2, 2, 8, 3), np.int64)
+    for slot, node in enumerate((6, 2)):
+        own = np.flatnonzero((np.array(leaf) == node) & ~held)
+        for j, f in enumerate((0, 2)):
+            for k, weight in enumerate((g, h, np.ones(n))):
+                np.add.at(want[slot, j, :, k], bins[own, f], weight[own].astype(np.int64))
+    assert (hist == want).all()
+    assert bo._histograms(blocks, 1, BoostParams(bins=8), 0, tree, [6], np.array([0]), False)[1] is None

@@ -113,3 +113,17 @@ def test_early_stopping_equals_a_shorter_fit(rows):
     losses = full.evaluateEachIteration(val)
     assert best == best_round(losses, 2)[0]
     assert model.evaluateEachIteration(val) == pytest.approx(losses[:best])
+
+
+def test_rows_are_scored_once_before_they_are_ranked(rows, monkeypatch):
+    """Ranks take several passes: over written scores, not over the model."""
+    from tidemark.operators import drift
+
+    read = []
+    plain = drift.ranking_metrics
+    monkeypatch.setattr(drift, "ranking_metrics", lambda df, *a: read.append(df.inputFiles()) or plain(df, *a))
+    data = rows([(i, float(i % 7), float(i % 3), int(i % 2)) for i in range(200)], "k long, a double, b double, domain int", 2)
+    validator = drift.DriftValidator("boost", params={"rounds": 1})
+    validator.fit(data, ["a", "b"], "k")
+    validator.predict_drift(data).collect()
+    assert len(read) == 2 and all(files and all("drift-scores" in f for f in files) for files in read)
