@@ -222,3 +222,20 @@ def test_a_pass_looks_only_at_the_way_to_the_asked_nodes():
                 np.add.at(want[slot, j, :, k], bins[own, f], weight[own].astype(np.int64))
     assert (hist == want).all()
     assert bo._histograms(blocks, 1, BoostParams(bins=8), 0, tree, [6], np.array([0]), False)[1] is None
+
+
+def test_learners_share_binned_rows(data, monkeypatch):
+    _, _, df = data
+    train, held = df.where("k < 1200"), df.where("k >= 1200")
+    settings = [BoostParams(grow="leaf", rounds=3, leaves=5, refresh=2), BoostParams(grow="oblivious", rounds=2, depth=2, row_share=0.7)]
+    alone = [HistogramBooster("y", p).fit(train, held, 2) for p in settings]
+    ready = HistogramBooster("y", settings[0]).binned(train, held)
+    monkeypatch.setattr(bo, "feature_cuts", None)  # nothing is binned again
+    together = [HistogramBooster("y", p).fit(train, held, 2, ready) for p in settings]
+    again = HistogramBooster("y", settings[0]).binned(train, held, ready.cuts)
+    assert again.base == ready.base and again.table.count() == ready.table.count() > 0  # a fit leaves them
+    for a, b in zip(alone, together):
+        assert a.losses == b.losses and a.cuts[0].tolist() == b.cuts[0].tolist()
+        assert [as_paths(t) for t in a.trees] == [as_paths(t) for t in b.trees]
+    with pytest.raises(ValueError, match="bins"):
+        HistogramBooster("y", BoostParams(bins=8)).fit(train, held, 2, ready)

@@ -141,3 +141,19 @@ def test_weights_and_disagreement(rows):
     assert auc_weights({"a": 0.5, "b": 0.5}, {"a": 0.5, "b": 1.0})["b"] == pytest.approx(2 / 3)
     df = rows([(0.0, 1.0), (0.3, 0.3)], "a double, b double")
     assert [r[0] for r in df.select(disagreement(["a", "b"])).collect()] == [0.5, 0.0]
+
+
+def test_members_are_binned_once_and_validation_rows_scored_once(spark, monkeypatch):
+    from tidemark.operators import ensemble as en
+    from tidemark.operators.boosting import HistogramBooster
+
+    df = spark.range(600).selectExpr("id AS k", "double(id % 7) AS a", "double(id % 11) AS b", "int(id % 7 > 3) AS y")
+    config = {"type": "boost", "params": {"grow": "depth", "depth": 2, "rounds": 3}, "early_stopping": 2}
+    binned, scored = [], []
+    own, probability = HistogramBooster.binned, en.with_probability
+    monkeypatch.setattr(HistogramBooster, "binned", lambda self, *args, **kw: binned.append(1) or own(self, *args, **kw))
+    monkeypatch.setattr(en, "with_probability", lambda *args: scored.append(args[2]) or probability(*args))
+    model = Ensemble({"one": config, "two": config})
+    found = model.fit(df.where("k < 400"), df.where("k >= 400"), ["a", "b"], "y", "k")
+    assert not model.failures and len(binned) == 1 and sorted(scored) == ["prob_one", "prob_two"]
+    assert found["ensemble_auc"] == 1.0 and set(model.calibrators) == {"one", "two"}

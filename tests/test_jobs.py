@@ -213,3 +213,11 @@ def test_reported_rows_fit_nothing(transactions):
     assert fitted.intersect(reported).isEmpty() and rest.intersect(reported).isEmpty()
     assert fitted.count() + reported.count() + rest.count() == transactions.count() and reported.count() > 50
     assert data.rows.where(F.isnan("TransactionAmt") | F.col("TransactionAmt").isNull()).isEmpty()
+
+
+def test_a_written_table_is_read_by_many_tasks(spark, monkeypatch):
+    from tidemark import session
+
+    monkeypatch.setattr(session, "FILE_ROWS", 100)
+    table = session.write_table(spark.range(1000).coalesce(1), "wide")
+    assert len(table.inputFiles()) == 10 and table.count() == 1000
