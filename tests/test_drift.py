@@ -127,3 +127,31 @@ def test_rows_are_scored_once_before_they_are_ranked(rows, monkeypatch):
     validator.fit(data, ["a", "b"], "k")
     validator.predict_drift(data).collect()
     assert len(read) == 2 and all(files and all("drift-scores" in f for f in files) for files in read)
+
+
+def test_rows_are_assembled_once_for_all_passes_of_a_learner(spark, rows):
+    """A learner's passes, the scores and other learners read kept rows, not the domains anew."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        read.add(1)
+        return x
+
+    plain = domains(rows, 1.0)
+    data = plain.withColumn("a", counted("a"))
+    kinds = {"rf": {"numTrees": 3, "maxDepth": 3}, "gbt": {"maxIter": 2}, "logreg": {"maxIter": 3}, "boost": {"rounds": 2}}
+    kept, alone = spark.sparkContext._jsc.getPersistentRDDs().size(), {}
+    for kind in ("rf", "gbt", "logreg"):
+        before = read.value
+        alone[kind] = DriftValidator(kind, params=kinds[kind]).fit(data, ["a", "b"], "TransactionID")
+        assert read.value - before == 800
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= kept
+
+    before = read.value
+    ready = DriftValidator().rows(data, ["a", "b"], "TransactionID").persist()
+    shared = {k: DriftValidator(k, params=p).fit(data, ["a", "b"], "TransactionID", ready=ready) for k, p in kinds.items()}
+    assert read.value - before == 800 and ready.is_cached
+    ready.unpersist()
+    assert {k: shared[k] for k in alone} == alone
+    assert shared["boost"] == DriftValidator("boost", params=kinds["boost"]).fit(plain, ["a", "b"], "TransactionID")
