@@ -239,3 +239,48 @@ def test_learners_share_binned_rows(data, monkeypatch):
         assert [as_paths(t) for t in a.trees] == [as_paths(t) for t in b.trees]
     with pytest.raises(ValueError, match="bins"):
         HistogramBooster("y", BoostParams(bins=8)).fit(train, held, 2, ready)
+
+
+@pytest.mark.parametrize(
+    "params",
+    [
+        BoostParams(grow="leaf", rounds=40, leaves=12, rate=0.4, min_rows=5, row_share=0.7, row_every=3, column_share=0.6, refresh=4),
+        BoostParams(grow="depth", rounds=7, depth=4, rate=0.3, min_rows=1, l2=1.0, row_share=0.8, refresh=3),
+        BoostParams(grow="oblivious", rounds=7, depth=3, l2=3.0, refresh=3),
+    ],
+    ids=lambda p: p.grow,
+)
+def test_one_task_grows_what_passes_grow(data, params, monkeypatch):
+    _, _, df = data
+    monkeypatch.setattr(bo, "TASK_ROWS", 300)
+    train, held = df.where("k < 1200"), df.where("k >= 1200")
+    ran = []
+    for name in ("_in_one_task", "_in_passes"):
+        own = getattr(bo, name)
+        monkeypatch.setattr(bo, name, lambda *args, own=own, name=name: ran.append(name) or own(*args))
+    near = HistogramBooster("y", params).fit(train, held, 5)
+    # The limit counts the rows held out too: 2,000 in all.
+    monkeypatch.setattr(bo, "ONE_TASK_CELLS", 1_999 * WIDTH)
+    spread = HistogramBooster("y", params).fit(train, held, 5)
+    assert ran == ["_in_one_task", "_in_passes"] and near.grown == spread.grown >= 6
+    assert near.losses == spread.losses and near.gain == spread.gain and near.best_round == spread.best_round
+    for a, b in zip(near.trees, spread.trees):
+        assert all((getattr(a, k) == getattr(b, k)).all() for k in ("feature", "cut", "left", "value"))
+
+
+def test_sums_of_a_task_are_exact_over_many_chunks():
+    rng = np.random.default_rng(4)
+    n, params = 2 * bo.CELL_ROWS + 77, BoostParams(bins=8)
+    bins = np.asfortranarray(rng.integers(0, 8, (n, 3)).astype(np.uint8))
+    y, margin, held = rng.integers(0, 2, n).astype(float), rng.normal(size=n), rng.random(n) < 0.1
+    tree = bo.Tree(*(np.array(x) for x in ([1, -1, -1], [4, 0, 0], [1, -1, -1])), np.zeros(3))
+    near = bo._Near([(bins[:5], np.arange(5), y[:5], held[:5], margin[:5]), (bins[5:], np.arange(5, n), y[5:], held[5:], margin[5:])], params)
+    hist, loss = near.count(0, tree, [2, 1], np.array([0, 2]), True)
+    g, h = bo.derivatives(margin, y)
+    want = np.zeros((2, 2, 8, 3), np.int64)
+    for slot, side in enumerate((bins[:, 1] > 4, bins[:, 1] <= 4)):
+        own = np.flatnonzero(side & ~held)
+        for j, f in enumerate((0, 2)):
+            for k, weight in enumerate((g, h, np.ones(n))):
+                np.add.at(want[slot, j, :, k], bins[own, f], weight[own].astype(np.int64))
+    assert (hist == want).all() and loss == int(bo.losses(margin[held], y[held]).sum()) / bo.SCALE / held.sum()
