@@ -55,3 +55,19 @@ def members_grew_whole(fits):
 def test_drift_is_predicted_after_all_rounds(spark, tables, fits):
     row = entry.queries()["drf2_predict_drift"](spark, tables).first()
     assert [(p.rounds, m.grown) for p, _, m in fits] == [(100, 100)] and 0.5 < row["drift_auc"] <= 1.0
+
+
+class _Asked(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name", ["drf6_raw_drift_evaluation"])
+def test_training_is_asked_for_whole(spark, tables, monkeypatch, name):
+    def asked(df, roles, params, *args, **kw):
+        assert params == TrainParams() and (params.max_rounds, params.drift_rounds) == (1000, 100)
+        assert df.count() == ROWS
+        raise _Asked
+
+    monkeypatch.setattr(drift_models, "train", asked)
+    with pytest.raises(_Asked):
+        entry.queries()[name](spark, tables)
