@@ -61,7 +61,9 @@ class _Asked(Exception):
     pass
 
 
-@pytest.mark.parametrize("name", ["drf6_raw_drift_evaluation", "ext2_model_disagreement_by_period"])
+@pytest.mark.parametrize(
+    "name", ["drf6_raw_drift_evaluation", "ext2_model_disagreement_by_period", "mdl11_member_probabilities"]
+)
 def test_training_is_asked_for_whole(spark, tables, monkeypatch, name):
     def asked(df, roles, params, *args, **kw):
         assert params == TrainParams() and (params.max_rounds, params.drift_rounds) == (1000, 100)
