@@ -73,3 +73,10 @@ def test_training_is_asked_for_whole(spark, tables, monkeypatch, name):
     monkeypatch.setattr(drift_models, "train", asked)
     with pytest.raises(_Asked):
         entry.queries()[name](spark, tables)
+
+
+def test_training_grows_members_and_validators_whole(spark, tables, fits):
+    got = {r["metric"] for r in entry.queries()["mdl13_end_to_end_training"](spark, tables).collect()}
+    assert {"ensemble_auc", "adversarial_val_auc", "auroc", "drift_detection_recall"} <= got
+    members_grew_whole(fits[:3])
+    assert [(p.rounds, m.grown) for p, _, m in fits[3:]] == [(100, 100)] * 2
