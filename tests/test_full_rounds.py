@@ -80,3 +80,11 @@ def test_training_grows_members_and_validators_whole(spark, tables, fits):
     assert {"ensemble_auc", "adversarial_val_auc", "auroc", "drift_detection_recall"} <= got
     members_grew_whole(fits[:3])
     assert [(p.rounds, m.grown) for p, _, m in fits[3:]] == [(100, 100)] * 2
+
+
+def test_crossfit_members_grow_whole(spark, tables, fits):
+    got = {r["metric"] for r in entry.queries()["mdl8_crossfit_calibration"](spark, tables).collect()}
+    assert {"boost_leafwise_auc", "ensemble_ap"} <= got
+    members_grew_whole(fits[:3])
+    kept = [m.best_round for _, _, m in fits[:3] for _ in range(3)]
+    assert [m.grown for *_, m in fits[3:]] == kept
